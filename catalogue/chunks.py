@@ -227,7 +227,7 @@ units AS (
          'import os, sys' || chr(10) || 'from a import (b,' || chr(10) || '    c)' || chr(10) || 'TRIPLENotes on item ' || doc_id
          || ': one two three four five six seven eight nine ten eleven twelve thirteen fourteenTRIPLE' AS text FROM nl
   UNION ALL
-  SELECT path, 'class_header', lang || 'Doc', 8, 15 + n, 'class ' || lang || 'Doc(Base, metaclass=Meta):' || chr(10)
+  SELECT path, 'class_header', lang || 'Doc', 8, 16 + n, 'class ' || lang || 'Doc(Base, metaclass=Meta):' || chr(10)
          || '    TRIPLEWhat it is for: one two three four five six seven eight nine ten eleven twelve' || chr(10) || '        thirteen fourteenTRIPLE' FROM nl
   UNION ALL
   SELECT path, 'method', lang || 'Doc.item_' || doc_id, 14, 16 + n, '@cached' || chr(10) || '    def item_' || doc_id || '(self):' || chr(10)

@@ -12,8 +12,15 @@ from gleaner.operators.keyword import KeywordIndex
 K = 10
 
 
+_indexes: dict[tuple[str, str], KeywordIndex] = {}
+
+
 def index(spark: SparkSession, sf_dir: str) -> KeywordIndex:
-    return KeywordIndex.over(views.corpus(spark, sf_dir))
+    """The keyword index of the documents, one per application: built once, read by every query."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        _indexes[key] = KeywordIndex.over(views.corpus(spark, sf_dir))
+    return _indexes[key]
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

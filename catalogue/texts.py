@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogue import sql, views
+from catalogue import retrieval, sql, views
 from gleaner.functions import arrays, embedding, layout, replies, routing
 from gleaner.functions import text as tx
 from gleaner.operators import keyword
-from gleaner.operators.keyword import KeywordIndex
 
 
 def big(column: str | Column) -> Column:
@@ -63,13 +62,11 @@ def bm25_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    forward = keyword.forward_index(views.corpus(spark, sf_dir))
-    return keyword.term_frequencies(forward).select("term", "chunk_idx", big("tf").alias("tf"), big("dl").alias("dl"))
+    return keyword.term_frequencies(retrieval.index(spark, sf_dir).forward).select("term", "chunk_idx", big("tf").alias("tf"), big("dl").alias("dl"))
 
 
 def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = KeywordIndex.over(views.corpus(spark, sf_dir))
-    return index.totals.select(
+    return retrieval.index(spark, sf_dir).totals.select(
         "n_docs",
         F.round("avgdl", 6).alias("avgdl"),
         "n_terms",
