@@ -11,7 +11,6 @@ from catalogue import retrieval, sql, views
 from catalogue.texts import big
 from gleaner.functions import replies, routing
 from gleaner.operators import hybrid, keyword, metrics, summary
-from gleaner.operators.rerank import REMOTE_TEXT_CHARS, rerank
 from gleaner.operators.vector import nearest
 from gleaner.plans import answering, retrieve
 from gleaner.plans.retrieve import Corpus
@@ -107,15 +106,20 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _method_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top 10 of three methods with metadata; run r sees 3 r hits fewer."""
+    # The long legs of the hybrid method contain the hits of the other two;
+    # all three read the same shuffles.
     asked, corpus = views.named_questions(spark, sf_dir), _corpus(spark, sf_dir)
-    vectors = views.question_vectors(spark, sf_dir)
+    fetch = hybrid.fetch_size(DEPTH)
+    words = keyword.keyword_leg(asked, corpus.keywords, fetch)
+    near = nearest(corpus.vectors, views.question_vectors(spark, sf_dir), fetch)
+    legs = {
+        "bm25": words.where(F.col("searchable") & (F.col("rank") < DEPTH)),
+        "vector": near.where(F.col("rank") < DEPTH),
+        "hybrid": hybrid.pin_and_cut(hybrid.fuse(near, words), DEPTH, DEPTH),
+    }
     ranked = reduce(
         DataFrame.unionByName,
-        [
-            retrieve.ranked(asked, corpus, DEPTH, retrieve.resolve(m), question_vectors=vectors)
-            .select("qid", "rank", "chunk_idx").withColumn("method", F.lit(m))
-            for m in METHODS
-        ],
+        [hits.select("qid", "rank", "chunk_idx", F.lit(m).alias("method")) for m, hits in legs.items()],
     )
     meta = corpus.chunks.select("chunk_idx", "source_path", "symbol")
     bound = asked.count() * DEPTH * len(METHODS)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalogue import sql, views
 from gleaner.operators import hybrid, keyword, vector
 from gleaner.operators.keyword import KeywordIndex
+from gleaner.session import checkpoint_dir
+from gleaner.sources.store import read_keywords, write_keywords
 
 K = 10
 
@@ -16,10 +20,14 @@ _indexes: dict[tuple[str, str], KeywordIndex] = {}
 
 
 def index(spark: SparkSession, sf_dir: str) -> KeywordIndex:
-    """The keyword index of the documents, one per application: built once, read by every query."""
+    """The stored keyword index of all documents, written once per application."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _indexes:
-        _indexes[key] = KeywordIndex.over(views.corpus(spark, sf_dir))
+        name = hashlib.md5(sf_dir.encode()).hexdigest()[:8]
+        root = f"{checkpoint_dir(spark)}/gleaner/{spark.sparkContext.applicationId}/{name}"
+        shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        write_keywords(views.corpus(spark, sf_dir), root, 0, shards)
+        _indexes[key] = read_keywords(spark, root, [0], shards)
     return _indexes[key]
 
 

@@ -62,7 +62,8 @@ def bm25_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keyword.term_frequencies(retrieval.index(spark, sf_dir).forward).select("term", "chunk_idx", big("tf").alias("tf"), big("dl").alias("dl"))
+    forward = keyword.forward_index(views.corpus(spark, sf_dir))
+    return keyword.postings(forward).where("tf > 0").select(F.col("key").alias("term"), "chunk_idx", big("tf").alias("tf"), big("dl").alias("dl"))
 
 
 def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.operators.joins import top_ranked
@@ -57,7 +57,9 @@ def fuse(vector_hits: DataFrame, keyword_hits: DataFrame, vector_tag: str = "vec
             F.when(F.col("injected"), F.col("rank")).alias("injected_rank"),
         )
     )
-    fused = legs.groupBy("qid", "chunk_idx").agg(
+    # A question has two legs of limited length, so one shuffle by question
+    # serves this sum and every later step of the ranking.
+    fused = legs.repartition("qid").groupBy("qid", "chunk_idx").agg(
         F.min("vector_rank").alias("vector_rank"),
         F.min("keyword_rank").alias("keyword_rank"),
         F.min("injected_rank").alias("injected_rank"),
@@ -83,16 +85,12 @@ def pin_and_cut(fused: DataFrame, k: int, pool: int, pin: bool = True) -> DataFr
     -> (qid, rank, chunk_idx, score, source, pinned).
     """
     if pin:
-        # One leg holds every injected chunk up to its limit, which is above five.
-        generic = (
-            fused.where("injected_rank IS NOT NULL")
-            .groupBy("qid")
-            .agg((F.count(F.lit(1)) > GENERIC_MATCHES).alias("generic"))
-        )
-        fused = fused.join(generic, "qid", "left").withColumn(
+        # The keyword leg is long enough to hold more than five injected chunks.
+        named = F.count("injected_rank").over(Window.partitionBy("qid"))
+        fused = fused.withColumn("_named", named).withColumn(
             "pinned",
             F.coalesce(
-                (F.col("injected_rank") < pin_budget(k)) & ~F.col("generic"), F.lit(False)
+                (F.col("injected_rank") < pin_budget(k)) & (F.col("_named") <= GENERIC_MATCHES), F.lit(False)
             ),
         )
     else:

@@ -1,9 +1,9 @@
 """BM25 keyword index and search for many questions at once.
 
-The forward index keeps one row per chunk: its length, its term counts and the
-symbol names it answers to.  Being one row per chunk and hash-partitioned by
-chunk, it scores every question without shuffling (question, chunk) pairs:
-the only shuffle after it is the map-side-limited top-k.
+The index is sharded by chunk: all postings of a chunk lie in one hash
+partition (or one bucket of the stored table), so every question is scored
+without shuffling (question, chunk) pairs.  The only shuffle behind the scan is
+the top-k, and that is cut to k rows per question and task before it starts.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as tx
@@ -29,8 +29,8 @@ SCORE_DIGITS = 9
 NAME_MARK = "="
 
 
-def forward_index(chunks: DataFrame, enriched: bool = True) -> DataFrame:
-    """chunks(chunk_idx, text, source_path, symbol) -> (chunk_idx, dl, terms, names)."""
+def forward_index(chunks: DataFrame, enriched: bool = True, shards: int | None = None) -> DataFrame:
+    """chunks(chunk_idx, text, source_path, symbol) -> (chunk_idx, terms, names, dl), one row per chunk."""
     if enriched:
         body = tx.index_text(F.col("text"), F.col("source_path"), F.col("symbol"))
         names = tx.symbol_keys(F.col("symbol"))
@@ -43,41 +43,54 @@ def forward_index(chunks: DataFrame, enriched: bool = True) -> DataFrame:
         names.alias("names"),
     )
     dl = F.aggregate("terms", F.lit(0), lambda acc, t: acc + t["tf"])
-    return rows.repartition("chunk_idx").withColumn("dl", dl)
+    placed = rows.repartition("chunk_idx") if shards is None else rows.repartition(shards, "chunk_idx")
+    return placed.withColumn("dl", dl)
 
 
-def term_frequencies(forward: DataFrame) -> DataFrame:
-    return forward.select("chunk_idx", "dl", F.explode("terms").alias("t")).select(
-        "chunk_idx", "dl", "t.term", "t.tf"
+def postings(forward: DataFrame) -> DataFrame:
+    """(key, chunk_idx, tf, dl): terms with their counts, and marked symbol names with tf 0."""
+    entry = F.concat(
+        F.transform("terms", lambda t: F.struct(t["term"].alias("key"), t["tf"].alias("tf"))),
+        F.transform(
+            "names",
+            lambda n: F.struct(F.concat(F.lit(NAME_MARK), n).alias("key"), F.lit(0).alias("tf")),
+        ),
+    )
+    return forward.select("chunk_idx", "dl", F.explode(entry).alias("e")).select(
+        "e.key", "chunk_idx", "e.tf", "dl"
     )
 
 
-def document_frequencies(forward: DataFrame) -> DataFrame:
+def document_frequencies(posted: DataFrame) -> DataFrame:
     """(term, df).  Partial counts keep a term of every chunk cheap to shuffle."""
     return (
-        forward.select(F.explode("terms.term").alias("term"))
-        .groupBy("term")
+        posted.where("tf > 0")
+        .groupBy(F.col("key").alias("term"))
         .agg(F.count(F.lit(1)).alias("df"))
     )
 
 
+def chunk_sizes(forward: DataFrame) -> DataFrame:
+    """One row: n_docs and the sum of their lengths; chunks without a token count."""
+    return forward.agg(
+        F.count(F.lit(1)).alias("n_docs"),
+        F.coalesce(F.sum(F.col("dl").cast("bigint")), F.lit(0)).alias("sum_dl"),
+    )
+
+
 def raw_idf(n_docs, df):
     return F.log(n_docs - df + 0.5) - F.log(df + 0.5)
 
 
-def corpus_totals(forward: DataFrame, frequencies: DataFrame) -> DataFrame:
+def corpus_totals(sizes: DataFrame, frequencies: DataFrame) -> DataFrame:
     """One row: n_docs, avgdl, n_terms, mean_idf, idf_floor.
 
     The mean covers the whole vocabulary, terms with a negative idf included.
     """
-    sizes = forward.agg(
-        F.count(F.lit(1)).alias("n_docs"),
-        F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"),
-    )
-    n_docs = sizes.select("n_docs").scalar()
+    n_docs, sum_dl = sizes.select("n_docs").scalar(), sizes.select("sum_dl").scalar()
     return frequencies.agg(
         n_docs.alias("n_docs"),
-        sizes.select("avgdl").scalar().alias("avgdl"),
+        F.when(n_docs > 0, sum_dl / n_docs).otherwise(0.0).alias("avgdl"),
         F.count(F.lit(1)).alias("n_terms"),
         F.avg(raw_idf(n_docs, F.col("df"))).alias("mean_idf"),
     ).withColumn("idf_floor", F.lit(IDF_FLOOR_SHARE) * F.col("mean_idf"))
@@ -85,29 +98,27 @@ def corpus_totals(forward: DataFrame, frequencies: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class KeywordIndex:
-    forward: DataFrame
+    """postings(key, chunk_idx, tf, dl), frequencies(term, df), totals (one row)."""
+
+    postings: DataFrame
     frequencies: DataFrame
     totals: DataFrame
 
     @staticmethod
-    def over(chunks: DataFrame, enriched: bool = True, persist: bool = True) -> KeywordIndex:
-        """Index a chunk table on the fly.
+    def over(chunks: DataFrame, enriched: bool = True) -> KeywordIndex:
+        """Index a chunk table on the fly, kept on the executors.
 
-        Statistics and scoring both read the forward index, so it is kept on
-        the executors; a lost executor's part is simply computed again.
+        Statistics and scoring both read it; a lost executor's part is computed
+        again.  Corpora that are asked more than once belong in a store.
         """
-        forward = forward_index(chunks, enriched)
-        if persist:
-            forward = forward.persist(StorageLevel.MEMORY_AND_DISK)
-        frequencies = document_frequencies(forward)
-        return KeywordIndex(forward, frequencies, corpus_totals(forward, frequencies))
-
-    def release(self) -> None:
-        self.forward.unpersist()
+        forward = forward_index(chunks, enriched).persist(StorageLevel.MEMORY_AND_DISK)
+        posted = postings(forward)
+        frequencies = document_frequencies(posted)
+        return KeywordIndex(posted, frequencies, corpus_totals(chunk_sizes(forward), frequencies))
 
 
 def question_keys(questions: DataFrame) -> DataFrame:
-    """questions(qid, question) -> (qid, key, qtf, pos, searchable).
+    """questions(qid, question) -> (qid, key, qtf, pos, searchable, named).
 
     Terms carry their multiplicity in the boosted question; names carry the
     position of the identifier.  A question without any token cannot search.
@@ -136,14 +147,15 @@ def question_keys(questions: DataFrame) -> DataFrame:
     return asked.select(
         "qid",
         (F.size("terms") > 0).alias("searchable"),
+        (F.size("names") > 0).alias("named"),
         F.explode(F.concat(as_terms, as_names)).alias("k"),
-    ).select("qid", "k.key", "k.qtf", "k.pos", "searchable")
+    ).select("qid", "k.key", "k.qtf", "k.pos", "searchable", "named")
 
 
 def keyword_matches(questions: DataFrame, index: KeywordIndex) -> DataFrame:
     """Every (question, chunk) that shares a term or a symbol name.
 
-    -> (qid, chunk_idx, score, pos, searchable); pos is null unless a name matched.
+    -> (qid, chunk_idx, score, pos, searchable, named); pos is null unless a name matched.
     """
     keys = question_keys(questions)
     small = fits_broadcast(keys)
@@ -156,32 +168,23 @@ def keyword_matches(questions: DataFrame, index: KeywordIndex) -> DataFrame:
     # Not every key is a known term, but unknown terms match no chunk either.
     weighted = (
         join_lookup(idf, keys.where("pos IS NULL"), "key", "key", small)
-        .select("qid", "key", (F.col("qtf") * F.col("idf")).alias("weight"), "pos", "searchable")
+        .select("qid", "key", (F.col("qtf") * F.col("idf")).alias("weight"), "pos", "searchable", "named")
         .unionByName(
             keys.where("pos IS NOT NULL").select(
-                "qid", "key", F.lit(None).cast("double").alias("weight"), "pos", "searchable"
+                "qid", "key", F.lit(None).cast("double").alias("weight"), "pos", "searchable", "named"
             )
         )
     )
-    entry = F.concat(
-        F.transform("terms", lambda t: F.struct(t["term"].alias("key"), t["tf"].alias("tf"))),
-        F.transform(
-            "names",
-            lambda n: F.struct(F.concat(F.lit(NAME_MARK), n).alias("key"), F.lit(0).alias("tf")),
-        ),
-    )
-    entries = index.forward.select("chunk_idx", "dl", F.explode(entry).alias("e")).select(
-        "chunk_idx", "dl", "e.key", "e.tf"
-    )
     tf = F.col("tf")
     saturated = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / avgdl))
     return (
-        join_lookup(entries, weighted, "key", "chunk_idx", small)
+        join_lookup(index.postings, weighted, "key", "chunk_idx", small)
         .groupBy("qid", "chunk_idx")
         .agg(
             F.coalesce(F.sum(F.col("weight") * saturated), F.lit(0.0)).alias("score"),
             F.min("pos").alias("pos"),
-            F.first("searchable").alias("searchable"),
+            F.max("searchable").alias("searchable"),
+            F.max("named").alias("named"),
         )
     )
 
@@ -210,16 +213,33 @@ def keyword_leg(questions: DataFrame, index: KeywordIndex, k: int) -> DataFrame:
 
 
 def keyword_search(questions: DataFrame, index: KeywordIndex, k: int) -> DataFrame:
-    """The `bm25` method: injected chunks score 100 above the question's best score."""
-    best = (
-        keyword_matches(questions, index)
-        .groupBy("qid")
-        .agg(F.max("score").alias("best"))
-        .withColumn("best", F.when(F.col("best") > 0, F.col("best")).otherwise(1.0))
+    """The `bm25` method: injected chunks score 100 above the question's best score.
+
+    The best score may belong to a chunk outside the list, so questions with
+    names rank their matches a second time by score alone, in the same pass.
+    """
+    hits = keyword_matches(questions, index).where("searchable AND (score > 0 OR pos IS NOT NULL)")
+    lists = F.when(F.col("named"), F.array(F.lit("leg"), F.lit("best"))).otherwise(F.array(F.lit("leg")))
+    listed = hits.withColumn("list", F.explode(lists))
+    pos = F.when(F.col("list") == "leg", F.col("pos"))
+    order = [
+        pos.asc_nulls_last(),
+        F.when(pos.isNull(), -F.round("score", SCORE_DIGITS)).asc(),
+        F.col("chunk_idx"),
+    ]
+    ranked = top_ranked(listed, ["qid", "list"], order, k)
+    top = F.max(F.when((F.col("list") == "best") & (F.col("rank") == 0), F.col("score"))).over(Window.partitionBy("qid"))
+    best = F.when(F.col("best") > 0, F.col("best")).otherwise(1.0)
+    injected = F.col("pos").isNotNull()
+    return (
+        ranked.withColumn("best", top)
+        .where("list = 'leg'")
+        .select(
+            "qid", "rank", "chunk_idx",
+            F.when(injected, best + INJECTED_BONUS).otherwise(F.col("score")).alias("score"),
+            injected.alias("injected"),
+        )
     )
-    leg = keyword_leg(questions, index, k).where("searchable")
-    shown = F.when(F.col("injected"), F.col("best") + INJECTED_BONUS).otherwise(F.col("score"))
-    return leg.join(best, "qid").select("qid", "rank", "chunk_idx", shown.alias("score"), "injected")
 
 
 def symbol_table(chunks: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from gleaner.operators.joins import BROADCAST_BYTES, top_ranked
 
+BROADCAST_QUERIES = 20_000
 QUERY_SLICE = 512
 CELL_VECTORS = 50_000
 CELL_QUERIES = 50_000
@@ -70,30 +71,28 @@ def nearest(
     queries: DataFrame,
     k: int,
     spread: bool = True,
+    broadcast_queries: int = BROADCAST_QUERIES,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """vectors(chunk_idx, embedding), queries(qid, embedding)
     -> (qid, rank, chunk_idx, similarity), the k most similar per query."""
     vectors = vectors.select("chunk_idx", F.col("embedding").cast("array<double>").alias("embedding"))
     queries = queries.select("qid", F.col("embedding").cast("array<double>").alias("embedding"))
-    size = queries.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.sum(F.size("embedding") * 8 + F.octet_length("qid")), F.lit(0)).alias("bytes"),
-    ).first()
-    if size["bytes"] <= broadcast_bytes:
-        local = _nearest_broadcast(vectors, queries, k)
+    # One bounded read both fetches a small query table and finds out that it is small.
+    table = queries.limit(broadcast_queries + 1).toArrow()
+    if table.num_rows <= broadcast_queries and table.nbytes <= broadcast_bytes:
+        local = _nearest_broadcast(vectors, table, k)
     else:
-        local = _nearest_cells(vectors, queries, k, size["n"])
+        local = _nearest_cells(vectors, queries, k)
     order = [F.col("similarity").desc(), F.col("chunk_idx")]
     return top_ranked(local, ["qid"], order, k, spread_by="chunk_idx" if spread else None).select(
         "qid", "rank", "chunk_idx", "similarity"
     )
 
 
-def _nearest_broadcast(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    table = queries.toArrow()  # its size was checked
+def _nearest_broadcast(vectors: DataFrame, table: pa.Table, k: int) -> DataFrame:
     names = table.column("qid").to_pylist()
-    matrix = _unit(_matrix(table.column("embedding").combine_chunks()))
+    matrix = _unit(_matrix(pa.concat_arrays(table.column("embedding").chunks)) if names else np.empty((0, 0)))
     shared = vectors.sparkSession.sparkContext.broadcast((names, matrix))
     schema = "qid string, chunk_idx bigint, similarity double"
 
@@ -113,13 +112,13 @@ def _nearest_broadcast(vectors: DataFrame, queries: DataFrame, k: int) -> DataFr
     return vectors.mapInArrow(search, schema)
 
 
-def _nearest_cells(vectors: DataFrame, queries: DataFrame, k: int, n_queries: int) -> DataFrame:
+def _nearest_cells(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Too many queries to broadcast: meet in cells of bounded size.
 
     A cell joins one block of queries with one block of vectors; cells are
     independent tasks and each hands on its own k best.
     """
-    query_blocks = math.ceil(n_queries / CELL_QUERIES)
+    query_blocks = max(1, math.ceil(queries.count() / CELL_QUERIES))
     vector_blocks = max(1, math.ceil(vectors.count() / CELL_VECTORS))
     placed_vectors = vectors.withColumn("vb", F.pmod(F.xxhash64("chunk_idx"), F.lit(vector_blocks))).withColumn(
         "qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))
