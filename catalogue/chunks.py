@@ -58,7 +58,7 @@ def dedup_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A Python module written from every document."""
-    docs = views.table(spark, sf_dir, "documents")
+    docs = views.texts(spark, sf_dir, "documents")
     plain = F.regexp_replace("text", "[^A-Za-z0-9 .,\n]", " ")
     body = F.regexp_replace(plain, "\n", "'\n        x = '")
     source = F.format_string(
@@ -93,7 +93,7 @@ def scan_filter_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as the JSON of a tracker item."""
-    pages = views.table(spark, sf_dir, "pages")
+    pages = views.texts(spark, sf_dir, "pages")
     n = F.col("page_id")
     title = F.when(n % 10 == 0, F.lit("  ")).when(n % 11 == 0, F.lit(None)).otherwise(F.regexp_extract("html", "<title>([^<]*)</title>", 1))
     body = F.when(n % 9 == 0, F.lit(None)).otherwise(F.repeat("html", 1 + (n % 4).cast("int")))
@@ -131,7 +131,7 @@ def items_latest_n(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def budget_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = views.table(spark, sf_dir, "documents").select(
+    sized = views.texts(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("chunk_idx"), F.size(chunking.whitespace_tokens(F.col("text"))).alias("n_tokens")
     )
     return batching.request_batches(sized).select("flush", big("batch").alias("batch"), "chunk_idx", big("n_tokens").alias("n_tokens"))

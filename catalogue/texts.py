@@ -16,7 +16,7 @@ def big(column: str | Column) -> Column:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.table(spark, sf_dir, "documents")
+    return views.texts(spark, sf_dir, "documents")
 
 
 def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:

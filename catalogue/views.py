@@ -6,19 +6,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as tx
+from gleaner.operators.joins import spread_small
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table with whole texts, whose rows are worth spreading over the cores."""
+    return spread_small(table(spark, sf_dir, name))
+
+
 def newlines(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as one chunk with a path and a dotted symbol."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents")
     return docs.select(
         F.col("doc_id").alias("chunk_idx"),
         F.format_string("src/%s/%s/doc_%d.md", "source", "lang", "doc_id").alias("source_path"),

@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 64 << 20
+SPREAD_BYTES = 256 << 20
 ROW_OVERHEAD_BYTES = 16
 SALTS = 32
+# About a thousand scan tasks of the default size.
+MANY_TASKS_BYTES = 128 << 30
 
 
 def measured_bytes(df: DataFrame) -> int:
@@ -22,6 +25,28 @@ def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     return measured_bytes(df) <= limit
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate; for a file scan, the size of its files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def many_tasks(df: DataFrame) -> bool:
+    """Is the table scanned by so many tasks that their top-k lists add up?"""
+    return estimated_bytes(df) > MANY_TASKS_BYTES
+
+
+def spread_small(df: DataFrame, limit: int = SPREAD_BYTES) -> DataFrame:
+    """Give every core a share of a small table before heavy per-row work.
+
+    A small table often sits in one row group, which a single task reads; its
+    rows are dealt out once.  A table above the limit has row groups enough and
+    is left as it is: nothing large is shuffled here.
+    """
+    if estimated_bytes(df) > limit:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def join_lookup(big: DataFrame, lookup: DataFrame, key: str, spread_by: str, small: bool) -> DataFrame:
     """Inner join on `key` without putting a hot key into one task.
 

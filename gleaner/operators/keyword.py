@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import text as tx
 from gleaner.functions.arrays import counted
-from gleaner.operators.joins import fits_broadcast, join_lookup, top_ranked
+from gleaner.operators.joins import fits_broadcast, join_lookup, many_tasks, top_ranked
 
 # Fixed values of the scoring rule.
 K1 = 1.5
@@ -25,6 +25,9 @@ IDF_FLOOR_SHARE = 0.25
 INJECTED_BONUS = 100.0
 SCORE_DIGITS = 9
 
+# So many distinct keys go into the scan as a filter.
+LISTED_KEYS = 500
+
 # Symbol names share the key column with terms; no term starts with this mark.
 NAME_MARK = "="
 
@@ -165,9 +168,10 @@ def keyword_matches(questions: DataFrame, index: KeywordIndex) -> DataFrame:
 
     idf = index.frequencies.select(F.col("term").alias("key"), raw_idf(n_docs, F.col("df")).alias("idf"))
     idf = idf.withColumn("idf", F.when(F.col("idf") < 0, floor).otherwise(F.col("idf")))
+    asked_terms = keys.where("pos IS NULL")
     # Not every key is a known term, but unknown terms match no chunk either.
     weighted = (
-        join_lookup(idf, keys.where("pos IS NULL"), "key", "key", small)
+        idf.join(F.broadcast(asked_terms) if small else asked_terms, "key")
         .select("qid", "key", (F.col("qtf") * F.col("idf")).alias("weight"), "pos", "searchable", "named")
         .unionByName(
             keys.where("pos IS NOT NULL").select(
@@ -178,7 +182,7 @@ def keyword_matches(questions: DataFrame, index: KeywordIndex) -> DataFrame:
     tf = F.col("tf")
     saturated = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / avgdl))
     return (
-        join_lookup(index.postings, weighted, "key", "chunk_idx", small)
+        join_lookup(_postings_of(index.postings, keys, small), weighted, "key", "chunk_idx", small)
         .groupBy("qid", "chunk_idx")
         .agg(
             F.coalesce(F.sum(F.col("weight") * saturated), F.lit(0.0)).alias("score"),
@@ -189,11 +193,27 @@ def keyword_matches(questions: DataFrame, index: KeywordIndex) -> DataFrame:
     )
 
 
+def _spread(index: KeywordIndex) -> str | None:
+    return "chunk_idx" if many_tasks(index.postings) else None
+
+
+def _postings_of(postings: DataFrame, keys: DataFrame, small: bool) -> DataFrame:
+    """Only the postings of a short list of keys, told to the scan by value.
+
+    The stored postings are sorted by key, so the scan skips the row groups
+    without these keys; long lists touch most row groups anyway.
+    """
+    if not small:
+        return postings
+    listed = [row["key"] for row in keys.select("key").distinct().limit(LISTED_KEYS + 1).collect()]
+    return postings if len(listed) > LISTED_KEYS else postings.where(F.col("key").isin(listed))
+
+
 def bm25_scores(questions: DataFrame, index: KeywordIndex, k: int) -> DataFrame:
     """Plain BM25 top-k without symbol injection: (qid, rank, chunk_idx, score)."""
     hits = keyword_matches(questions, index).where("searchable AND score > 0")
     order = [F.round("score", SCORE_DIGITS).desc(), F.col("chunk_idx")]
-    return top_ranked(hits, ["qid"], order, k).select("qid", "rank", "chunk_idx", "score")
+    return top_ranked(hits, ["qid"], order, k, spread_by=_spread(index)).select("qid", "rank", "chunk_idx", "score")
 
 
 def keyword_leg(questions: DataFrame, index: KeywordIndex, k: int) -> DataFrame:
@@ -207,7 +227,7 @@ def keyword_leg(questions: DataFrame, index: KeywordIndex, k: int) -> DataFrame:
         F.when(F.col("pos").isNull(), -F.round("score", SCORE_DIGITS)).asc(),
         F.col("chunk_idx"),
     ]
-    return top_ranked(hits, ["qid"], order, k).select(
+    return top_ranked(hits, ["qid"], order, k, spread_by=_spread(index)).select(
         "qid", "rank", "chunk_idx", "score", F.col("pos").isNotNull().alias("injected"), "searchable"
     )
 
@@ -227,7 +247,7 @@ def keyword_search(questions: DataFrame, index: KeywordIndex, k: int) -> DataFra
         F.when(pos.isNull(), -F.round("score", SCORE_DIGITS)).asc(),
         F.col("chunk_idx"),
     ]
-    ranked = top_ranked(listed, ["qid", "list"], order, k)
+    ranked = top_ranked(listed, ["qid", "list"], order, k, spread_by=_spread(index))
     top = F.max(F.when((F.col("list") == "best") & (F.col("rank") == 0), F.col("score"))).over(Window.partitionBy("qid"))
     best = F.when(F.col("best") > 0, F.col("best")).otherwise(1.0)
     injected = F.col("pos").isNotNull()

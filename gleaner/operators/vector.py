@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.operators.joins import BROADCAST_BYTES, top_ranked
+from gleaner.operators.joins import BROADCAST_BYTES, many_tasks, top_ranked
 
 BROADCAST_QUERIES = 20_000
 QUERY_SLICE = 512
@@ -70,7 +70,6 @@ def nearest(
     vectors: DataFrame,
     queries: DataFrame,
     k: int,
-    spread: bool = True,
     broadcast_queries: int = BROADCAST_QUERIES,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
@@ -85,7 +84,7 @@ def nearest(
     else:
         local = _nearest_cells(vectors, queries, k)
     order = [F.col("similarity").desc(), F.col("chunk_idx")]
-    return top_ranked(local, ["qid"], order, k, spread_by="chunk_idx" if spread else None).select(
+    return top_ranked(local, ["qid"], order, k, spread_by="chunk_idx" if many_tasks(vectors) else None).select(
         "qid", "rank", "chunk_idx", "similarity"
     )
 

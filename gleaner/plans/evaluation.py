@@ -62,12 +62,12 @@ def generate_questions(chunks: DataFrame, n: int, seed: int = 42, providers: Pro
     Ids count the sampled chunks, so a rejected one leaves a gap.
     """
     sources = sampling.question_sources(chunks, n, seed)
+    sources = checkpointed(sources)
+    # Ids alone are numbered, n of them at most.
     order = [c.alias(f"_o{i}") for i, c in enumerate(sampling.shuffled_order(seed, "chunk_id"))]
-    # n rows at most: numbering them is no distributed problem.
-    numbered = (
-        sources.groupBy().agg(F.array_sort(F.collect_list(F.struct(*order, F.struct("*").alias("c")))).alias("rows"))
-        .select(F.posexplode("rows").alias("n", "r")).select("n", "r.c.*")
-    )
+    ids = sources.groupBy().agg(F.array_sort(F.collect_list(F.struct(*order, "chunk_id"))).alias("rows"))
+    numbers = ids.select(F.posexplode("rows").alias("n", "r")).select("n", "r.chunk_id")
+    numbered = sources.join(numbers, "chunk_id")
     reply = providers.ask_about(F.col("source_path"), F.col("kind"), F.col("symbol"), F.substring("text", 1, SOURCE_CHARS))
     written = checkpointed(numbered.withColumn("reply", reply))
     q = replies.parse_question(F.col("reply"))

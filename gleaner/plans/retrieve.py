@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.operators import hybrid, keyword
@@ -27,6 +27,8 @@ METHODS = (*RETRIEVAL_METHODS, "agentic", "routed")
 
 META = ("chunk_id", "text", "source_path", "kind", "symbol", "start_line", "end_line")
 HIT_ROW_BYTES = 160
+# monotonically_increasing_id() counts rows in the low 33 bits.
+BLOCK_ROW_BITS = 33
 
 
 @dataclass(frozen=True)
@@ -54,6 +56,11 @@ class Corpus:
     keywords: KeywordIndex | None
 
 
+def block_of(chunk_idx: Column) -> Column:
+    """The stored block of a chunk: its ingest and the range partition it was written by."""
+    return F.shiftright(chunk_idx, BLOCK_ROW_BITS)
+
+
 def hydrate(hits: DataFrame, chunks: DataFrame, max_rows: int) -> DataFrame:
     """Text and metadata of the ranked chunks; hits without a chunk are left out.
 
@@ -62,9 +69,14 @@ def hydrate(hits: DataFrame, chunks: DataFrame, max_rows: int) -> DataFrame:
     otherwise both sides meet by chunk, where adaptive execution splits a
     chunk that very many questions found.
     """
+    key = ["chunk_idx"]
+    if "block" in chunks.columns:
+        # Stored chunks are partitioned by block: the join prunes the scan to
+        # the blocks that hold hits, instead of reading every text.
+        hits, key = hits.withColumn("block", block_of(F.col("chunk_idx"))), ["block", "chunk_idx"]
     if max_rows * HIT_ROW_BYTES <= BROADCAST_BYTES:
         hits = F.broadcast(hits)
-    return chunks.select("chunk_idx", *META).join(hits, "chunk_idx")
+    return chunks.select(*key, *META).join(hits, key).drop("block")
 
 
 def _question_vectors(questions: DataFrame, providers: Providers, hyde: bool) -> DataFrame:

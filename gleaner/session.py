@@ -20,6 +20,8 @@ def session(app: str = "gleaner", cores: int | str | None = None) -> SparkSessio
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Lists of keys reach the Parquet reader value by value, not as a range.
+        .config("spark.sql.parquet.pushdown.inFilterThreshold", "1000")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

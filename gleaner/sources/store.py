@@ -19,9 +19,13 @@ from pyspark.sql.utils import AnalysisException
 from gleaner.operators import keyword
 from gleaner.operators.chunking import keep_first
 from gleaner.operators.keyword import KeywordIndex
-from gleaner.plans.retrieve import META, Corpus
+from gleaner.plans.retrieve import META, Corpus, block_of
 from gleaner.providers import OFFLINE, Providers
 
+CHUNK_SCHEMA = (
+    "chunk_idx bigint, chunk_id string, text string, source_path string, kind string, symbol string, "
+    "start_line int, end_line int, block bigint"
+)
 COMMIT_SCHEMA = "seq bigint, gen bigint, what string, n_rows bigint"
 # chunk_idx = sequence number of the ingest, then the position within it.
 SEQUENCE_BITS = 53
@@ -134,7 +138,8 @@ class Store:
         gens = self._gens("chunks")
         if not gens:
             raise ValueError(f"nothing is stored under {self.root}")
-        return self._read("chunks", gens)
+        stored = self.spark.read.schema(CHUNK_SCHEMA).option("basePath", f"{self.root}/chunks")
+        return stored.parquet(*[f"{self.root}/chunks/gen={g}" for g in gens]).drop("gen")
 
     def vectors(self) -> DataFrame:
         return self._read("vectors", self._gens("chunks"))
@@ -169,8 +174,10 @@ class Store:
         idx = F.lit(seq << SEQUENCE_BITS) + F.monotonically_increasing_id()
         symbol = F.coalesce("symbol", F.lit("")).alias("symbol")
         columns = [symbol if c == "symbol" else F.col(c) for c in META]
-        placed.select(idx.alias("chunk_idx"), *columns).write.parquet(f"{self.root}/chunks/gen={gen}")
-        written = self.spark.read.parquet(f"{self.root}/chunks/gen={gen}")
+        # One range partition is one block, so every task writes one file.
+        numbered = placed.select(idx.alias("chunk_idx"), *columns).withColumn("block", block_of(F.col("chunk_idx")))
+        numbered.write.partitionBy("block").parquet(f"{self.root}/chunks/gen={gen}")
+        written = self.spark.read.schema(CHUNK_SCHEMA).parquet(f"{self.root}/chunks/gen={gen}")
         written.select("chunk_idx", providers.embed(F.col("text")).alias("embedding")).write.parquet(
             f"{self.root}/vectors/gen={gen}"
         )
