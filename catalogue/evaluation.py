@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +9,7 @@ from catalogue import retrieval, sql, views
 from catalogue.texts import big
 from gleaner.functions import replies, routing
 from gleaner.operators import hybrid, keyword, metrics, summary
+from gleaner.operators.joins import stack
 from gleaner.operators.vector import nearest
 from gleaner.plans import answering, retrieve
 from gleaner.plans.retrieve import Corpus
@@ -117,10 +116,7 @@ def _method_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vector": near.where(F.col("rank") < DEPTH),
         "hybrid": hybrid.pin_and_cut(hybrid.fuse(near, words), DEPTH, DEPTH),
     }
-    ranked = reduce(
-        DataFrame.unionByName,
-        [hits.select("qid", "rank", "chunk_idx", F.lit(m).alias("method")) for m, hits in legs.items()],
-    )
+    ranked = stack(*[hits.select("qid", "rank", "chunk_idx", F.lit(m).alias("method")) for m, hits in legs.items()])
     meta = corpus.chunks.select("chunk_idx", "source_path", "symbol")
     bound = asked.count() * DEPTH * len(METHODS)
     if bound * retrieve.HIT_ROW_BYTES <= retrieve.BROADCAST_BYTES:

@@ -41,29 +41,15 @@ def fuse(vector_hits: DataFrame, keyword_hits: DataFrame, vector_tag: str = "vec
     -> (qid, chunk_idx, score, vector_rank, keyword_rank, injected_rank, tags).
     A chunk injected for a question without tokens is no keyword hit, but can be pinned.
     """
-    null_rank = F.lit(None).cast("int")
-    legs = vector_hits.select(
+    near = vector_hits.select("qid", "chunk_idx", F.col("rank").alias("vector_rank"))
+    words = keyword_hits.select(
         "qid",
         "chunk_idx",
-        F.col("rank").alias("vector_rank"),
-        null_rank.alias("keyword_rank"),
-        null_rank.alias("injected_rank"),
-    ).unionByName(
-        keyword_hits.select(
-            "qid",
-            "chunk_idx",
-            null_rank.alias("vector_rank"),
-            F.when(F.col("searchable"), F.col("rank")).alias("keyword_rank"),
-            F.when(F.col("injected"), F.col("rank")).alias("injected_rank"),
-        )
-    )
-    # A question has two legs of limited length, so one shuffle by question
-    # serves this sum and every later step of the ranking.
-    fused = legs.repartition("qid").groupBy("qid", "chunk_idx").agg(
-        F.min("vector_rank").alias("vector_rank"),
-        F.min("keyword_rank").alias("keyword_rank"),
-        F.min("injected_rank").alias("injected_rank"),
+        F.when(F.col("searchable"), F.col("rank")).alias("keyword_rank"),
+        F.when(F.col("injected"), F.col("rank")).alias("injected_rank"),
     )
+    # Both legs arrive partitioned by question, and so they are joined.
+    fused = near.join(words, ["qid", "chunk_idx"], "full")
     return fused.withColumn(
         "score", reciprocal(F.col("vector_rank")) + reciprocal(F.col("keyword_rank"))
     ).withColumn(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,18 @@ SALTS = 32
 MANY_TASKS_BYTES = 128 << 30
 
 
+def stack(*frames: DataFrame) -> DataFrame:
+    """Union by column name.
+
+    Spark 4.1 may plan a group or join above a union without a shuffle, because
+    all inputs are partitioned alike, and then read a reused shuffle as further
+    partitions: groups come out in pieces.  Unions are told not to claim a
+    partitioning.
+    """
+    frames[0].sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return reduce(DataFrame.unionByName, frames)
+
+
 def measured_bytes(df: DataFrame) -> int:
     """Size of a (small) table: one aggregate, one number back to the driver."""
     row_bytes = F.octet_length(F.to_json(F.struct(*df.columns))) + ROW_OVERHEAD_BYTES * len(df.columns)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import text as tx
 from gleaner.functions.arrays import counted
-from gleaner.operators.joins import fits_broadcast, join_lookup, many_tasks, top_ranked
+from gleaner.operators.joins import fits_broadcast, join_lookup, many_tasks, stack, top_ranked
 
 # Fixed values of the scoring rule.
 K1 = 1.5
@@ -170,14 +170,13 @@ def keyword_matches(questions: DataFrame, index: KeywordIndex) -> DataFrame:
     idf = idf.withColumn("idf", F.when(F.col("idf") < 0, floor).otherwise(F.col("idf")))
     asked_terms = keys.where("pos IS NULL")
     # Not every key is a known term, but unknown terms match no chunk either.
-    weighted = (
-        idf.join(F.broadcast(asked_terms) if small else asked_terms, "key")
-        .select("qid", "key", (F.col("qtf") * F.col("idf")).alias("weight"), "pos", "searchable", "named")
-        .unionByName(
-            keys.where("pos IS NOT NULL").select(
-                "qid", "key", F.lit(None).cast("double").alias("weight"), "pos", "searchable", "named"
-            )
-        )
+    weighted = stack(
+        idf.join(F.broadcast(asked_terms) if small else asked_terms, "key").select(
+            "qid", "key", (F.col("qtf") * F.col("idf")).alias("weight"), "pos", "searchable", "named"
+        ),
+        keys.where("pos IS NOT NULL").select(
+            "qid", "key", F.lit(None).cast("double").alias("weight"), "pos", "searchable", "named"
+        ),
     )
     tf = F.col("tf")
     saturated = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / avgdl))

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import replies
 from gleaner.functions.text import MODULE_SYMBOL
 from gleaner.operators import sampling
+from gleaner.operators.joins import stack
 from gleaner.operators.metrics import CELL, evaluation_cells, score_cells
 from gleaner.plans.answering import Planner, ask, symbol_planner
 from gleaner.plans.retrieve import Corpus
@@ -46,12 +45,12 @@ def evaluate(
             place = {"method": F.lit(method), "run": F.lit(run)}
             answers.append(got.withColumns(place))
             hits.append(found.where("phase = 'final'").withColumns(place))
-    given = reduce(DataFrame.unionByName, answers).select(*CELL, "question", "answer")
+    given = stack(*answers).select(*CELL, "question", "answer")
     if skip_judge:
         given = given.withColumn("judge_score", F.lit(None).cast("int")).withColumn("judge_reason", F.lit(None).cast("string"))
     else:
         given = checkpointed(judged(given, providers))
-    facts = score_cells(cells, reduce(DataFrame.unionByName, hits))
+    facts = score_cells(cells, stack(*hits))
     # A cell that could not be answered is no fact.
     return facts.join(given.drop("question"), list(CELL))
 

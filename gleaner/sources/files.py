@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from gleaner.functions.arrays import let
 from gleaner.functions.text import MODULE_SYMBOL
 from gleaner.operators.chunking import document_chunks, readable_docs, unit_chunks
+from gleaner.operators.joins import stack
 
 # Fixed values.
 SKIP_DIRS = (".git", "node_modules", ".venv", "venv", "__pycache__", "dist", "build")
@@ -168,4 +169,4 @@ def tree_chunks(files: DataFrame, keep_pieces: bool = False) -> DataFrame:
     code = unit_chunks(units.where("kind <> 'unparsed'"), keep_pieces)
     unparsed = units.where("kind = 'unparsed'").select("source_path", "ord", "text")
     docs = readable_docs(document_texts(files)).withColumn("ord", F.lit(0))
-    return code.unionByName(document_chunks(unparsed)).unionByName(document_chunks(docs))
+    return stack(code, document_chunks(unparsed), document_chunks(docs))

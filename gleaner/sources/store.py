@@ -18,6 +18,7 @@ from pyspark.sql.utils import AnalysisException
 
 from gleaner.operators import keyword
 from gleaner.operators.chunking import keep_first
+from gleaner.operators.joins import stack
 from gleaner.operators.keyword import KeywordIndex
 from gleaner.plans.retrieve import META, Corpus, block_of
 from gleaner.providers import OFFLINE, Providers
@@ -65,7 +66,7 @@ def write_keywords(
         )
         sizes = keyword.chunk_sizes(forward)
         if sizes_before is not None:
-            sizes = sizes.unionByName(sizes_before.select("n_docs", "sum_dl")).agg(
+            sizes = stack(sizes, sizes_before.select("n_docs", "sum_dl")).agg(
                 F.sum("n_docs").alias("n_docs"), F.sum("sum_dl").alias("sum_dl")
             )
         sizes.write.mode("overwrite").parquet(f"{root}/sizes/gen={gen}")
@@ -74,7 +75,7 @@ def write_keywords(
     added = spark.table(name).where(F.col("gen") == gen)
     frequencies = keyword.document_frequencies(added)
     if before is not None:
-        frequencies = before.unionByName(frequencies).groupBy("term").agg(F.sum("df").alias("df"))
+        frequencies = stack(before, frequencies).groupBy("term").agg(F.sum("df").alias("df"))
     frequencies.write.mode("overwrite").parquet(f"{root}/vocabulary/gen={gen}")
     totals = keyword.corpus_totals(
         spark.read.parquet(f"{root}/sizes/gen={gen}"), spark.read.parquet(f"{root}/vocabulary/gen={gen}")

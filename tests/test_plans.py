@@ -61,9 +61,18 @@ def test_texts_are_read_only_from_blocks_with_hits(spark, tmp_path):
     assert "dynamicpruning" in text and "BroadcastHashJoin" in text
 
 
-def test_fusion_uses_one_shuffle_by_question(spark):
+def test_fused_legs_of_reused_shuffles_stay_whole(spark):
+    """A leg that is also read elsewhere must not split the groups of the fusion."""
     from gleaner.operators import hybrid
-
-    v = spark.createDataFrame([("q", 0, 1)], "qid string, rank int, chunk_idx bigint")
-    k = spark.createDataFrame([("q", 0, 2, True, True)], "qid string, rank int, chunk_idx bigint, injected boolean, searchable boolean")
-    assert plan(hybrid.pin_and_cut(hybrid.fuse(v, k), 6, 6)).count("Exchange hashpartitioning") == 1
+    from gleaner.operators.joins import stack
+
+    spark.conf.set("spark.sql.unionOutputPartitioning", "true")
+    asked = views.named_questions(spark, SF)
+    words = keyword.keyword_leg(asked, retrieval.index(spark, SF), 100)
+    near = vector.nearest(views.corpus_vectors(spark, SF), views.question_vectors(spark, SF), 100)
+    hits = hybrid.pin_and_cut(hybrid.fuse(near, words), 10, 10)
+    legs = [near.where("rank < 10"), words.where("rank < 10"), hits]
+    every = stack(*[df.select("qid", "rank", F.lit(i).alias("leg")) for i, df in enumerate(legs)])
+    counts = {r["count"] for r in every.groupBy("leg", "qid").count().collect()}
+    joined = asked.select("qid").join(every, "qid", "left").groupBy("qid", "leg").count()
+    assert counts == {10} == {r["count"] for r in joined.collect()}
