@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,8 +27,9 @@ def index(spark: SparkSession, sf_dir: str) -> KeywordIndex:
         name = hashlib.md5(sf_dir.encode()).hexdigest()[:8]
         root = f"{checkpoint_dir(spark)}/gleaner/{spark.sparkContext.applicationId}/{name}"
         shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        write_keywords(views.corpus(spark, sf_dir), root, 0, shards)
-        _indexes[key] = read_keywords(spark, root, [0], shards)
+        gen = time.time_ns()  # a new generation, should an earlier attempt have died half-way
+        write_keywords(views.corpus(spark, sf_dir), root, gen, shards)
+        _indexes[key] = read_keywords(spark, root, [gen], shards)
     return _indexes[key]
 
 

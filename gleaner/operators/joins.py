@@ -89,6 +89,9 @@ def top_ranked(
     within slices of a group, so that the last task of a hot group reads
     SALTS * k rows instead of k per input partition.
     """
+    conf, threshold = df.sparkSession.conf, "spark.sql.optimizer.windowGroupLimitThreshold"
+    if k > int(conf.get(threshold, "1000")):
+        conf.set(threshold, str(k))  # long lists, too, are cut before the shuffle
     if spread_by is not None:
         slices = [*by, "_slice"]
         cut = Window.partitionBy(*slices).orderBy(*order)
@@ -105,16 +108,3 @@ def top_ranked(
         .withColumn(rank, F.col("_rn") - 1)
         .drop("_rn")
     )
-
-
-def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """Keep the first row of every key.
-
-    min_by over the row's order keeps one candidate per key and map task, so a
-    key held by a third of the rows costs one row per task in the shuffle.
-    """
-    rest = [c for c in df.columns if c not in key]
-    kept = df.groupBy(*key).agg(
-        F.min_by(F.struct(*rest), F.struct(*order)).alias("_kept")
-    )
-    return kept.select(*key, "_kept.*").select(*df.columns)

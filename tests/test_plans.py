@@ -76,3 +76,11 @@ def test_fused_legs_of_reused_shuffles_stay_whole(spark):
     counts = {r["count"] for r in every.groupBy("leg", "qid").count().collect()}
     joined = asked.select("qid").join(every, "qid", "left").groupBy("qid", "leg").count()
     assert counts == {10} == {r["count"] for r in joined.collect()}
+
+
+def test_long_lists_are_cut_before_the_shuffle_too(spark):
+    from gleaner.operators.joins import top_ranked
+
+    df = spark.range(5000).select((F.col("id") % 3).alias("g"), "id")
+    text = plan(top_ranked(df, ["g"], [F.col("id").desc()], 1500))
+    assert text.index("WindowGroupLimit") < text.index("Exchange") < text.rindex("WindowGroupLimit")
