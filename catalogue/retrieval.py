@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from catalogue import sql, views
 from gleaner.operators import hybrid, keyword, vector
+from gleaner.operators.joins import estimated_bytes
 from gleaner.operators.keyword import KeywordIndex
 from gleaner.session import checkpoint_dir
 from gleaner.sources.store import read_keywords, write_keywords
 
 K = 10
+SHARD_BYTES = 1 << 30
 
 
 _indexes: dict[tuple[str, str], KeywordIndex] = {}
@@ -26,7 +28,8 @@ def index(spark: SparkSession, sf_dir: str) -> KeywordIndex:
     if key not in _indexes:
         name = hashlib.md5(sf_dir.encode()).hexdigest()[:8]
         root = f"{checkpoint_dir(spark)}/gleaner/{spark.sparkContext.applicationId}/{name}"
-        shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        size = estimated_bytes(views.table(spark, sf_dir, "documents"))
+        shards = max(spark.sparkContext.defaultParallelism, size // SHARD_BYTES)
         gen = time.time_ns()  # a new generation, should an earlier attempt have died half-way
         write_keywords(views.corpus(spark, sf_dir), root, gen, shards)
         _indexes[key] = read_keywords(spark, root, [gen], shards)

@@ -18,8 +18,9 @@ from gleaner.session import checkpointed
 
 def judged(answers: DataFrame, providers: Providers = OFFLINE) -> DataFrame:
     """+ judge_score, judge_reason; both null where the judge gave nothing."""
-    verdict = replies.parse_verdict(providers.judge(F.col("question"), F.col("answer")))
-    return answers.withColumn("v", verdict).select(
+    replied = answers.withColumn("_reply", providers.judge(F.col("question"), F.col("answer")))
+    verdict = F.when(F.col("_reply").isNotNull(), replies.parse_verdict(F.col("_reply")))
+    return replied.withColumn("v", verdict).select(
         *answers.columns, F.col("v.score").alias("judge_score"), F.col("v.reason").alias("judge_reason")
     )
 

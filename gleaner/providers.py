@@ -75,11 +75,13 @@ def model_column(
     backup: Callable[..., str] | None = None,
     attempts: int = 2,
     pause: Callable[[float], None] = time.sleep,
+    forgive: bool = False,
 ) -> Callable[..., Column]:
     """A per-row model call as an Arrow-batched column function.
 
     The first model is tried `attempts` times with growing pauses, then the
-    backup once; a refused request is raised at once.
+    backup once; a refused request is raised at once.  With `forgive`, as for a
+    judge, a row whose call fails is null and the job goes on.
     """
 
     def call(arguments: Sequence[str]) -> str:
@@ -95,8 +97,16 @@ def model_column(
                     pause(2.0**attempt)
         return backup(*arguments)
 
+    def attempt_row(arguments: Sequence[str]) -> str | None:
+        try:
+            return call(arguments)
+        except Exception:
+            if not forgive:
+                raise
+            return None
+
     @F.pandas_udf("string")
     def replies(*columns: pd.Series) -> pd.Series:
-        return pd.Series([call(row) for row in zip(*columns)])
+        return pd.Series([attempt_row(row) for row in zip(*columns)], dtype=object)
 
     return replies

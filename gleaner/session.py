@@ -23,6 +23,8 @@ def session(app: str = "gleaner", cores: int | str | None = None) -> SparkSessio
         # Lists of keys reach the Parquet reader value by value, not as a range.
         .config("spark.sql.parquet.pushdown.inFilterThreshold", "1000")
         .config("spark.driver.memory", "12g")
+        # Building a plan need not record the Python line of every column.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

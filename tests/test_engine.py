@@ -9,6 +9,7 @@ from gleaner.engine import Engine
 from gleaner.operators import keyword
 from gleaner.plans import retrieve as plan
 from gleaner.plans.answering import agentic, ask, search_turn
+from gleaner.plans.evaluation import judged
 from gleaner.providers import OFFLINE, Providers, Refused, model_column
 from gleaner.sources.questions import combine, read_questions, read_results, write_questions, write_results
 from gleaner.sources.store import Store
@@ -198,6 +199,18 @@ def test_model_column_retries_and_falls_back(spark):
         df.select(model_column(refuses, lambda t: t, pause=lambda s: None)("t")).collect()
 
 
+def test_a_failing_judge_leaves_nulls(spark):
+    def judge(question, answer):
+        if answer == "bad":
+            raise OSError("down")
+        return '{"score": 2, "reason": "fine"}'
+
+    providers = Providers(judge=model_column(judge, pause=lambda s: None, forgive=True))
+    df = spark.createDataFrame([("q", "good"), ("q", "bad")], "question string, answer string")
+    got = {r["answer"]: (r["judge_score"], r["judge_reason"]) for r in judged(df, providers).collect()}
+    assert got == {"good": (2, "fine"), "bad": (None, None)}
+
+
 def test_command_line(spark, engine, tmp_path, capsys):
     store = str(tmp_path / "cli")
     base = ["--store", store, "--shards", "2"]
