@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import mixing, quality, secrets, sharding
+from gleaner.llm import mixing, packing, quality, secrets, sharding, simhash, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,6 +25,13 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.clusters(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id"
+    )
+
+
 def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(_read(spark, sf_dir, "documents").select("doc_id", "text", *sharding.DIMENSIONS))
     return placed.select(
@@ -52,6 +59,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = warc.folder(spark)
+    archives = warc.write(warc.planned(_read(spark, sf_dir, "pages").select("page_id", "url", "html")), root)
+    return warc.read(warc.normalise(archives, root))
+
+
 def op8_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select(
@@ -63,11 +76,27 @@ def op8_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(packing.pieces(_read(spark, sf_dir, "documents").select("doc_id", "text")))
+    return packed.select(
+        F.col("id").alias("doc_id"),
+        "piece",
+        "start",
+        "length",
+        F.col("crc").alias("ids_crc32"),
+        F.col("sequence").alias("sequence_id"),
+        "offset",
+    )
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_hilbert_shards": op4_hilbert_shards,
     "op5_quality_rules": op5_quality_rules,
+    "op7_warc_normaliser": op7_warc_normaliser,
     "op8_pareto_mix": op8_pareto_mix,
+    "op9_best_two_fit": op9_best_two_fit,
 }
 
 ORACLES: dict[str, str] = {}
