@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import durable, n_words, whole
+from gleaner.operators.joins import fits_broadcast, join_lookup
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
@@ -104,7 +105,9 @@ def mix(
     rank = odds * (1 - chance) / (odds * (1 - chance) + chance)
     order = F.struct(rank.alias("rank"), F.col("__id").alias("id"), F.col("__size").alias("size"))
     open_ = (chance > 0) & (F.col("__size") > 0)
-    ranked = sized.join(shares, "__source").where(open_).withColumn("__order", order)
+    # A hot source must not be one task: a few sources are broadcast, very many are salted.
+    few = fits_broadcast(shares)
+    ranked = join_lookup(sized, shares, "__source", "__u", few).where(open_).withColumn("__order", order)
     slice_ = F.least(F.floor(F.col("__order.rank") * slices), F.lit(slices - 1)).cast("int")
     sliced = ranked.select("__source", "__left", "__order", slice_.alias("__slice"))
     upto = Window.partitionBy("__source").orderBy("__slice")
@@ -118,7 +121,8 @@ def mix(
     inside = Window.partitionBy("__source").orderBy("__order").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     near = F.abs(F.col("__total") - F.col("__left"))
     best = (
-        sliced.join(found, ["__source", "__slice"])
+        join_lookup(sliced, found.withColumnRenamed("__slice", "__at"), "__source", "__order", few)
+        .where(F.col("__slice") == F.col("__at"))
         .withColumn("__total", F.col("__before") + F.sum("__order.size").over(inside))
         .groupBy("__source")
         .agg(
@@ -139,7 +143,7 @@ def mix(
     plan = shares.join(cuts, "__source", "left")
     extra = F.when(open_ & (F.col("__order") <= F.col("__cut")), 1).otherwise(0)
     return (
-        rows.join(plan, "__source")
+        join_lookup(rows, plan, "__source", "__u", few)
         .withColumn("__order", order)
         .withColumn("__copies", F.when(F.col("__size") > 0, F.col("__sure") + extra).otherwise(0))
         .select("__row.*", "__size", "__source_size", "__target", "__copies")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import mixing, packing, quality, secrets, sharding, simhash, warc
+from gleaner.llm import mixing, neighbours, packing, quality, secrets, sharding, simhash, substrings, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -59,6 +59,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.removal(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    lost = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", lost.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256")
+    )
+
+
 def op7_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = warc.folder(spark)
     archives = warc.write(warc.planned(_read(spark, sf_dir, "pages").select("page_id", "url", "html")), root)
@@ -89,14 +97,20 @@ def op9_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_hilbert_shards": op4_hilbert_shards,
     "op5_quality_rules": op5_quality_rules,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_warc_normaliser": op7_warc_normaliser,
     "op8_pareto_mix": op8_pareto_mix,
     "op9_best_two_fit": op9_best_two_fit,
+    "op10_learned_partitions": op10_learned_partitions,
 }
 
 ORACLES: dict[str, str] = {}
