@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import mixing, neighbours, packing, quality, secrets, sharding, simhash, substrings, warc
+from gleaner.llm import mixing, neighbours, packing, quality, secrets, sharding, simhash, substrings, suffixes, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -32,6 +32,18 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.removal(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    lost = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_bytes",
+        lost.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(_read(spark, sf_dir, "documents").select("doc_id", "text", *sharding.DIMENSIONS))
     return placed.select(
@@ -104,6 +116,7 @@ def op10_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_hilbert_shards": op4_hilbert_shards,
     "op5_quality_rules": op5_quality_rules,
     "op6_substring_dedup": op6_substring_dedup,
