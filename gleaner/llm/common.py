@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.session import checkpointed
+from gleaner.session import checkpoint_dir, checkpointed
 
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
@@ -20,6 +21,16 @@ def durable(df: DataFrame) -> DataFrame:
     return checkpointed(df)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in a new folder below `spark.checkpoint.dir`.
+
+    Takes a third of the space of `durable`, but nothing deletes it.
+    """
+    folder = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def whole(text: str | Column) -> Column:
     """A text, null as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleaner.llm import anchors
-from gleaner.llm.common import durable
-from gleaner.llm.substrings import keyed
+from gleaner.llm.common import written
+from gleaner.llm.texts import Unpack, keyed, packed
 
 LENGTH = 50
 GRAM = 20
@@ -48,8 +48,8 @@ GROUP = 1 << 18
 _APART = -(1 << 20)
 
 
-def octets(text: str | None) -> np.ndarray:
-    return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+def octets(text: bytes) -> np.ndarray:
+    return np.frombuffer(text, np.uint8)
 
 
 def _units() -> np.ndarray:
@@ -77,7 +77,8 @@ def anchor_rows(rows: DataFrame, length: int, gram: int) -> DataFrame:
         for batch in batches:
             found = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                b = anchors.blocks(anchors.Ranges(_UNITS[octets(text.as_py())]), length, gram)
+                data = octets((text.as_py() or "").encode("utf-8", "surrogatepass"))
+                b = anchors.blocks(anchors.Ranges(_UNITS[data]), length, gram)
                 if b is not None:
                     content, at = np.unique(b.content, return_index=True)
                     found.append((b.anchor[at], content, np.full(len(at), doc)))
@@ -147,10 +148,11 @@ def suffix_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
     reach = length - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = Unpack()
         for batch in batches:
             columns: list[list] = [[] for _ in range(7)]
             for doc, text, part in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                data = octets(text.as_py())
+                data = octets(unpack(text))
                 b = anchors.blocks(anchors.Ranges(_UNITS[data]), length, gram)
                 if b is None:
                     continue
@@ -298,11 +300,11 @@ def removal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     if not 0 < length - gram < 63:
         raise ValueError("a gram must be shorter than the length, by less than 63")
     rows = keyed(docs, id_col, text_col)
-    marked = durable(shared_anchors(anchor_rows(rows, length, gram)))
+    marked = written(shared_anchors(anchor_rows(rows, length, gram)))
     # The texts are shuffled once; both joins below reuse it.
-    texts = rows.repartition("doc")
+    texts = packed(rows).repartition("doc")
     part = marked.where(F.size("part") > 0).select("doc", "part")
-    suffixes = suffix_rows(texts.join(part, "doc").select("doc", "text", "part"), length, gram)
+    suffixes = suffix_rows(texts.join(part, "doc").select("doc", "packed", "part"), length, gram)
     strings = shared_strings(suffixes, length).groupBy("doc").agg(F.collect_list(F.struct("content", "mask")).alias("strings"))
     lists = marked.where(F.size("gone") > 0).select("doc", "gone").join(strings, "doc", "full_outer")
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -311,10 +313,11 @@ def removal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = Unpack()
         for batch in batches:
             counts, spans, kept = [], [], []
             for text, gone, alone in zip(batch.column(1), batch.column(2), batch.column(3)):
-                data = octets(text.as_py())
+                data = octets(unpack(text))
                 lost = np.zeros(len(data), bool)
                 if gone.is_valid or alone.is_valid:
                     b = anchors.blocks(anchors.Ranges(_UNITS[data]), length, gram)
@@ -330,7 +333,7 @@ def removal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
                 names=schema.names,
             )
 
-    joined = texts.join(lists, "doc", "left").select("id", "text", "gone", "strings")
+    joined = texts.join(lists, "doc", "left").select("id", "packed", "gone", "strings")
     return joined.mapInArrow(run, schema)
 
 
