@@ -68,12 +68,14 @@ def balanced_parts(vectors: np.ndarray, edges: np.ndarray, parts: int, rounds: i
     """
     label = np.zeros(len(vectors), np.int64)
     for _ in range(int(np.log2(parts))):
+        halves = np.empty_like(label)
         for part in np.unique(label):
             own = np.flatnonzero(label == part)
             centred = vectors[own] - vectors[own].mean(0)
             axis = np.linalg.eigh(centred.T @ centred)[1][:, -1]
-            label[own] = 2 * part
-            label[own[np.argsort(centred @ axis, kind="stable")[len(own) // 2 :]]] = 2 * part + 1
+            halves[own] = 2 * part
+            halves[own[np.argsort(centred @ axis, kind="stable")[len(own) // 2 :]]] = 2 * part + 1
+        label = halves
     room = int(np.ceil(1.1 * len(vectors) / parts))
     sizes = np.bincount(label, minlength=parts)
     ends = np.repeat(np.arange(len(vectors)), edges.shape[1])
