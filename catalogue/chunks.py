@@ -313,9 +313,8 @@ packed AS (
 SELECT flush, batch::BIGINT AS batch, doc_id AS chunk_idx, n AS n_tokens FROM packed""",
     "quality_filter": f"{sql.ctes(sql.CORPUS, _VARIED)} SELECT chunk_id, source_path, symbol FROM good",
     "hash_sample": f"{sql.ctes(sql.CORPUS)} SELECT chunk_id FROM corpus ORDER BY md5('42:' || chunk_id), chunk_id LIMIT {SAMPLE}",
-    "question_sources": f"""{sql.ctes(sql.CORPUS, _VARIED)},
-drawn AS (SELECT chunk_id FROM varied ORDER BY md5('42:' || chunk_id), chunk_id LIMIT {8 * SOURCES})
-SELECT chunk_id, source_path FROM good WHERE chunk_id IN (SELECT chunk_id FROM drawn) ORDER BY md5('42:' || chunk_id), chunk_id LIMIT {SOURCES}""",
+    "question_sources": f"""{sql.ctes(sql.CORPUS, _VARIED)}
+SELECT chunk_id, source_path FROM good ORDER BY md5('42:' || chunk_id), chunk_id LIMIT {SOURCES}""",
     "corpus_stats": f"""{_CHUNKS}
 SELECT 'doc' AS kind, count(*) AS n_chunks, count(DISTINCT chunk_id) AS n_ids, count(DISTINCT source_path) AS n_paths, sum(length(body))::BIGINT AS n_chars FROM ids""",
 }

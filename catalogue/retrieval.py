@@ -13,12 +13,9 @@ from gleaner.operators import hybrid, keyword, vector
 from gleaner.operators.joins import estimated_bytes
 from gleaner.operators.keyword import KeywordIndex
 from gleaner.session import checkpoint_dir
-from gleaner.sources.store import read_keywords, write_keywords
+from gleaner.sources.store import read_keywords, sized_shards, write_keywords
 
 K = 10
-SHARD_BYTES = 1 << 30
-
-
 _indexes: dict[tuple[str, str], KeywordIndex] = {}
 
 
@@ -29,7 +26,7 @@ def index(spark: SparkSession, sf_dir: str) -> KeywordIndex:
         name = hashlib.md5(sf_dir.encode()).hexdigest()[:8]
         root = f"{checkpoint_dir(spark)}/gleaner/{spark.sparkContext.applicationId}/{name}"
         size = estimated_bytes(views.table(spark, sf_dir, "documents"))
-        shards = max(spark.sparkContext.defaultParallelism, size // SHARD_BYTES)
+        shards = max(spark.sparkContext.defaultParallelism, sized_shards(size))
         gen = time.time_ns()  # a new generation, should an earlier attempt have died half-way
         write_keywords(views.corpus(spark, sf_dir), root, gen, shards)
         _indexes[key] = read_keywords(spark, root, [gen], shards)
@@ -49,7 +46,8 @@ def bm25_injected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = vector.nearest(views.corpus_vectors(spark, sf_dir), views.question_vectors(spark, sf_dir), K)
+    vectors = views.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_idx"), "embedding")
+    hits = vector.nearest(vectors, views.question_vectors(spark, sf_dir), K)
     return hits.select(
         "qid", F.col("rank").cast("bigint").alias("rank"), "chunk_idx", F.round("similarity", 6).alias("similarity")
     )
@@ -87,6 +85,8 @@ QUERIES = {
 }
 
 _KEYWORD = (sql.CORPUS, sql.INDEXED)
+# Plain vector search reads every vector, those without a document, too.
+_ALL_VECTORS = sql.VECTORS.replace(" WHERE vec_id IN (SELECT doc_id FROM documents)", "")
 NAMED = sql.ctes(*_KEYWORD, sql.NAMED_QUESTIONS, sql.NAMES, sql.SYMBOLS, sql.INJECT, sql.scores())
 PLAIN = sql.ctes(*_KEYWORD, sql.QUESTIONS, sql.NAMES, sql.SYMBOLS, sql.INJECT, sql.scores())
 
@@ -101,7 +101,7 @@ SELECT qid, rank, chunk_idx, round(score, 6) AS score FROM (
   SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_idx) - 1 AS rank, chunk_idx, score
   FROM scored WHERE score > 0) WHERE rank < {K}""",
     "bm25_injected": f"{NAMED},{sql.keyword_leg(K)}\nSELECT qid, rank, chunk_idx, round(score, 6) AS score, injected FROM kleg",
-    "vector_topk": f"{sql.ctes(sql.VECTORS, sql.vector_leg(K))}\nSELECT qid, rank, chunk_idx, round(similarity, 6) AS similarity FROM vleg",
+    "vector_topk": f"{sql.ctes(_ALL_VECTORS, sql.vector_leg(K))}\nSELECT qid, rank, chunk_idx, round(similarity, 6) AS similarity FROM vleg",
     "hybrid_rrf": ",\n".join((PLAIN, sql.keyword_leg(60), sql.VECTORS, sql.vector_leg(60), sql.hybrid(6, 6, pin=False)))
     + "\nSELECT qid, rank, chunk_idx, round(score, 9) AS score, source FROM hyb",
     "hybrid_pinned": named_hybrid(6, 6, 60) + "\nSELECT qid, rank, chunk_idx, round(score, 9) AS score, source FROM hyb",

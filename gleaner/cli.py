@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from gleaner.engine import Engine
 from gleaner.functions.layout import citation
 from gleaner.operators import summary
-from gleaner.operators.items import MAX_ITEMS
 from gleaner.plans.retrieve import METHODS
 from gleaner.session import session
 from gleaner.sources.questions import read_questions, write_questions, write_results
@@ -23,7 +22,7 @@ from gleaner.sources.questions import read_questions, write_questions, write_res
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="gleaner", description="Retrieval analytics over text and code, on Spark.")
     p.add_argument("--store", default=os.environ.get("GLEANER_STORE", "gleaner-store"), help="folder of the stored corpus")
-    p.add_argument("--shards", type=int, default=8, help="shards of the keyword index, fixed when the store is new")
+    p.add_argument("--shards", type=int, default=None, help="shards of the keyword index, fixed when the store is new; sized by the data if not given")
     sub = p.add_subparsers(dest="command", required=True)
 
     c = sub.add_parser("ingest", help="chunk a source tree into the store")
@@ -40,7 +39,7 @@ def parser() -> argparse.ArgumentParser:
     c = sub.add_parser("ingest-items", help="add closed tracker items from a JSON-lines dump")
     c.add_argument("repo", help="owner/repo")
     c.add_argument("dump")
-    c.add_argument("--max-items", type=int, default=MAX_ITEMS)
+    c.add_argument("--max-items", type=int, default=None, help="keep those updated last; all if not given")
 
     c = sub.add_parser("gen-eval", help="write questions about sampled chunks")
     c.add_argument("--n", type=int, default=1000)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.operators import summary
-from gleaner.operators.items import MAX_ITEMS, item_chunks
+from gleaner.operators.items import BODY_CHARS, item_chunks
 from gleaner.operators.sampling import hash_sample
 from gleaner.plans.answering import Planner, ask, symbol_planner
 from gleaner.plans.evaluation import evaluate, generate_questions
@@ -30,7 +30,7 @@ class Engine:
     root: str
     providers: Providers = OFFLINE
     planner: Planner = symbol_planner
-    shards: int = 8
+    shards: int | None = None
     keep_pieces: bool = False
     store: Store = field(init=False)
 
@@ -44,12 +44,15 @@ class Engine:
         chunks = tree_chunks(read_tree(self.spark, tree), self.keep_pieces)
         return self.store.add(chunks, [F.col(c) for c in TREE_ORDER], self.providers)
 
-    def ingest_items(self, repo: str, dump: str | DataFrame, max_items: int = MAX_ITEMS) -> int:
-        """Add closed tracker items of owner/repo to the stored corpus."""
+    def ingest_items(self, repo: str, dump: str | DataFrame, max_items: int | None = None, body_chars: int | None = BODY_CHARS) -> int:
+        """Add closed tracker items of owner/repo to the stored corpus: all, or those updated last.
+
+        Bodies are cut to `body_chars` characters, or not if it is None.
+        """
         if "/" not in repo:
             raise ValueError("repo must be owner/repo")
         items = dump if isinstance(dump, DataFrame) else read_dump(self.spark, dump, max_items)
-        chunks = item_chunks(items, repo.split("/", 1)[1])
+        chunks = item_chunks(items, repo.split("/", 1)[1], body_chars)
         return self.store.add(chunks, [F.col(c) for c in ITEM_ORDER], self.providers)
 
     def questions(self, *texts: str) -> DataFrame:

@@ -14,7 +14,6 @@ from gleaner.operators.chunking import newlines, with_chunk_id
 BODY_CHARS = 6000
 BODY_CUT_MARK = "\n\n[... truncated ...]"
 TITLE_CHARS = 80
-MAX_ITEMS = 5000
 
 ITEM_JSON = (
     "number bigint, title string, body string, state string, labels array<struct<name string>>, "
@@ -43,18 +42,20 @@ def parse_items(raw: DataFrame, column: str = "json") -> DataFrame:
     )
 
 
-def latest_closed(items: DataFrame, n: int = MAX_ITEMS) -> DataFrame:
-    """The n closed items updated last."""
-    return items.where("state = 'closed'").orderBy(F.desc("updated_at"), F.desc("number")).limit(n)
+def latest_closed(items: DataFrame, n: int | None = None) -> DataFrame:
+    """The closed items: all, or the n updated last."""
+    closed = items.where("state = 'closed'")
+    return closed if n is None else closed.orderBy(F.desc("updated_at"), F.desc("number")).limit(n)
 
 
-def item_chunks(items: DataFrame, repo: str) -> DataFrame:
-    """Items with a title -> chunks of kind issue or pr."""
+def item_chunks(items: DataFrame, repo: str, body_chars: int | None = BODY_CHARS) -> DataFrame:
+    """Items with a title -> chunks of kind issue or pr; None keeps whole bodies."""
     title = tx.strip(F.col("title"))
     body: Column = let(
         tx.strip(F.coalesce("body", F.lit(""))),
         lambda b: F.when(
-            F.length(b) > BODY_CHARS, F.concat(F.substring(b, 1, BODY_CHARS), F.lit(BODY_CUT_MARK))
+            F.lit(body_chars is not None) & (F.length(b) > (body_chars or 0)),
+            F.concat(F.substring(b, 1, body_chars or 0), F.lit(BODY_CUT_MARK)),
         ).when(b != "", b),
     )
     kind = F.when(F.col("is_pr"), "pr").otherwise("issue")

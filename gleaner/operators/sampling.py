@@ -11,10 +11,6 @@ from gleaner.functions.text import MODULE_SYMBOL
 MIN_TEXT_CHARS = 200
 TEST_MARKS = ("/tests/", "/test_")
 SKIPPED_PREFIXES = ("tests/", "dev/", "devel-common/")
-OVERSAMPLE = 8
-
-# The draw is 8 n ids at most; up to this many travel to every executor.
-BROADCAST_IDS = 100_000
 
 
 def shuffled_order(seed: int, key: str) -> list[Column]:
@@ -44,11 +40,10 @@ def worth_asking(chunks: DataFrame) -> DataFrame:
 
 
 def question_sources(chunks: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """Up to n chunks worth a question among the first 8 n of the shuffled order.
+    """The first n chunks of the shuffled order that are worth a question.
 
-    Only ids are sorted; the texts are read for the drawn ids alone.
+    The filter comes first and only ids are ordered; the texts are read for
+    the drawn ids alone.
     """
-    drawn = hash_sample(chunks.select("chunk_id"), OVERSAMPLE * n, "chunk_id", seed)
-    if OVERSAMPLE * n <= BROADCAST_IDS:
-        drawn = F.broadcast(drawn)
-    return hash_sample(worth_asking(chunks.join(drawn, "chunk_id", "left_semi")), n, "chunk_id", seed)
+    drawn = hash_sample(worth_asking(chunks).select("chunk_id"), n, "chunk_id", seed)
+    return chunks.join(drawn, "chunk_id", "left_semi")

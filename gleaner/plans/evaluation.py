@@ -53,7 +53,7 @@ def evaluate(
         given = checkpointed(judged(given, providers))
     facts = score_cells(cells, stack(*hits))
     # A cell that could not be answered is no fact.
-    return facts.join(given.drop("question"), list(CELL))
+    return facts.join(given.where("answer IS NOT NULL").drop("question"), list(CELL))
 
 
 def generate_questions(chunks: DataFrame, n: int, seed: int = 42, providers: Providers = OFFLINE) -> DataFrame:

@@ -19,7 +19,7 @@ ALIASES = {
     "hybrid_rerank": {"rerank": True},
     "hybrid_hyde": {"hyde": True},
     "hybrid_rerank_hyde": {"rerank": True, "hyde": True},
-    "hybrid_voyage_rerank": {"code_rerank": True},
+    "hybrid_code_rerank": {"code_rerank": True},
 }
 BASES = ("vector", "bm25", "hybrid")
 RETRIEVAL_METHODS = (*BASES, *ALIASES)
@@ -144,6 +144,6 @@ def retrieve(
         if how.rerank:
             hits = rerank(hits, k, providers.rerank)
         if how.code_rerank:
-            hits = rerank(hits, k, providers.code_rerank, "voyage", REMOTE_TEXT_CHARS)
+            hits = rerank(hits, k, providers.code_rerank, "code", REMOTE_TEXT_CHARS)
         hits = hits.drop("question")
     return hits.select("qid", "rank", "chunk_idx", "score", "source", "rerank_score", *META)

@@ -20,13 +20,12 @@ from gleaner.functions.layout import BLOCK_RULE
 from gleaner.functions.replies import INSUFFICIENT
 from gleaner.operators.rerank import Scorer, overlap_scorer
 
-ANSWER_CHARS = 400
 SOURCE_CHARS = 1500
 
 
 def _first_block(question: Column, context: Column) -> Column:
     """Quote the first snippet, or admit that there is none."""
-    first = F.substring(F.get(F.split(context, BLOCK_RULE), F.lit(0)), 1, ANSWER_CHARS)
+    first = F.get(F.split(context, BLOCK_RULE), F.lit(0))
     return F.when(context == "", F.lit(INSUFFICIENT)).otherwise(first)
 
 

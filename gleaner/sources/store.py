@@ -1,9 +1,9 @@
 """The stored corpus: chunks, vectors and the keyword index as Parquet tables.
 
-Every ingest writes a new generation next to the old ones and is visible only
-once its commit row is there, so a job that dies half-way leaves nothing
-behind that a reader sees, and running it again is safe.  Nothing is rewritten
-in place.
+Every ingest writes a new generation, with chunks, vectors and index, next to
+the old ones; one commit row at the end makes all of it visible.  A job that
+dies before leaves nothing that a reader sees, and running it again stores
+everything.  Nothing is rewritten in place.
 """
 
 from __future__ import annotations
@@ -20,28 +20,41 @@ from gleaner.operators import keyword
 from gleaner.operators.chunking import keep_first
 from gleaner.operators.joins import stack
 from gleaner.operators.keyword import KeywordIndex
-from gleaner.plans.retrieve import META, Corpus, block_of
+from gleaner.plans.retrieve import BLOCK_ROW_BITS, META, Corpus, block_of
 from gleaner.providers import OFFLINE, Providers
 
 CHUNK_SCHEMA = (
     "chunk_idx bigint, chunk_id string, text string, source_path string, kind string, symbol string, "
     "start_line int, end_line int, block bigint"
 )
-COMMIT_SCHEMA = "seq bigint, gen bigint, what string, n_rows bigint"
-# chunk_idx = sequence number of the ingest, then the position within it.
-SEQUENCE_BITS = 53
+COMMIT_SCHEMA = "seq bigint, gen bigint, what string, n_rows bigint, shards int, next_block bigint"
+# What a commit stands for.
+RESET, CHUNKS, INDEXED, REBUILT = "reset", "chunks", "indexed", "rebuilt"
+# Text that one shard of the keyword index is meant for.  A bucketed table has
+# 100,000 buckets at most by default.
+SHARD_BYTES = 2 << 30
+LEAST_SHARDS, MOST_SHARDS = 8, 65_536
+
+
+def sized_shards(text_bytes: int) -> int:
+    """Shards for so much text; later ingests add to the same shards."""
+    return int(min(max(text_bytes // SHARD_BYTES, LEAST_SHARDS), MOST_SHARDS))
 
 
 def keyword_tables(spark: SparkSession, root: str, shards: int) -> str:
-    """Name of the bucketed postings table over `root`, known to this session's catalog."""
-    name = "postings_" + hashlib.md5(root.encode()).hexdigest()[:16]
+    """Name of the bucketed postings table over `root`, known to this session's catalog.
+
+    Name and folder hold the number of shards: files are never read by another one.
+    """
+    folder = f"{root}/postings-{shards}"
+    name = "postings_" + hashlib.md5(folder.encode()).hexdigest()[:16]
     if not spark.catalog.tableExists(name):
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/postings")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
         spark.sql(
             f"CREATE TABLE {name} (key STRING, chunk_idx BIGINT, tf INT, dl INT, gen BIGINT) USING parquet "
             f"PARTITIONED BY (gen) CLUSTERED BY (chunk_idx) SORTED BY (key) INTO {shards} BUCKETS "
-            f"LOCATION '{root}/postings'"
+            f"LOCATION '{folder}'"
         )
     return name
 
@@ -96,65 +109,78 @@ def read_keywords(spark: SparkSession, root: str, gens: list[int], shards: int)
 
 @dataclass(frozen=True)
 class Store:
-    """A corpus under one folder.  `shards` is fixed when the store is first written."""
+    """A corpus under one folder.
+
+    The number of index shards is kept with the corpus: given, or sized by the
+    first ingest.  Opening a store with another number is an error.
+    """
 
     spark: SparkSession
     root: str
-    shards: int = 8
+    shards: int | None = None
 
-    def _commits(self) -> list:
-        """Commit rows since the last reset; one row per ingest."""
+    def _all_commits(self) -> list:
         try:
-            rows = self.spark.read.schema(COMMIT_SCHEMA).json(f"{self.root}/commits").orderBy("seq", "gen").collect()
+            return self.spark.read.schema(COMMIT_SCHEMA).json(f"{self.root}/commits").orderBy("seq", "gen").collect()
         except AnalysisException:
             return []
-        resets = [i for i, row in enumerate(rows) if row["what"] == "reset"]
+
+    def _commits(self) -> list:
+        """Commit rows since the last reset; one row per ingest."""
+        rows = self._all_commits()
+        resets = [i for i, row in enumerate(rows) if row["what"] == RESET]
         return rows[resets[-1] + 1 :] if resets else rows
 
-    def _sequence(self) -> int:
-        try:
-            last = self.spark.read.schema(COMMIT_SCHEMA).json(f"{self.root}/commits").agg(F.max("seq")).first()[0]
-        except AnalysisException:
-            last = None
-        return 0 if last is None else last + 1
+    def _stored_shards(self, commits: list) -> int | None:
+        stored = next((row["shards"] for row in commits if row["shards"]), None)
+        if stored and self.shards and stored != self.shards:
+            raise ValueError(f"the store under {self.root} has {stored} shards, not {self.shards}")
+        return stored or self.shards
 
-    def _commit(self, seq: int, gen: int, what: str, n_rows: int = 0) -> None:
-        row = self.spark.createDataFrame([(seq, gen, what, n_rows)], COMMIT_SCHEMA)
+    def _commit(self, what: str, gen: int, n_rows: int = 0, shards: int | None = None, next_block: int = 0) -> None:
+        """The last step of every change: what it wrote becomes visible at once."""
+        seq = max((row["seq"] for row in self._all_commits()), default=-1) + 1
+        row = self.spark.createDataFrame([(seq, gen, what, n_rows, shards, next_block)], COMMIT_SCHEMA)
         row.coalesce(1).write.mode("append").json(f"{self.root}/commits")
 
-    def _gens(self, what: str) -> list[int]:
-        return [row["gen"] for row in self._commits() if row["what"] == what]
+    @staticmethod
+    def _gens(commits: list) -> list[int]:
+        return [row["gen"] for row in commits if row["what"] in (CHUNKS, INDEXED)]
+
+    @staticmethod
+    def _keyword_gens(commits: list) -> list[int]:
+        """Generations that make up the index: those since it was last built as a whole."""
+        rebuilt = [i for i, row in enumerate(commits) if row["what"] == REBUILT]
+        return [row["gen"] for row in commits[rebuilt[-1] if rebuilt else 0 :] if row["what"] in (INDEXED, REBUILT)]
 
     def _read(self, table: str, gens: list[int]) -> DataFrame:
         return self.spark.read.parquet(*[f"{self.root}/{table}/gen={g}" for g in gens])
 
+    def _chunks(self, gens: list[int]) -> DataFrame:
+        stored = self.spark.read.schema(CHUNK_SCHEMA).option("basePath", f"{self.root}/chunks")
+        return stored.parquet(*[f"{self.root}/chunks/gen={g}" for g in gens]).drop("gen")
+
     def reset(self) -> None:
         """Forget everything ingested so far."""
-        self._commit(self._sequence(), time.time_ns(), "reset")
+        self._commit(RESET, time.time_ns())
 
     def count(self) -> int:
-        return sum(row["n_rows"] for row in self._commits() if row["what"] == "chunks")
+        return sum(row["n_rows"] for row in self._commits() if row["what"] in (CHUNKS, INDEXED))
 
     def chunks(self) -> DataFrame:
-        gens = self._gens("chunks")
+        gens = self._gens(self._commits())
         if not gens:
             raise ValueError(f"nothing is stored under {self.root}")
-        stored = self.spark.read.schema(CHUNK_SCHEMA).option("basePath", f"{self.root}/chunks")
-        return stored.parquet(*[f"{self.root}/chunks/gen={g}" for g in gens]).drop("gen")
+        return self._chunks(gens)
 
     def vectors(self) -> DataFrame:
-        return self._read("vectors", self._gens("chunks"))
+        return self._read("vectors", self._gens(self._commits()))
 
     def keywords(self) -> KeywordIndex | None:
         """The keyword index, or None before the first one is built."""
         commits = self._commits()
-        built = [row["gen"] for row in commits if row["what"] in ("keywords", "rebuilt")]
-        if not built:
-            return None
-        rebuilt = [i for i, row in enumerate(commits) if row["what"] == "rebuilt"]
-        if rebuilt:
-            built = [row["gen"] for row in commits[rebuilt[-1] :] if row["what"] in ("keywords", "rebuilt")]
-        return read_keywords(self.spark, self.root, built, self.shards)
+        built = self._keyword_gens(commits)
+        return read_keywords(self.spark, self.root, built, self._stored_shards(commits)) if built else None
 
     def corpus(self) -> Corpus:
         return Corpus(self.chunks(), self.vectors(), self.keywords())
@@ -164,15 +190,18 @@ class Store:
     ) -> int:
         """Store new chunks in the given order; an id that is there already is left alone.
 
-        Returns the number of chunks stored.
+        Returns the number of chunks stored.  Chunks, vectors and index become
+        visible together, with the commit at the end.
         """
-        seq, gen = self._sequence(), time.time_ns()
+        commits, gen = self._commits(), time.time_ns()
+        shards = self._stored_shards(commits)
+        first_block = max((row["next_block"] or 0 for row in commits), default=0)
         fresh = keep_first(chunks, order)
-        if self._gens("chunks"):
-            fresh = fresh.join(self.chunks().select("chunk_id"), "chunk_id", "left_anti")
+        if gens := self._gens(commits):
+            fresh = fresh.join(self._chunks(gens).select("chunk_id"), "chunk_id", "left_anti")
         # Range partitions in order, then ids that rise with partition and row.
         placed = fresh.repartitionByRange(*order).sortWithinPartitions(*order)
-        idx = F.lit(seq << SEQUENCE_BITS) + F.monotonically_increasing_id()
+        idx = F.lit(first_block << BLOCK_ROW_BITS) + F.monotonically_increasing_id()
         symbol = F.coalesce("symbol", F.lit("")).alias("symbol")
         columns = [symbol if c == "symbol" else F.col(c) for c in META]
         # One range partition is one block, so every task writes one file.
@@ -182,23 +211,24 @@ class Store:
         written.select("chunk_idx", providers.embed(F.col("text")).alias("embedding")).write.parquet(
             f"{self.root}/vectors/gen={gen}"
         )
-        n_rows = written.count()
-        old = self._statistics() if build_keywords else None
-        self._commit(seq, gen, "chunks", n_rows)
+        found = written.agg(
+            F.count("*").alias("rows"), F.max("block").alias("last"), F.sum(F.octet_length("text")).alias("bytes")
+        ).first()
+        shards = shards or sized_shards(found["bytes"] or 0)
         if build_keywords:
-            write_keywords(written, self.root, gen, self.shards, *(old or ()))
-            self._commit(seq, gen, "keywords")
-        return n_rows
+            write_keywords(written, self.root, gen, shards, *(self._statistics(commits) or ()))
+        next_block = first_block if found["last"] is None else found["last"] + 1
+        self._commit(INDEXED if build_keywords else CHUNKS, gen, found["rows"], shards, next_block)
+        return found["rows"]
 
-    def _statistics(self) -> tuple[DataFrame, DataFrame] | None:
-        built = [row["gen"] for row in self._commits() if row["what"] in ("keywords", "rebuilt")]
-        if not built:
-            return None
-        return self._read("vocabulary", built[-1:]), self._read("sizes", built[-1:])
+    def _statistics(self, commits: list) -> tuple[DataFrame, DataFrame] | None:
+        last = self._keyword_gens(commits)[-1:]
+        return (self._read("vocabulary", last), self._read("sizes", last)) if last else None
 
     def rebuild_keywords(self) -> int:
         """Index every stored chunk anew, without embedding anything."""
-        seq, gen = self._sequence(), time.time_ns()
-        write_keywords(self.chunks(), self.root, gen, self.shards)
-        self._commit(seq, gen, "rebuilt")
+        commits, gen = self._commits(), time.time_ns()
+        shards = self._stored_shards(commits) or LEAST_SHARDS
+        write_keywords(self.chunks(), self.root, gen, shards)
+        self._commit(REBUILT, gen, shards=shards, next_block=max((r["next_block"] or 0 for r in commits), default=0))
         return self.count()

@@ -16,9 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
-from gleaner.operators.items import MAX_ITEMS, latest_closed, parse_items
+from gleaner.operators.items import latest_closed, parse_items
 
 # Fixed values.
+MAX_ITEMS = 5000  # of a live fetch, unless the option says otherwise
 PAGE_ITEMS = 100
 PAGE_PAUSE_SEC = 0.5
 RATE_LIMIT_SLACK_SEC = 5
@@ -85,7 +86,7 @@ def tracker_source(fetch: Fetch, name: str = "tracker", pause: Callable[[float],
     return Tracker
 
 
-def read_dump(spark: SparkSession, path: str, max_items: int = MAX_ITEMS) -> DataFrame:
-    """Closed items of a dump with one JSON object per line, newest first."""
+def read_dump(spark: SparkSession, path: str, max_items: int | None = None) -> DataFrame:
+    """Closed items of a dump with one JSON object per line: all, or those updated last."""
     raw = spark.read.text(path).where(F.trim("value") != "").withColumnRenamed("value", "json")
     return latest_closed(parse_items(raw), max_items)
