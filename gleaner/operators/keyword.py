@@ -2,21 +2,27 @@
 
 The index is sharded by chunk: all postings of a chunk lie in one hash
 partition (or one bucket of the stored table), so every question is scored
-without shuffling (question, chunk) pairs.  The only shuffle behind the scan is
-the top-k, and that is cut to k rows per question and task before it starts.
+where the postings are.  A task gathers the asked terms of each chunk, scores
+blocks of chunks against all questions as arrays, and hands on k rows per
+question; pairs of question and chunk never become rows.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as tx
 from gleaner.functions.arrays import counted
-from gleaner.operators.joins import fits_broadcast, join_lookup, many_tasks, stack, top_ranked
+from gleaner.operators.joins import fits_broadcast, join_lookup, many_tasks, measured_bytes, stack, top_ranked
+from gleaner.session import checkpointed
 
 # Fixed values of the scoring rule.
 K1 = 1.5
@@ -27,6 +33,12 @@ SCORE_DIGITS = 9
 
 # So many distinct keys go into the scan as a filter.
 LISTED_KEYS = 500
+# Keys of so many bytes are asked in one pass over the index.
+QUESTION_BYTES = 32 << 20
+# (chunk, question) scores that a task holds at once.
+BLOCK_CELLS = 1 << 21
+# Named chunks come first: their value is their position less this.
+NAMED_FIRST = 1e12
 
 # Symbol names share the key column with terms; no term starts with this mark.
 NAME_MARK = "="
@@ -155,62 +167,185 @@ def question_keys(questions: DataFrame) -> DataFrame:
     ).select("qid", "k.key", "k.qtf", "k.pos", "searchable", "named")
 
 
-def keyword_matches(questions: DataFrame, index: KeywordIndex) -> DataFrame:
-    """Every (question, chunk) that shares a term or a symbol name.
+@dataclass(frozen=True)
+class _Asked:
+    """A batch of questions as arrays: question rows, and per key the questions that ask it.
 
-    -> (qid, chunk_idx, score, pos, searchable, named); pos is null unless a name matched.
+    Keys are numbered by their place; `first` bounds the askers of each key.
     """
-    keys = question_keys(questions)
-    small = fits_broadcast(keys)
-    n_docs = index.totals.select("n_docs").scalar()
-    avgdl = index.totals.select("avgdl").scalar()
-    floor = index.totals.select("idf_floor").scalar()
-
-    idf = index.frequencies.select(F.col("term").alias("key"), raw_idf(n_docs, F.col("df")).alias("idf"))
-    idf = idf.withColumn("idf", F.when(F.col("idf") < 0, floor).otherwise(F.col("idf")))
-    asked_terms = keys.where("pos IS NULL")
+
+    qids: list
+    searchable: np.ndarray
+    named: np.ndarray
+    keys: list[str]
+    first: np.ndarray
+    asker: np.ndarray
+    weight: np.ndarray  # nan for a name
+    pos: np.ndarray  # -1 for a term
+    avgdl: float
+
+
+def _asked(keys: DataFrame, index: KeywordIndex) -> _Asked:
+    """Bring a batch of question keys, of bounded size, to the driver with their weights."""
+    totals = index.totals.select("n_docs", "avgdl", "idf_floor").first()
+    terms = keys.where("pos IS NULL")
+    df = index.frequencies.join(F.broadcast(terms.select(F.col("key").alias("term")).distinct()), "term")
+    counts = {r["term"]: r["df"] for r in df.select("term", "df").collect()}
+    rows = sorted(keys.collect(), key=lambda r: (r["key"], r["qid"]))
     # Not every key is a known term, but unknown terms match no chunk either.
-    weighted = stack(
-        idf.join(F.broadcast(asked_terms) if small else asked_terms, "key").select(
-            "qid", "key", (F.col("qtf") * F.col("idf")).alias("weight"), "pos", "searchable", "named"
-        ),
-        keys.where("pos IS NOT NULL").select(
-            "qid", "key", F.lit(None).cast("double").alias("weight"), "pos", "searchable", "named"
-        ),
-    )
-    tf = F.col("tf")
-    saturated = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / avgdl))
-    return (
-        join_lookup(_postings_of(index.postings, keys, small), weighted, "key", "chunk_idx", small)
-        .groupBy("qid", "chunk_idx")
-        .agg(
-            F.coalesce(F.sum(F.col("weight") * saturated), F.lit(0.0)).alias("score"),
-            F.min("pos").alias("pos"),
-            F.max("searchable").alias("searchable"),
-            F.max("named").alias("named"),
-        )
+    rows = [r for r in rows if r["pos"] is not None or r["key"] in counts]
+    qids = sorted({r["qid"] for r in rows})
+    number = {q: i for i, q in enumerate(qids)}
+    flags = {r["qid"]: (r["searchable"], r["named"]) for r in rows}
+
+    def weight(row) -> float:
+        if row["pos"] is not None:
+            return math.nan
+        n, found = totals["n_docs"], counts[row["key"]]
+        idf = math.log(n - found + 0.5) - math.log(found + 0.5)
+        return row["qtf"] * (totals["idf_floor"] if idf < 0 else idf)
+
+    names = [r["key"] for r in rows]
+    first = [i for i, key in enumerate(names) if i == 0 or names[i - 1] != key]
+    return _Asked(
+        qids,
+        np.array([flags[q][0] for q in qids], bool),
+        np.array([flags[q][1] for q in qids], bool),
+        [names[i] for i in first],
+        np.array([*first, len(rows)], np.int64),
+        np.array([number[r["qid"]] for r in rows], np.int64),
+        np.array([weight(r) for r in rows], np.float64),
+        np.array([-1 if r["pos"] is None else r["pos"] for r in rows], np.int64),
+        totals["avgdl"],
     )
 
 
-def _spread(index: KeywordIndex) -> str | None:
-    return "chunk_idx" if many_tasks(index.postings) else None
+class _Lists:
+    """The k first chunks of every question so far; smaller values come first, then smaller ids."""
+
+    def __init__(self, questions: int, k: int):
+        self.k = k
+        self.last = np.full(questions, np.inf)
+        self.rows: list[tuple[np.ndarray, ...]] = [()] * questions
+
+    def offer(self, values: np.ndarray, chunks: np.ndarray, scores: np.ndarray, pos: np.ndarray) -> None:
+        """Values by (chunk, question), inf where the chunk is no hit."""
+        for q in np.flatnonzero((values <= self.last).any(axis=0) & np.isfinite(values).any(axis=0)):
+            column = values[:, q]
+            at = np.flatnonzero((column <= self.last[q]) & np.isfinite(column))
+            if len(at) > self.k:
+                edge = np.partition(column[at], self.k - 1)[self.k - 1]
+                at = at[column[at] <= edge]
+            new = (column[at], chunks[at], scores[at, q], pos[at, q])
+            if self.rows[q]:
+                new = tuple(np.concatenate(c) for c in zip(self.rows[q], new))
+            order = np.lexsort((new[1], new[0]))[: self.k]
+            self.rows[q] = tuple(c[order] for c in new)
+            if len(order) == self.k:
+                self.last[q] = self.rows[q][0][-1]
+
+
+def _listing(asked: _Asked, k: int, inject: bool, best: bool):
+    """Score the chunks of a task block by block and hand on its first k per question.
+
+    A block is as many chunks as keep (chunk, question) in BLOCK_CELLS numbers:
+    pairs are cells of an array, never rows.
+    """
 
+    def block(batch: pa.RecordBatch, lists: _Lists, top: _Lists) -> None:
+        terms = batch.column(2)
+        chunks, dl = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        n, questions = len(chunks), len(asked.qids)
+        parts = terms.flatten()
+        owner = np.repeat(np.arange(n), np.diff(terms.offsets.to_numpy()))
+        key, tf = parts.field("number").to_numpy(), parts.field("tf").to_numpy().astype(np.float64)
+        saturated = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[owner] / asked.avgdl))
+        askers = asked.first[key + 1] - asked.first[key]
+        entry = np.repeat(np.arange(len(key)), askers)
+        use = np.arange(len(entry)) - np.repeat(np.cumsum(askers) - askers, askers) + asked.first[key[entry]]
+        cell = owner[entry] * questions + asked.asker[use]
+        name = asked.pos[use] >= 0
+        term = ~name
+        scores = np.bincount(cell[term], asked.weight[use[term]] * saturated[entry[term]], n * questions).reshape(n, questions)
+        pos = np.full(n * questions, np.inf)
+        np.minimum.at(pos, cell[name], asked.pos[use[name]])
+        pos = pos.reshape(n, questions)
+        touched = np.zeros(n * questions, bool)
+        touched[cell] = True
+        touched = touched.reshape(n, questions)
+        by_score = -np.round(scores, SCORE_DIGITS)
+        values = np.where(touched & (scores > 0), by_score, np.inf)
+        if inject:
+            values = np.where(np.isfinite(pos), pos - NAMED_FIRST, values)
+        lists.offer(values, chunks, scores, pos)
+        if best:
+            hit = touched & ((scores > 0) | np.isfinite(pos)) & asked.named
+            top.offer(np.where(hit, by_score, np.inf), chunks, scores, pos)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists, top = _Lists(len(asked.qids), k), _Lists(len(asked.qids), 1)
+        step = max(1, BLOCK_CELLS // max(1, len(asked.qids)))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                block(batch.slice(at, step), lists, top)
+        for label, kept in (("leg", lists), ("best", top)):
+            for q, rows in enumerate(kept.rows):
+                if rows:
+                    _, chunk, score, pos = rows
+                    same = lambda value: pa.array([value] * len(chunk))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            same(asked.qids[q]), same(label), pa.array(chunk), pa.array(score),
+                            pa.array(np.where(np.isfinite(pos), pos, -1).astype(np.int32), mask=~np.isfinite(pos)),
+                            same(bool(asked.searchable[q])), same(bool(asked.named[q])),
+                        ],
+                        names=["qid", "list", "chunk_idx", "score", "pos", "searchable", "named"],
+                    )
+
+    return run
+
+
+def listed_matches(questions: DataFrame, index: KeywordIndex, k: int, inject: bool, best: bool = False) -> DataFrame:
+    """The first k chunks of every question in every task of the index.
+
+    -> (qid, list, chunk_idx, score, pos, searchable, named).  `inject` puts the
+    chunks that a question names first; pos is null for others.  The list
+    `best` has the best score of questions with names.
+
+    Questions travel to the postings in batches of bounded size, each a pass
+    over the index: postings are never shuffled.
+    """
+    keys = question_keys(questions)
+    batches = max(1, -(-measured_bytes(keys) // QUESTION_BYTES))
+    found = []
+    for batch in range(batches):
+        own = keys if batches == 1 else keys.where(F.pmod(F.xxhash64("qid"), F.lit(batches)) == batch)
+        asked = _asked(own, index)
+        numbers = questions.sparkSession.createDataFrame(
+            list(enumerate(asked.keys)), "number int, key string"
+        )
+        posted = index.postings
+        if 0 < len(asked.keys) <= LISTED_KEYS:
+            # The stored postings are sorted by key: the scan skips row groups without these.
+            posted = posted.where(F.col("key").isin(asked.keys))
+        terms = (
+            posted.join(F.broadcast(numbers), "key")
+            .groupBy("chunk_idx")
+            .agg(F.first("dl").alias("dl"), F.collect_list(F.struct("number", "tf")).alias("terms"))
+        )
+        schema = f"qid {questions.schema['qid'].dataType.simpleString()}, list string, chunk_idx bigint, score double, pos int, searchable boolean, named boolean"
+        lists = terms.select("chunk_idx", "dl", "terms").mapInArrow(_listing(asked, k, inject, best), schema)
+        found.append(lists if batches == 1 else checkpointed(lists))
+    return stack(*found)
 
-def _postings_of(postings: DataFrame, keys: DataFrame, small: bool) -> DataFrame:
-    """Only the postings of a short list of keys, told to the scan by value.
 
-    The stored postings are sorted by key, so the scan skips the row groups
-    without these keys; long lists touch most row groups anyway.
-    """
-    if not small:
-        return postings
-    listed = [row["key"] for row in keys.select("key").distinct().limit(LISTED_KEYS + 1).collect()]
-    return postings if len(listed) > LISTED_KEYS else postings.where(F.col("key").isin(listed))
+def _spread(index: KeywordIndex) -> str | None:
+    return "chunk_idx" if many_tasks(index.postings) else None
 
 
 def bm25_scores(questions: DataFrame, index: KeywordIndex, k: int) -> DataFrame:
     """Plain BM25 top-k without symbol injection: (qid, rank, chunk_idx, score)."""
-    hits = keyword_matches(questions, index).where("searchable AND score > 0")
+    hits = listed_matches(questions, index, k, inject=False).where("searchable")
     order = [F.round("score", SCORE_DIGITS).desc(), F.col("chunk_idx")]
     return top_ranked(hits, ["qid"], order, k, spread_by=_spread(index)).select("qid", "rank", "chunk_idx", "score")
 
@@ -220,7 +355,7 @@ def keyword_leg(questions: DataFrame, index: KeywordIndex, k: int) -> DataFrame:
 
     -> (qid, rank, chunk_idx, score, injected, searchable).
     """
-    hits = keyword_matches(questions, index).where("score > 0 OR pos IS NOT NULL")
+    hits = listed_matches(questions, index, k, inject=True)
     order = [
         F.col("pos").asc_nulls_last(),
         F.when(F.col("pos").isNull(), -F.round("score", SCORE_DIGITS)).asc(),
@@ -235,11 +370,9 @@ def keyword_search(questions: DataFrame, index: KeywordIndex, k: int) -> DataFra
     """The `bm25` method: injected chunks score 100 above the question's best score.
 
     The best score may belong to a chunk outside the list, so questions with
-    names rank their matches a second time by score alone, in the same pass.
+    names list their best match by score alone, in the same pass.
     """
-    hits = keyword_matches(questions, index).where("searchable AND (score > 0 OR pos IS NOT NULL)")
-    lists = F.when(F.col("named"), F.array(F.lit("leg"), F.lit("best"))).otherwise(F.array(F.lit("leg")))
-    listed = hits.withColumn("list", F.explode(lists))
+    listed = listed_matches(questions, index, k, inject=True, best=True).where("searchable")
     pos = F.when(F.col("list") == "leg", F.col("pos"))
     order = [
         pos.asc_nulls_last(),

@@ -25,11 +25,16 @@ def hits_plan(spark):
 
 def test_scoring_needs_no_shuffle_but_the_top_k(hits_plan):
     scored = hits_plan[hits_plan.index("Exchange hashpartitioning(qid") :]
-    assert "WindowGroupLimit" in scored.split("HashAggregate")[0], "the top-k is cut before its shuffle"
-    between = scored[scored.index("HashAggregate") : scored.index("BroadcastHashJoin")]
+    assert "MapInArrow" in scored.split("ObjectHashAggregate")[0], "tasks hand on lists"
+    between = scored[scored.index("ObjectHashAggregate") : scored.index("BroadcastHashJoin")]
     assert "Exchange" not in between and "CartesianProduct" not in hits_plan and "NestedLoop" not in hits_plan
 
 
+def test_pairs_of_question_and_chunk_are_no_rows(hits_plan):
+    aggregates = [line for line in hits_plan.splitlines() if "Aggregate(" in line]
+    assert not [line for line in aggregates if "qid" in line and "chunk_idx" in line]
+
+
 def test_postings_scan_is_bucketed_and_pruned(spark):
     one = spark.createDataFrame([("q", "How does EnDoc.item_1 work?")], "qid string, question string")
     text = plan(keyword.bm25_scores(one, retrieval.index(spark, SF), 10))

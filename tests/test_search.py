@@ -54,7 +54,7 @@ def test_injected_chunks_come_first_with_a_bonus(spark):
     rows = keyword.keyword_search(asked(spark, "pool Other.take", "a_b", "pool"), index, 3).orderBy("qid", "rank").collect()
     first = [r for r in rows if r["qid"] == "q0"]
     assert (first[0]["chunk_idx"], first[0]["injected"]) == (1, True)
-    best = keyword.keyword_matches(asked(spark, "pool Other.take"), index).agg(F.max("score")).first()[0]
+    best = keyword.listed_matches(asked(spark, "pool Other.take"), index, 1000, inject=False).agg(F.max("score")).first()[0]
     assert abs(first[0]["score"] - 100 - best) < 1e-9
     assert not [r for r in rows if r["qid"] == "q1"], "a question without tokens finds nothing"
     assert all(not r["injected"] for r in rows if r["qid"] == "q2")
@@ -64,10 +64,22 @@ def test_a_full_list_of_injected_chunks_still_scores_above_the_best(spark):
     texts = ["word"] * 4 + ["pool pool pool pool", "other words"] * 3
     chunks = chunk_table(spark, texts, ["A.run"] * 4 + [""] * 6)
     rows = keyword.keyword_search(asked(spark, "pool A.run"), KeywordIndex.over(chunks), 2).collect()
-    everything = keyword.keyword_matches(asked(spark, "pool A.run"), KeywordIndex.over(chunks)).agg(F.max("score")).first()[0]
+    everything = keyword.listed_matches(asked(spark, "pool A.run"), KeywordIndex.over(chunks), 1000, inject=False).agg(F.max("score")).first()[0]
     assert {r["chunk_idx"] for r in rows} == {0, 1} and all(abs(r["score"] - everything - 100) < 1e-9 for r in rows)
 
 
+def test_question_batches_and_blocks_give_the_same(spark, monkeypatch):
+    texts = [f"pool word{i % 7} slot{i % 3} word{i % 5}" for i in range(60)]
+    index = KeywordIndex.over(chunk_table(spark, texts, ["A.run" if i % 9 == 0 else "" for i in range(60)]))
+    questions = asked(spark, *[f"word{i} slot{i % 3} pool A.run" if i % 2 else f"word{i} pool" for i in range(12)])
+    rows = lambda: sorted(map(tuple, keyword.keyword_search(questions, index, 4).collect()))
+    want = rows()
+    monkeypatch.setattr(keyword, "BLOCK_CELLS", 24)
+    assert rows() == want
+    monkeypatch.setattr(keyword, "QUESTION_BYTES", 400)
+    assert rows() == want
+
+
 def test_symbol_matches(spark):
     chunks = chunk_table(spark, ["a", "b", "c"], ["Pool.take", "take_all", "Give.take_all"])
     rows = keyword.symbol_matches(asked(spark, "take_all then Pool.take then take_all"), chunks).orderBy("pos", "chunk_idx").collect()
