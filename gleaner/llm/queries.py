@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import mixing, neighbours, packing, quality, secrets, sharding, simhash, substrings, suffixes, warc
+from gleaner.llm import mixing, neighbours, oracles, packing, quality, secrets, sharding, simhash, substrings, suffixes, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -126,4 +126,9 @@ QUERIES = {
     "op10_learned_partitions": op10_learned_partitions,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op5_quality_rules": oracles.QUALITY,
+    "op6_substring_dedup": oracles.SUBSTRINGS,
+    "op7_warc_normaliser": oracles.ARCHIVES,
+    "op8_pareto_mix": oracles.MIX,
+}
