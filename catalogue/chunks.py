@@ -12,7 +12,7 @@ from gleaner.sources import files
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.corpus(spark, sf_dir).select(F.col("chunk_idx").alias("doc_id"), "source_path", "text")
+    return views.corpus(spark, sf_dir, spread=True).select(F.col("chunk_idx").alias("doc_id"), "source_path", "text")
 
 
 def _doc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

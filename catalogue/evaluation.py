@@ -66,7 +66,7 @@ def hybrid_hyde(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hypothetical answers and documents, both embedded by hashed terms."""
     from gleaner.functions.embedding import hashed_embedding
 
-    corpus = views.corpus(spark, sf_dir)
+    corpus = views.corpus(spark, sf_dir, spread=True)
     vectors = corpus.select("chunk_idx", hashed_embedding(F.col("text")).alias("embedding"))
     hits = retrieve.ranked(
         views.named_questions(spark, sf_dir),

@@ -26,7 +26,7 @@ def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def camel_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of every word of path, symbol and text."""
-    words = views.corpus(spark, sf_dir).select(
+    words = views.corpus(spark, sf_dir, spread=True).select(
         F.explode(F.regexp_extract_all(F.concat_ws(" ", "source_path", "symbol", "text"), F.lit(tx.WORD), F.lit(0))).alias("word")
     )
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).select(
@@ -52,7 +52,7 @@ def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = tx.index_text(F.col("text"), F.col("source_path"), F.col("symbol"))
-    return views.corpus(spark, sf_dir).select("chunk_idx", F.md5(body).alias("digest"), big(F.length(body)).alias("n_chars"))
+    return views.corpus(spark, sf_dir, spread=True).select("chunk_idx", F.md5(body).alias("digest"), big(F.length(body)).alias("n_chars"))
 
 
 def bm25_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,7 @@ def bm25_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    forward = keyword.forward_index(views.corpus(spark, sf_dir))
+    forward = keyword.forward_index(views.corpus(spark, sf_dir, spread=True))
     return keyword.postings(forward).where("tf > 0").select(F.col("key").alias("term"), "chunk_idx", big("tf").alias("tf"), big("dl").alias("dl"))
 
 

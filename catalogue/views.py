@@ -22,9 +22,13 @@ def newlines(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as one chunk with a path and a dotted symbol."""
-    docs = texts(spark, sf_dir, "documents")
+def corpus(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """Every document as one chunk with a path and a dotted symbol.
+
+    Rows are spread over the cores where every text is worked on, not in front
+    of a join that keeps a few.
+    """
+    docs = (texts if spread else table)(spark, sf_dir, "documents")
     return docs.select(
         F.col("doc_id").alias("chunk_idx"),
         F.format_string("src/%s/%s/doc_%d.md", "source", "lang", "doc_id").alias("source_path"),

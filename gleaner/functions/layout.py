@@ -27,8 +27,18 @@ def preview_block(number: Column, path: Column, start: Column, end: Column, kind
     return F.format_string("[%d] %s:%d-%d (%s%s)\n    %s", number, path, start, end, kind, named, look)
 
 
+def quoted(text: Column) -> Column:
+    """A string literal as Python writes it."""
+    plain = text
+    for mark, code in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        plain = F.replace(plain, F.lit(mark), F.lit(code))
+    double = F.contains(text, F.lit("'")) & ~F.contains(text, F.lit('"'))
+    single = F.concat(F.lit("'"), F.replace(plain, F.lit("'"), F.lit("\\'")), F.lit("'"))
+    return F.when(double, F.concat(F.lit('"'), plain, F.lit('"'))).otherwise(single)
+
+
 def joined(blocks: Column, rule: str) -> Column:
-    """array<struct<rank, block>> in rank order as one text."""
+    """array<struct<..., block>> in the order of the other fields as one text."""
     return F.array_join(F.transform(F.array_sort(blocks), lambda b: b["block"]), rule)
 
 

@@ -34,6 +34,11 @@ def reciprocal(rank: Column) -> Column:
     return F.coalesce(F.lit(1.0) / (RRF_K + rank), F.lit(0.0))
 
 
+def _lists(leg: DataFrame, name: str) -> DataFrame:
+    rows = F.struct(*[c for c in leg.columns if c != "qid"])
+    return leg.groupBy("qid").agg(F.collect_list(rows).alias(name))
+
+
 def fuse(vector_hits: DataFrame, keyword_hits: DataFrame, vector_tag: str = "vector") -> DataFrame:
     """Sum 1 / (60 + rank) over both legs.
 
@@ -48,8 +53,29 @@ def fuse(vector_hits: DataFrame, keyword_hits: DataFrame, vector_tag: str = "vec
         F.when(F.col("searchable"), F.col("rank")).alias("keyword_rank"),
         F.when(F.col("injected"), F.col("rank")).alias("injected_rank"),
     )
-    # Both legs arrive partitioned by question, and so they are joined.
-    fused = near.join(words, ["qid", "chunk_idx"], "full")
+    # Both legs arrive partitioned by question.  As lists of bounded length they
+    # are joined, opened and grouped under that one partitioning.
+    both = _lists(near, "near").join(_lists(words, "words"), "qid", "full")
+    none = F.lit(None).cast("int")
+    hits = F.concat(
+        F.transform(
+            F.coalesce("near", F.array()),
+            lambda h: F.struct(h["chunk_idx"].alias("chunk_idx"), h["vector_rank"].alias("v"), none.alias("w"), none.alias("i")),
+        ),
+        F.transform(
+            F.coalesce("words", F.array()),
+            lambda h: F.struct(
+                h["chunk_idx"].alias("chunk_idx"), none.alias("v"), h["keyword_rank"].alias("w"), h["injected_rank"].alias("i")
+            ),
+        ),
+    )
+    fused = (
+        both.select("qid", F.explode(hits).alias("h"))
+        .groupBy("qid", F.col("h.chunk_idx").alias("chunk_idx"))
+        .agg(
+            F.max("h.v").alias("vector_rank"), F.max("h.w").alias("keyword_rank"), F.max("h.i").alias("injected_rank")
+        )
+    )
     return fused.withColumn(
         "score", reciprocal(F.col("vector_rank")) + reciprocal(F.col("keyword_rank"))
     ).withColumn(

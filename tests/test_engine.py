@@ -95,6 +95,43 @@ def test_agentic_walk(engine):
     assert row["turns"] <= 3 and row["trace"][0] == "turn 1: search('In what order do tasks drain?', k=5)"
 
 
+def test_the_planner_reads_listings_and_may_answer(engine):
+    questions = engine.questions("In what order do tasks drain?", "What is 'this'?", "zzqx")
+    seen = []
+
+    def planner(asked, hits, turn, listings):
+        searches = asked.select("qid", F.lit(0).alias("call"), F.col("question").alias("query"), F.lit(2).alias("k"))
+        if turn == 0:
+            return searches.withColumn("answer", F.when(F.col("qid") == "q1", "known already"))
+        seen.extend(listings.collect())
+        return searches.withColumn("answer", F.when(F.col("qid") == "q0", "in order"))
+
+    answers, hits = agentic(questions, engine.store.corpus(), planner=planner, max_turns=2)
+    got = {r["qid"]: r for r in answers.collect()}
+    assert (got["q0"]["answer"], got["q0"]["turns"], len(got["q0"]["trace"])) == ("in order", 2, 1)
+    assert (got["q1"]["answer"], got["q1"]["turns"], got["q1"]["trace"]) == ("known already", 1, [])
+    assert got["q2"]["turns"] == 2 and len(got["q2"]["trace"]) == 2 and got["q2"]["answer"].startswith("[1] ")
+    assert {(r["qid"], r["turn"]) for r in seen} == {("q0", 0), ("q2", 0)}
+    assert all(r["listing"].startswith("[1] ") for r in seen) and hits.where("qid = 'q1'").isEmpty()
+
+
+def test_an_empty_search_says_so(spark, engine):
+    from gleaner.plans.answering import cumulative, previews
+
+    searches = spark.createDataFrame([("a", 0, 0), ("b", 0, 0)], "qid string, turn int, call int")
+    found = search_turn(searches.where("qid = 'a'").selectExpr("qid", "call", "'drain' AS query", "2 AS k"), engine.store.corpus(), 0)
+    listed = {r["qid"]: r["listing"] for r in previews(cumulative(found), searches).collect()}
+    assert listed["b"] == "No results." and listed["a"].startswith("[1] ")
+
+
+def test_strings_are_quoted_as_python_does(spark):
+    from gleaner.functions import layout
+
+    texts = ["plain", "it's", 'say "x"', "both ' and \"", "back\\slash", "two\nlines\tand"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", layout.quoted(F.col("t")).alias("q")).collect()
+    assert all(r["q"] == repr(r["t"]) for r in rows)
+
+
 def test_a_turn_runs_equal_searches_once_and_keeps_each_k(engine, spark):
     searches = spark.createDataFrame(
         [("a", 0, "pool tasks", 2), ("b", 0, "pool tasks", 2), ("b", 1, "drain", 3)], "qid string, call int, query string, k int"
