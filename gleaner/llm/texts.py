@@ -21,18 +21,18 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def packed(rows: DataFrame) -> DataFrame:
-    """(doc, id, packed) of keyed rows: the UTF-8 bytes, compressed, for the shuffle.
+    """The last column, a text, becomes `packed`: its UTF-8 bytes, compressed, for the shuffle.
 
     Spark's own shuffle codec does not code entropy and hardly shortens prose;
-    this halves what a shuffle of texts writes.
+    this halves what a shuffle of texts writes.  A null text is packed as empty.
     """
-    schema = T.StructType([*rows.schema.fields[:2], T.StructField("packed", T.BinaryType())])
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("packed", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=LEVEL)
         for batch in batches:
-            texts = [squeeze.compress((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.binary())], names=schema.names)
+            texts = [squeeze.compress((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in batch.columns[-1]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.binary())], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 

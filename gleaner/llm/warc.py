@@ -32,7 +32,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import durable
+from gleaner.llm.common import durable, whole
+from gleaner.llm.texts import Unpack, packed
 from gleaner.session import checkpoint_dir
 
 SMALLEST = 0
@@ -127,23 +128,24 @@ def records(chunks: Iterator[bytes]) -> Iterator[bytes]:
 
 
 def planned(pages: DataFrame, smallest: int = SMALLEST) -> DataFrame:
-    """Add which record each page becomes: `payload`, `revisit` and `refers_to`."""
+    """Which record each page becomes: `packed` payload, `revisit` and `refers_to`."""
+    html = whole("html")
     rows = pages.select(
-        "page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")
-    ).withColumn("sha1", F.sha1("payload"))
-    large = F.octet_length("payload") >= smallest
+        "page_id", "url", F.sha1(html.cast("binary")).alias("sha1"), (F.octet_length(html) >= smallest).alias("large"), "html"
+    )
     first = (
-        rows.where(large)
+        rows.where("large")
         .groupBy("sha1")
         .agg(F.max("page_id").alias("first"), F.count("*").alias("rows"))
         .where("rows > 1")
         .drop("rows")
     )
-    revisit = large & F.coalesce(F.col("first") != F.coalesce("page_id", F.col("first") - 1), F.lit(False))
+    revisit = F.col("large") & F.coalesce(F.col("first") != F.coalesce("page_id", F.col("first") - 1), F.lit(False))
     return (
-        rows.join(first, "sha1", "left")
+        packed(rows)
+        .join(first, "sha1", "left")
         .withColumn("revisit", revisit)
-        .select("page_id", "url", "payload", F.when(F.col("revisit"), F.col("first")).alias("refers_to"), "revisit")
+        .select("page_id", "url", "packed", F.when(F.col("revisit"), F.col("first")).alias("refers_to"), "revisit")
     )
 
 
@@ -151,15 +153,15 @@ def write(plan: DataFrame, root: str, level: int = RAW_LEVEL) -> DataFrame:
     """Write one monolithic archive per partition; (archive, records) of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = None
+        out, unpack = None, Unpack()
         for batch in batches:
-            for row in batch.to_pylist():
+            for row, payload in zip(batch.drop_columns("packed").to_pylist(), batch.column("packed")):
                 if out is None:
                     files, path = _open(f"{root}/whole")
                     name, count = f"{uuid.uuid4().hex}.warc.gz", 0
                     out = files.open_output_stream(f"{path}/{name}", compression=None)
                     stream = zlib.compressobj(level, zlib.DEFLATED, _GZIP)
-                out.write(stream.compress(record(row["page_id"], row["url"], row["payload"], row["refers_to"], row["revisit"])))
+                out.write(stream.compress(record(row["page_id"], row["url"], unpack(payload), row["refers_to"], row["revisit"])))
                 count += 1
         if out is not None:
             out.write(stream.flush())
