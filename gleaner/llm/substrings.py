@@ -23,26 +23,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleaner.llm import anchors
-from gleaner.llm.common import durable
+from gleaner.llm.common import written
+from gleaner.llm.texts import Unpack, keyed, packed
 
 LENGTH = 50
 GRAM = 8
-LAST_ID = (1 << 63) - 1
-
-
-def split(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").split()  # bytes: ASCII blanks only
-
-
-def units(words: list[bytes]) -> np.ndarray:
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter(map(digest, words), np.uint64, len(words))
 
 
 def _longs(values: np.ndarray) -> pa.Array:
@@ -57,9 +47,10 @@ def _list(value: pa.Scalar) -> np.ndarray:
     return value.values.to_numpy().view(np.uint64) if value.is_valid else np.zeros(0, np.uint64)
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))
-    return docs.select(key.alias("doc"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+def _named(lists: list[np.ndarray]) -> np.ndarray:
+    """Names of what is listed for each of a few documents."""
+    doc = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    return anchors.keys(doc, np.concatenate(lists))
 
 
 def block_rows(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -67,16 +58,12 @@ def block_rows(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words = split(text.as_py())
-                b = anchors.blocks(anchors.Ranges(units(words)), length, gram) if len(words) >= length else None
-                if b is not None:
-                    content, at = np.unique(b.content, return_index=True)
-                    found.append((b.anchor[at], content, np.full(len(at), doc)))
-            if found:
-                anchor, content, doc = (np.concatenate(c) for c in zip(*found))
-                yield _table(anchor=anchor, content=content, doc=doc)
+            texts = ((t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(1))
+            for some in anchors.grouped(zip(batch.column(0).to_pylist(), texts), lambda r: len(r[1])):
+                words = anchors.Words([text for _, text in some])
+                b = anchors.blocks(anchors.Ranges(words.units), words.ends, length, gram).distinct()
+                doc = np.array([d for d, _ in some], np.int64)[b.doc]
+                yield _table(anchor=b.anchor, content=b.content, doc=doc)
 
     return rows.select("doc", "text").mapInArrow(run, "anchor long, content long, doc long")
 
@@ -101,30 +88,32 @@ def marks(found: DataFrame) -> DataFrame:
     )
 
 
-def window_rows(rows: DataFrame, marked: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def window_rows(texts: DataFrame, marked: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(one, two, doc): two independent hashes of every distinct window of the blocks to look into."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = Unpack()
         for batch in batches:
-            for doc, text, part in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                unit = units(split(text.as_py()))
-                ranges = anchors.Ranges(unit)
-                b = anchors.blocks(ranges, length, gram)
-                if b is None:
-                    continue
-                chosen = np.isin(b.content, _list(part))
-                _, window = anchors.spread(b.first[chosen], b.last[chosen])
-                one, at = np.unique(ranges.windows(length)[window], return_index=True)
-                two = anchors.Ranges(unit, anchors.OTHER_BASE).windows(length)[window[at]]
-                yield _table(one=one, two=two, doc=np.full(len(one), doc))
-
-    joined = rows.select("doc", "text").join(marked.where(F.size("part") > 0).select("doc", "part"), "doc")
+            rows = zip(batch.column(0).to_pylist(), map(unpack, batch.column(1)), map(_list, batch.column(2)))
+            for some in anchors.grouped(rows, lambda r: len(r[1])):
+                words = anchors.Words([text for _, text, _ in some])
+                ranges = anchors.Ranges(words.units)
+                b = anchors.blocks(ranges, words.ends, length, gram)
+                b = b.take(np.isin(b.keys(), _named([part for _, _, part in some])))
+                which, window = anchors.spread(b.first, b.last)
+                doc = np.array([d for d, _, _ in some], np.int64)[b.doc[which]]
+                one = ranges.windows(length)[window]
+                two = anchors.Ranges(words.units, anchors.OTHER_BASE).windows(length)[window]
+                at = np.unique(anchors.keys(b.doc[which], one), return_index=True)[1]
+                yield _table(one=one[at], two=two[at], doc=doc[at])
+
+    joined = texts.select("doc", "packed").join(marked.where(F.size("part") > 0).select("doc", "part"), "doc")
     return joined.mapInArrow(run, "one long, two long, doc long")
 
 
 def shared_windows(windows: DataFrame) -> DataFrame:
     """(doc, windows): the windows that a smaller document has, per document."""
-    windows = durable(windows)
+    windows = written(windows)
     owners = windows.groupBy("one", "two").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).where("owner < last")
     later = windows.join(owners, ["one", "two"]).where("doc > owner")
     return later.groupBy("doc").agg(F.collect_list("one").alias("windows"))
@@ -133,8 +122,9 @@ def shared_windows(windows: DataFrame) -> DataFrame:
 def removal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(id, text, n_words, spans, kept_text): spans are the removed intervals of words, ends exclusive."""
     rows = keyed(docs, id_col, text_col)
-    marked = durable(marks(block_rows(rows, length, gram)))
-    windows = shared_windows(window_rows(rows, marked, length, gram))
+    marked = written(marks(written(block_rows(rows, length, gram))))
+    texts = packed(rows)
+    windows = shared_windows(window_rows(texts, marked, length, gram))
     lists = marked.where(F.size("gone") > 0).select("doc", "gone").join(windows, "doc", "full_outer")
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType(
@@ -142,26 +132,35 @@ def removal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = Unpack()
         for batch in batches:
             counts, spans, kept = [], [], []
-            for text, gone, alone in zip(batch.column(1), batch.column(2), batch.column(3)):
-                words = split(text.as_py())
-                lost = np.zeros(len(words), bool)
-                if gone.is_valid or alone.is_valid:
-                    ranges = anchors.Ranges(units(words))
-                    b = anchors.blocks(ranges, length, gram)
-                    hit = np.isin(b.content, _list(gone))
-                    _, starts = anchors.spread(b.first[hit], b.last[hit])
-                    single = np.flatnonzero(np.isin(ranges.windows(length), _list(alone)))
-                    lost = anchors.covered(np.r_[starts, single], length, len(words))
-                edge = np.flatnonzero(np.diff(np.r_[False, lost, False]))
-                counts.append(len(words))
-                spans.append([{"start": int(a), "end": int(b)} for a, b in edge.reshape(-1, 2)])
-                kept.append(b" ".join(w for w, out in zip(words, lost.tolist()) if not out).decode("utf-8", "surrogatepass"))
+            rows = zip(map(unpack, batch.column(1)), map(_list, batch.column(2)), map(_list, batch.column(3)))
+            for some in anchors.grouped(rows, lambda r: len(r[0])):
+                words = anchors.Words([text for text, _, _ in some])
+                ranges = anchors.Ranges(words.units)
+                b = anchors.blocks(ranges, words.ends, length, gram)
+                hit = np.isin(b.keys(), _named([gone for _, gone, _ in some]))
+                _, starts = anchors.spread(b.first[hit], b.last[hit])
+                which, window = anchors.spread(b.first, b.last)
+                alone = np.isin(anchors.keys(b.doc[which], ranges.windows(length)[window]), _named([one for _, _, one in some]))
+                lost = anchors.covered(np.r_[starts, window[alone]], length, len(words.start))
+                for first, end in zip([0, *words.ends[:-1].tolist()], words.ends.tolist()):
+                    own = lost[first:end]
+                    edge = np.flatnonzero(np.diff(np.r_[False, own, False])) if own.any() else np.zeros(0, np.int64)
+                    counts.append(end - first)
+                    spans.append([{"start": int(a), "end": int(b)} for a, b in edge.reshape(-1, 2)])
+                    stay = np.flatnonzero(~own) + first
+                    kept.append(b" ".join(words.whole[a:b] for a, b in zip(words.start[stay].tolist(), words.end[stay].tolist())))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.string())],
+                [
+                    batch.column(0),
+                    pa.array(counts, pa.int64()),
+                    pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                    pa.array([k.decode("utf-8", "surrogatepass") for k in kept], pa.string()),
+                ],
                 names=schema.names,
             )
 
-    joined = rows.join(lists, "doc", "left").select("id", "text", "gone", "windows")
+    joined = texts.join(lists, "doc", "left").select("id", "packed", "gone", "windows")
     return joined.mapInArrow(run, schema)
