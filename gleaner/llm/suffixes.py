@@ -46,23 +46,19 @@ CHUNK = 1 << 16
 #: Suffixes of one gram that a task holds; of more, the strings are compared by two hashes.
 GROUP = 1 << 18
 _APART = -(1 << 20)
-
-
-def octets(text: bytes) -> np.ndarray:
-    return np.frombuffer(text, np.uint8)
-
-
-def _units() -> np.ndarray:
-    return anchors.mix(np.arange(1, 257, dtype=np.uint64))
-
-
-_UNITS = _units()
+_BYTES = anchors.byte_units()
 
 
 def _longs(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64) if values.dtype == np.uint64 else values)
 
 
+def _named(lists: list[np.ndarray]) -> np.ndarray:
+    """Names of the blocks that are listed for each of a few documents."""
+    doc = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    return anchors.keys(doc, np.concatenate(lists))
+
+
 def _list(value: pa.Scalar) -> np.ndarray:
     return value.values.to_numpy().view(np.uint64) if value.is_valid else np.zeros(0, np.uint64)
 
@@ -75,15 +71,12 @@ def anchor_rows(rows: DataFrame, length: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = octets((text.as_py() or "").encode("utf-8", "surrogatepass"))
-                b = anchors.blocks(anchors.Ranges(_UNITS[data]), length, gram)
-                if b is not None:
-                    content, at = np.unique(b.content, return_index=True)
-                    found.append((b.anchor[at], content, np.full(len(at), doc)))
-            if found:
-                columns = [_longs(np.concatenate(c)) for c in zip(*found)]
+            texts = ((t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(1))
+            for some in anchors.grouped(zip(batch.column(0).to_pylist(), texts), lambda r: len(r[1])):
+                joined = anchors.Joined([text for _, text in some])
+                b = anchors.blocks(anchors.Ranges(joined.units), joined.ends, length, gram).distinct()
+                doc = np.array([d for d, _ in some], np.int64)[b.doc]
+                columns = [_longs(c) for c in (b.anchor, b.content, doc)]
                 yield pa.RecordBatch.from_arrays(columns, names=["anchor", "content", "doc"])
 
     return rows.select("doc", "text").mapInArrow(run, "anchor long, content long, doc long")
@@ -150,27 +143,23 @@ def suffix_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = Unpack()
         for batch in batches:
-            columns: list[list] = [[] for _ in range(7)]
-            for doc, text, part in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                data = octets(unpack(text))
-                b = anchors.blocks(anchors.Ranges(_UNITS[data]), length, gram)
-                if b is None:
-                    continue
-                content, at = np.unique(b.content, return_index=True)
-                at = at[np.isin(content, _list(part))]
-                place = b.place[at]
-                whole, back = data.tobytes(), data[::-1].tobytes()
-                n = len(data)
-                columns[0].append(b.anchor[at])
-                columns[1].extend(whole[p : p + length] for p in place.tolist())
-                columns[2].extend(back[n - p : n - p + reach] for p in place.tolist())
-                columns[3].append(place - b.last[at])
-                columns[4].append(place - b.first[at])
-                columns[5].append(np.full(len(at), doc))
-                columns[6].append(b.content[at])
-            if columns[0]:
-                joined = [_longs(np.concatenate(columns[i])) if i not in (1, 2) else pa.array(columns[i], pa.binary()) for i in range(7)]
-                yield pa.RecordBatch.from_arrays(joined, names=["anchor", "right", "left", "low", "high", "doc", "content"])
+            rows = zip(batch.column(0).to_pylist(), map(unpack, batch.column(1)), map(_list, batch.column(2)))
+            for some in anchors.grouped(rows, lambda r: len(r[1])):
+                joined = anchors.Joined([text for _, text, _ in some])
+                b = anchors.blocks(anchors.Ranges(joined.units), joined.ends, length, gram)
+                b = b.take(np.isin(b.keys(), _named([part for _, _, part in some]))).distinct()
+                starts = np.r_[0, joined.ends[:-1]]
+                begin = np.maximum(b.place - reach, starts[b.doc]).tolist()
+                end = np.minimum(b.place + length, joined.ends[b.doc]).tolist()
+                place, whole = b.place.tolist(), joined.whole
+                doc = np.array([d for d, _, _ in some], np.int64)[b.doc]
+                columns = [
+                    _longs(b.anchor),
+                    pa.array([whole[p:e] for p, e in zip(place, end)], pa.binary()),
+                    pa.array([whole[s:p][::-1] for s, p in zip(begin, place)], pa.binary()),
+                    *map(_longs, (b.place - b.last, b.place - b.first, doc, b.content)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "right", "left", "low", "high", "doc", "content"])
 
     return texts.mapInArrow(run, "anchor long, right binary, left binary, low long, high long, doc long, content long")
 
@@ -223,7 +212,7 @@ def shared_strings(suffixes: DataFrame, length: int) -> DataFrame:
             data = np.frombuffer(left[::-1] + right, np.uint8)
             for distance in range(low, high + 1):
                 at = len(left) - distance
-                unit = _UNITS[data[at : at + length]]
+                unit = _BYTES[data[at : at + length]]
                 for c, v in zip(columns, (doc, content, 1 << distance, *(int(anchors.Ranges(unit, b).windows(length)[0]) for b in (anchors.BASE, anchors.OTHER_BASE)))):
                     c.append(v)
         names = ("doc", "content", "mask", "one", "two")
@@ -316,20 +305,27 @@ def removal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         unpack = Unpack()
         for batch in batches:
             counts, spans, kept = [], [], []
-            for text, gone, alone in zip(batch.column(1), batch.column(2), batch.column(3)):
-                data = octets(unpack(text))
-                lost = np.zeros(len(data), bool)
-                if gone.is_valid or alone.is_valid:
-                    b = anchors.blocks(anchors.Ranges(_UNITS[data]), length, gram)
-                    hit = np.isin(b.content, _list(gone))
-                    _, starts = anchors.spread(b.first[hit], b.last[hit])
-                    lost = anchors.covered(np.r_[starts, _single(b, alone)], length, len(data))
-                edge = np.flatnonzero(np.diff(np.r_[False, lost, False]))
-                counts.append(len(data))
-                spans.append([{"start": int(s), "end": int(e)} for s, e in edge.reshape(-1, 2)])
-                kept.append(data[~lost].tobytes())
+            rows = zip(map(unpack, batch.column(1)), map(_list, batch.column(2)), batch.column(3))
+            for some in anchors.grouped(rows, lambda r: len(r[0])):
+                joined = anchors.Joined([text for text, _, _ in some])
+                b = anchors.blocks(anchors.Ranges(joined.units), joined.ends, length, gram)
+                hit = np.isin(b.keys(), _named([gone for _, gone, _ in some]))
+                _, starts = anchors.spread(b.first[hit], b.last[hit])
+                lost = anchors.covered(np.r_[starts, _single(b, [strings for _, _, strings in some])], length, len(joined.data))
+                for first, end in zip([0, *joined.ends[:-1].tolist()], joined.ends.tolist()):
+                    own, data = lost[first:end], joined.data[first:end]
+                    any_lost = own.any()
+                    edge = np.flatnonzero(np.diff(np.r_[False, own, False])) if any_lost else np.zeros(0, np.int64)
+                    counts.append(end - first)
+                    spans.append([{"start": int(s), "end": int(e)} for s, e in edge.reshape(-1, 2)])
+                    kept.append(data[~own].tobytes() if any_lost else joined.whole[first:end])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],
+                [
+                    batch.column(0),
+                    pa.array(counts, pa.int64()),
+                    pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                    pa.array(kept, pa.binary()),
+                ],
                 names=schema.names,
             )
 
@@ -337,17 +333,21 @@ def removal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     return joined.mapInArrow(run, schema)
 
 
-def _single(b: anchors.Blocks, strings: pa.Scalar) -> np.ndarray:
-    """Starts of the strings that are named by block and distance."""
-    if not strings.is_valid:
+def _single(b: anchors.Blocks, strings: list[pa.Scalar]) -> np.ndarray:
+    """Starts of the strings that are listed for some documents by block and distance."""
+    lists = [x.values for x in strings if x.is_valid]
+    if not sum(map(len, lists)):
         return np.zeros(0, np.int64)
-    content = strings.values.field("content").to_numpy().view(np.uint64)
-    mask = strings.values.field("mask").to_numpy()
-    order = np.argsort(content, kind="stable")
-    content, mask = content[order], mask[order]
-    names, first = np.unique(content, return_index=True)
-    masks = np.bitwise_or.reduceat(mask, first)
-    at = np.minimum(np.searchsorted(names, b.content), len(names) - 1)
-    own = np.where(names[at] == b.content, masks[at], 0)
-    which, distance = np.nonzero((own[:, None] >> np.arange(63)[None, :]) & 1)
-    return b.place[which] - distance
+    doc = np.repeat(np.flatnonzero([x.is_valid for x in strings]), [len(x) for x in lists])
+    content = np.concatenate([x.field("content").to_numpy().view(np.uint64) for x in lists])
+    mask = np.concatenate([x.field("mask").to_numpy() for x in lists])
+    named = anchors.keys(doc, content)
+    order = np.argsort(named, kind="stable")
+    names, first = np.unique(named[order], return_index=True)
+    masks = np.bitwise_or.reduceat(mask[order], first)
+    own = b.keys()
+    at = np.minimum(np.searchsorted(names, own), len(names) - 1)
+    bits = np.where(names[at] == own, masks[at], 0)
+    listed = np.flatnonzero(bits)
+    which, distance = np.nonzero((bits[listed][:, None] >> np.arange(63)[None, :]) & 1)
+    return b.place[listed[which]] - distance

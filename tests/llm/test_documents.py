@@ -241,10 +241,17 @@ def test_windows_have_the_hash_of_their_content():
     units[300:400] = units[50:150]
     windows = anchors.Ranges(units).windows(20)
     assert (windows[300:381] == windows[50:131]).all() and len(np.unique(windows)) == 481 - 81
-    b = anchors.blocks(anchors.Ranges(units), 20, 6)
+    b = anchors.blocks(anchors.Ranges(units), np.array([500]), 20, 6)
     assert b.first[0] == 0 and b.last[-1] == 480 and (b.first[1:] == b.last[:-1] + 1).all()
     assert ((b.place >= b.last) & (b.place <= b.first + 14)).all()
-    assert anchors.blocks(anchors.Ranges(units[:19]), 20, 6) is None
+    assert len(anchors.blocks(anchors.Ranges(units[:19]), np.array([19]), 20, 6).first) == 0
+    # Documents behind each other have the blocks that each has alone.
+    ends = np.array([0, 30, 30, 49, 200, 219, 500])
+    many = anchors.blocks(anchors.Ranges(units), ends, 20, 6)
+    for doc, (start, end) in enumerate(zip(np.r_[0, ends[:-1]], ends)):
+        own, alone = many.take(many.doc == doc), anchors.blocks(anchors.Ranges(units[start:end]), np.array([end - start]), 20, 6)
+        assert (own.first - start == alone.first).all() and (own.last - start == alone.last).all()
+        assert (own.content == alone.content).all() and (own.anchor == alone.anchor).all()
 
 
 # -- rules ------------------------------------------------------------------------
