@@ -37,7 +37,8 @@ def rerank(
     """hits(qid, question, rank, chunk_idx, text, score, source, pinned) -> same + rerank_score.
 
     Pinned hits stay first and are not scored; the rest is ordered by the
-    scorer, equal scores by their earlier rank, and all is cut to k.
+    scorer, equal scores by their earlier rank, and all is cut to k.  None for
+    `text_chars` shows the scorer whole texts.
     """
     text = F.col("text") if text_chars is None else F.substring("text", 1, text_chars)
     scored = hits.withColumn(

@@ -10,8 +10,8 @@ from gleaner.functions.text import MODULE_SYMBOL
 from gleaner.operators import sampling
 from gleaner.operators.joins import stack
 from gleaner.operators.metrics import CELL, evaluation_cells, score_cells
-from gleaner.plans.answering import Planner, ask, symbol_planner
-from gleaner.plans.retrieve import Corpus
+from gleaner.plans.answering import HIT, Planner, ask, shots, symbol_planner
+from gleaner.plans.retrieve import RETRIEVAL_METHODS, Corpus
 from gleaner.providers import OFFLINE, SOURCE_CHARS, Providers
 from gleaner.session import checkpointed
 
@@ -40,12 +40,21 @@ def evaluate(
         questions.select("qid", "question", "category", "expected_paths", "expected_symbols"), methods, runs
     )
     answers, hits = [], []
+    asked = questions.select("qid", "question")
     for method in methods:
-        for run in range(runs):
-            got, found = ask(questions.select("qid", "question"), corpus, k, method, providers, planner)
+        if method in RETRIEVAL_METHODS:
+            # Runs differ in the answer only; the hits are found once.
+            given, once = shots(asked, corpus, k, method, providers, runs)
+            found = [(got, once) for got in given]
+        else:
+            found = []
+            for _ in range(runs):
+                got, more = ask(asked, corpus, k, method, providers, planner)
+                found.append((got, more.where("phase = 'final'")))
+        for run, (got, seen) in enumerate(found):
             place = {"method": F.lit(method), "run": F.lit(run)}
-            answers.append(got.withColumns(place))
-            hits.append(found.where("phase = 'final'").withColumns(place))
+            answers.append(got.select("qid", "question", "answer").withColumns(place))
+            hits.append(seen.select(*HIT).withColumns(place))
     given = stack(*answers).select(*CELL, "question", "answer")
     if skip_judge:
         given = given.withColumn("judge_score", F.lit(None).cast("int")).withColumn("judge_reason", F.lit(None).cast("string"))

@@ -129,10 +129,14 @@ def retrieve(
     method: str = "hybrid",
     providers: Providers = OFFLINE,
     question_vectors: DataFrame | None = None,
+    rerank_chars: int | None = REMOTE_TEXT_CHARS,
     **flags: bool,
 ) -> DataFrame:
     """questions(qid, question) -> hits
-    (qid, rank, chunk_idx, score, source, rerank_score, + chunk text and metadata)."""
+    (qid, rank, chunk_idx, score, source, rerank_score, + chunk text and metadata).
+
+    The code re-ranker reads `rerank_chars` characters of a text, or all of it.
+    """
     how = resolve(method, **flags)
     pool = hybrid.pool_size(k, how.rerank and how.base == "hybrid")
     hits = hydrate(
@@ -144,6 +148,6 @@ def retrieve(
         if how.rerank:
             hits = rerank(hits, k, providers.rerank)
         if how.code_rerank:
-            hits = rerank(hits, k, providers.code_rerank, "code", REMOTE_TEXT_CHARS)
+            hits = rerank(hits, k, providers.code_rerank, "code", rerank_chars)
         hits = hits.drop("question")
     return hits.select("qid", "rank", "chunk_idx", "score", "source", "rerank_score", *META)

@@ -140,6 +140,19 @@ def test_a_turn_runs_equal_searches_once_and_keeps_each_k(engine, spark):
     assert {(r["qid"], r["call"]): r["count"] for r in hits} == {("a", 0): 2, ("b", 0): 2, ("b", 1): 3}
 
 
+def test_a_cell_without_an_answer_is_no_fact(engine):
+    lost = Providers(answer=lambda question, context: F.when(question.contains("order"), "found"))
+    questions = engine.questions("In what order do tasks drain?", "Who drains?").withColumns(
+        {"category": F.lit("conceptual"), "expected_paths": F.array(F.lit("src")), "expected_symbols": F.array().cast("array<string>")}
+    )
+    from gleaner.plans.evaluation import evaluate
+
+    facts = evaluate(questions, engine.store.corpus(), ["bm25", "hybrid"], 3, 2, True, lost)
+    assert sorted((r["method"], r["run"], r["qid"]) for r in facts.collect()) == [
+        (m, run, "q0") for m in ("bm25", "hybrid") for run in (0, 1)
+    ]
+
+
 def test_evaluation_round_trip(engine, spark, tmp_path):
     written = engine.generate(4)
     path = str(tmp_path / "set.yaml")
