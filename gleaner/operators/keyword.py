@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import text as tx
 from gleaner.functions.arrays import counted
-from gleaner.operators.joins import fits_broadcast, join_lookup, many_tasks, measured_bytes, stack, top_ranked
+from gleaner.operators.joins import fits_broadcast, join_lookup, many_tasks, stack, top_ranked
 from gleaner.session import checkpointed
 
 # Fixed values of the scoring rule.
@@ -33,8 +33,8 @@ SCORE_DIGITS = 9
 
 # So many distinct keys go into the scan as a filter.
 LISTED_KEYS = 500
-# Keys of so many bytes are asked in one pass over the index.
-QUESTION_BYTES = 32 << 20
+# About so many keys are asked in one pass over the index.
+QUESTION_KEYS = 200_000
 # (chunk, question) scores that a task holds at once.
 BLOCK_CELLS = 1 << 21
 # Named chunks come first: their value is their position less this.
@@ -185,13 +185,14 @@ class _Asked:
     avgdl: float
 
 
-def _asked(keys: DataFrame, index: KeywordIndex) -> _Asked:
-    """Bring a batch of question keys, of bounded size, to the driver with their weights."""
+def _asked(keys: list, index: KeywordIndex) -> _Asked:
+    """A batch of question keys, of bounded size, with their weights."""
     totals = index.totals.select("n_docs", "avgdl", "idf_floor").first()
-    terms = keys.where("pos IS NULL")
-    df = index.frequencies.join(F.broadcast(terms.select(F.col("key").alias("term")).distinct()), "term")
+    terms = sorted({r["key"] for r in keys if r["pos"] is None})
+    asked = index.frequencies.sparkSession.createDataFrame([(t,) for t in terms], "term string")
+    df = index.frequencies.join(F.broadcast(asked), "term")
     counts = {r["term"]: r["df"] for r in df.select("term", "df").collect()}
-    rows = sorted(keys.collect(), key=lambda r: (r["key"], r["qid"]))
+    rows = sorted(keys, key=lambda r: (r["key"], r["qid"]))
     # Not every key is a known term, but unknown terms match no chunk either.
     rows = [r for r in rows if r["pos"] is not None or r["key"] in counts]
     qids = sorted({r["qid"] for r in rows})
@@ -316,10 +317,12 @@ def listed_matches(questions: DataFrame, index: KeywordIndex, k: int, inject: bo
     over the index: postings are never shuffled.
     """
     keys = question_keys(questions)
-    batches = max(1, -(-measured_bytes(keys) // QUESTION_BYTES))
+    # One bounded read both fetches a small set of questions and finds out that it is small.
+    few = keys.limit(QUESTION_KEYS + 1).collect()
+    batches = 1 if len(few) <= QUESTION_KEYS else -(-keys.count() // QUESTION_KEYS) + 1
     found = []
     for batch in range(batches):
-        own = keys if batches == 1 else keys.where(F.pmod(F.xxhash64("qid"), F.lit(batches)) == batch)
+        own = few if batches == 1 else keys.where(F.pmod(F.xxhash64("qid"), F.lit(batches)) == batch).collect()
         asked = _asked(own, index)
         numbers = questions.sparkSession.createDataFrame(
             list(enumerate(asked.keys)), "number int, key string"

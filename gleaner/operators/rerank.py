@@ -40,6 +40,9 @@ def rerank(
     scorer, equal scores by their earlier rank, and all is cut to k.  None for
     `text_chars` shows the scorer whole texts.
     """
+    # The ranking needs the hits of a question together; so placed before the
+    # scoring, they are scored by as many tasks as there are partitions.
+    hits = hits.repartition("qid")
     text = F.col("text") if text_chars is None else F.substring("text", 1, text_chars)
     scored = hits.withColumn(
         "rerank_score", F.when(~F.col("pinned"), scorer(F.col("question"), text))

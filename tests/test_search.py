@@ -76,7 +76,7 @@ def test_question_batches_and_blocks_give_the_same(spark, monkeypatch):
     want = rows()
     monkeypatch.setattr(keyword, "BLOCK_CELLS", 24)
     assert rows() == want
-    monkeypatch.setattr(keyword, "QUESTION_BYTES", 400)
+    monkeypatch.setattr(keyword, "QUESTION_KEYS", 20)
     assert rows() == want
 
 
