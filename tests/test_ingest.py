@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -200,9 +201,16 @@ def test_request_batches_equal_a_plain_loop(spark):
     assert got == expected
 
 
-def test_question_sources_with_and_without_broadcast(spark, monkeypatch):
-    rows = [(f"c{i}", "x" * 300, f"src/{i}.py", "f" if i % 3 else "<module>", "function") for i in range(200)]
+def test_question_sources_are_the_first_that_pass(spark):
+    rows = [(f"c{i}", "x" * 300, f"src/{i}.py", "<module>" if i % 20 else "f", "function") for i in range(200)]
     df = spark.createDataFrame(rows, "chunk_id string, text string, source_path string, symbol string, kind string")
-    first = [r["chunk_id"] for r in sampling.question_sources(df, 10).collect()]
-    monkeypatch.setattr(sampling, "BROADCAST_IDS", 0)
-    assert [r["chunk_id"] for r in sampling.question_sources(df, 10).collect()] == first and len(first) == 10
+    order = sorted((f"c{i}" for i in range(0, 200, 20)), key=lambda c: (hashlib.md5(f"42:{c}".encode()).hexdigest(), c))
+    for n in (4, 10):
+        assert {r["chunk_id"] for r in sampling.question_sources(df, n).collect()} == set(order[:n])
+
+
+def test_flushes_of_stored_ids_are_exact_beyond_doubles(spark):
+    first = (1 << 60) + (5 << 33)
+    df = spark.createDataFrame([(first + i, 1) for i in range(600)], "chunk_idx bigint, n_tokens int")
+    flushes = batching.request_batches(df).groupBy("flush").count().orderBy("flush").collect()
+    assert [(r["flush"] - (first >> 8), r["count"]) for r in flushes] == [(0, 256), (1, 256), (2, 88)]
