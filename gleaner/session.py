@@ -41,7 +41,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="gleaner-")
+    # One folder per application: later calls find it set.
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gleaner-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def checkpointed(df):
