@@ -4,7 +4,8 @@ Each stage takes all rows that its predecessor kept.  All but the last return
 the columns of `documents`; the last returns the pieces with their sequences.
 
 * quality rules: documents that the policy rejects go
-* near-duplicates: of each component one document stays, that with the smallest id
+* near-duplicates: of each component of texts alike by 0.8 or more (Jaccard of shingles
+  of five words) one document stays, that with the smallest id
 * secrets: reported spans are replaced by a placeholder; `n_chars` follows where it was set
 * mixing: a document stays as often as the mix takes it
 * packing: pieces of at most 1024 tokens, placed in sequences
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import mixing, packing, quality, secrets, simhash
+from gleaner.llm import mixing, nearcopies, packing, quality, secrets
 from gleaner.llm.common import durable
 
 
@@ -27,7 +28,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.kept(docs)
+    return nearcopies.kept(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

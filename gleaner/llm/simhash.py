@@ -48,18 +48,22 @@ _BATCH = 1 << 17
 # -- fingerprints ---------------------------------------------------------------
 
 
-def fingerprint(text: str | None, n: int = WORDS, seed: int = SEED) -> int:
-    """64 bits; a bit is set if over half of the shingle hashes have it."""
+def hashes(text: str | None, n: int = WORDS, seed: int = SEED) -> np.ndarray:
+    """A hash of every shingle; of fewer words than `n`, one of them all."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII case and blanks only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths).tolist()
     ends = ends[min(n, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(line[a:b], seed) for a, b in zip(starts, ends)), np.uint64, len(ends))
+    return np.fromiter((digest(line[a:b], seed) for a, b in zip(starts, ends)), np.uint64, len(ends))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits; a bit is set if over half of the hashes have it."""
     set_in = np.zeros(64, np.int64)
     for at in range(0, len(hashes), _BATCH):
         octets = hashes[at : at + _BATCH].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -68,11 +72,15 @@ def fingerprint(text: str | None, n: int = WORDS, seed: int = SEED) -> int:
     return int(bits.view("<u8")[0])
 
 
+def fingerprint(text: str | None, n: int = WORDS, seed: int = SEED) -> int:
+    return majority(hashes(text, n, seed))
+
+
 def _signed(values: list[int]) -> np.ndarray:
     return np.array(values, np.uint64).view(np.int64)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS) -> DataFrame:
     """(id, text_hash, fingerprint) of every row; the fingerprint as a signed long."""
     rows = docs.select(
         F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text")
@@ -81,7 +89,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = _signed([fingerprint(text.as_py()) for text in batch.column(2)])
+            found = _signed([fingerprint(text.as_py(), n) for text in batch.column(2)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(found)], names=["id", "text_hash", "fingerprint"]
             )
@@ -253,16 +261,18 @@ def _with_last(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.Rec
 # -- components -----------------------------------------------------------------
 
 
-def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+def clusters(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, n: int = WORDS, blocks: int = BLOCKS
+) -> DataFrame:
     """(id, text_hash, fingerprint, component_id, chosen) of every row.
 
     `component_id` is the smallest id of the component, `chosen` the id and
     text hash of the row that stands for it.
     """
-    rows = durable(fingerprints(docs, id_col, text_col))
+    rows = durable(fingerprints(docs, id_col, text_col, n))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("first")
     distinct = durable(rows.groupBy("fingerprint").agg(first))
-    roots = stars(links(distinct.select("fingerprint"), radius))
+    roots = stars(links(distinct.select("fingerprint"), radius, blocks))
     rooted = distinct.join(roots.select(F.col("a").alias("fingerprint"), F.col("b").alias("root")), "fingerprint", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "fingerprint"))
     firsts = rooted.groupBy("root").agg(F.min("first").alias("chosen"))
@@ -270,9 +280,15 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     return rows.join(named, "fingerprint").withColumn("component_id", F.col("chosen.id"))
 
 
-def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+def kept(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, n: int = WORDS, blocks: int = BLOCKS
+) -> DataFrame:
     """One row of each component, that with the smallest id, with all its columns."""
-    found = clusters(docs, id_col, text_col, radius)
+    return standing(docs, clusters(docs, id_col, text_col, radius, n, blocks), id_col, text_col)
+
+
+def standing(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that stand for the components of `found`, with all their columns."""
     chosen = found.select(F.col("chosen.id").alias("__id"), F.col("chosen.text_hash").alias("__hash")).distinct()
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(F.col(id_col).alias("__id"), F.xxhash64(F.col(text_col)).alias("__hash"), row.alias("__row"))

@@ -10,7 +10,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 
-from gleaner.llm import neighbours, queries, simhash, warc
+from gleaner.llm import nearcopies, neighbours, queries, simhash, warc
 
 
 def test_archives(spark, sf_dir):
@@ -154,3 +154,54 @@ def test_pipeline(spark, sf_dir, corpus):
     for r in packed:
         bins[r["sequence_id"]] += r["length"]
     assert max(bins.values()) <= 1024
+
+
+def slow_shingles(text):
+    text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def near_components(sets, up=4, down=5):
+    """Of distinct sets: set to the place of its component."""
+    names = sorted(set(sets), key=sorted)
+    parent = list(range(len(names)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(names):
+        for j in range(i):
+            if down * len(a & names[j]) >= up * len(a | names[j]):
+                parent[root(i)] = root(j)
+    return {name: root(i) for i, name in enumerate(names)}
+
+
+@pytest.mark.parametrize("part", [256, 3])
+def test_stage_keeps_one_of_texts_alike_by_four_fifths(spark, part, monkeypatch):
+    """Words are changed here and there: most similar pairs differ in more than 4 bits."""
+    rng = np.random.default_rng(6)
+    texts = []
+    for size in (40, 120, 300, 700):
+        for _ in range(6):
+            words = [f"w{i}" for i in rng.integers(0, 3000, size)]
+            texts.append(" ".join(words))
+            for changes in (1, 1, 2, 3, 5, 8, 12, 20):
+                other = list(words)
+                for at in rng.choice(size, changes, replace=False):
+                    other[at] = f"x{rng.integers(0, 3000)}"
+                texts.append(" ".join(other))
+    rows = [(int(i), t) for i, t in zip(rng.permutation(len(texts)), texts)] + [(None, texts[0]), (900, None), (901, " "), (902, "a b")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    monkeypatch.setattr(nearcopies.verified, "__defaults__", (*nearcopies.verified.__defaults__[:2], part))
+    group = near_components([slow_shingles(t or "") for _, t in rows])
+    want = {}
+    for doc_id, text in rows:
+        if doc_id is not None:
+            g = group[slow_shingles(text or "")]
+            want[g] = min(doc_id, want.get(g, doc_id))
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(want.values())
+    assert len(simhash.kept(docs).collect()) > len(kept) + 20  # what the fingerprints alone miss
