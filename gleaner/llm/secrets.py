@@ -10,9 +10,14 @@ that complete it lie in its scope, `reach` code points before or after it.
 * a secret needs an identifier or an endpoint,
 * an endpoint needs both.
 
+A part is completed by another stretch of text only: parts that overlap do not
+complete each other.  An unlabelled key inside the address of a service is a
+piece of the address, not a part.
+
 A scan needs no shuffle: positions come from splitting the text at its
-matches, and the interval join only asks for the nearest part of each role,
-which running maxima over the sorted parts answer without pairs.
+matches, and the interval join only asks for the nearest part of each role
+before and after, which running maxima over the sorted ends and starts answer
+without pairs.
 
 A null text is scanned as empty.  Null and repeated ids stay row by row, empty
 tables give empty results, and other columns are not read.
@@ -120,12 +125,39 @@ def _linked(parts: Column, reach: int) -> Column:
         starts = F.transform(parts, lambda p: F.when(p["kind"].isin(chosen), p["start"]).otherwise(F.lit(far)))
         return running(ends, F.greatest), F.reverse(running(F.reverse(starts), F.least))
 
+    def beside(chosen: list[int]) -> tuple[Column, Column]:
+        """Of every part the last end up to its start, and the first start from its end on, for the given kinds."""
+
+        def events(own: str, other: str, first: int) -> Column:
+            asks = F.transform(
+                parts, lambda p, i: F.struct(p[own].alias("at"), F.lit(1 - first).alias("turn"), i.alias("part"), F.lit(None).cast("bigint").alias("place"))
+            )
+            tells = F.transform(
+                F.filter(parts, lambda p: p["kind"].isin(chosen)),
+                lambda p: F.struct(p[other].alias("at"), F.lit(first).alias("turn"), F.lit(-1).alias("part"), p[other].alias("place")),
+            )
+            return F.array_sort(F.concat(asks, tells))
+
+        def answers(sorted_: Column, places: Column) -> Column:
+            told = F.zip_with(sorted_, places, lambda e, place: F.struct(e["part"].alias("part"), place.alias("place")))
+            return F.transform(F.array_sort(F.filter(told, lambda t: t["part"] >= 0)), lambda t: t["place"])
+
+        def before(sorted_: Column) -> Column:
+            return answers(sorted_, running(F.transform(sorted_, lambda e: F.coalesce(e["place"], F.lit(-far))), F.greatest))
+
+        def after(sorted_: Column) -> Column:
+            starts = F.transform(sorted_, lambda e: F.coalesce(e["place"], F.lit(far)))
+            return answers(sorted_, F.reverse(running(F.reverse(starts), F.least)))
+
+        # At one position ends are told before they are asked for, and starts after.
+        return let(events("start", "end", 0), before), let(events("end", "start", 1), after)
+
     groups = {role: kinds(lambda k, role=role: k.role == role) for role in ROLES}
-    groups["base"] = kinds(lambda k: not k.weak)
-    columns = [c for group in groups.values() for c in nearest(group)]
+    base = kinds(lambda k: not k.weak)
+    columns = [c for group in groups.values() for c in beside(group)] + list(nearest(base))
 
     def judge(near: Column) -> Column:
-        at = {name: (2 * i, 2 * i + 1) for i, name in enumerate(groups)}
+        at = {name: (2 * i, 2 * i + 1) for i, name in enumerate([*groups, "base"])}
 
         def stays(part: Column, i: Column) -> Column:
             def within(name: str, gap: int) -> Column:
@@ -138,7 +170,7 @@ def _linked(parts: Column, reach: int) -> Column:
                 .when(role("secret"), within("identifier", reach) | within("endpoint", reach))
                 .otherwise(within("identifier", reach) & within("secret", reach))
             )
-            weak = ~part["kind"].isin(groups["base"])
+            weak = ~part["kind"].isin(base)
             return F.struct(part.alias("part"), (~weak | (~within("base", 0) & complete)).alias("stays"))
 
         return F.transform(
@@ -149,12 +181,24 @@ def _linked(parts: Column, reach: int) -> Column:
     return let(F.array(*columns), judge)
 
 
+def _outside(parts: Column) -> Column:
+    """The sorted parts without unlabelled keys that lie inside the address of a service."""
+    key, host = ([k.name for k in KINDS].index(name) for name in ("link_secret", "link_host"))
+    ends = F.transform(parts, lambda p: F.when(p["kind"] == host, p["end"]).otherwise(F.lit(-1)).cast("bigint"))
+
+    def cleared(upto: Column) -> Column:
+        return F.filter(parts, lambda p, i: (p["kind"] != key) | (F.get(upto, i) < p["end"]))
+
+    return F.when(F.exists(parts, lambda p: p["kind"] == host), let(running(ends, F.greatest), cleared)).otherwise(parts)
+
+
 def spans(text: Column, reach: int = REACH) -> list[tuple[str, Column]]:
     """The columns to add one after another for `spans_of`; see `scan`."""
     found = F.concat(*[_matches(text, place, kind) for place, kind in enumerate(KINDS)])
     weak = [i for i, k in enumerate(KINDS) if k.weak]
     return [
-        ("__parts", F.array_sort(found)),
+        ("__found", F.array_sort(found)),
+        ("__parts", _outside(F.col("__found"))),
         (
             "__spans",
             F.when(F.exists("__parts", lambda p: p["kind"].isin(weak)), _linked(F.col("__parts"), reach)).otherwise(
@@ -172,7 +216,7 @@ def scan(docs: DataFrame, text_col: str = "text", reach: int = REACH) -> DataFra
     out = docs.withColumn("__scanned", whole(text_col))
     for name, column in spans(F.col("__scanned"), reach):
         out = out.withColumn(name, column)
-    return out.drop("__scanned", "__parts")
+    return out.drop("__scanned", "__found", "__parts")
 
 
 def listed(found: Column, base_only: bool = False) -> Column:

@@ -78,6 +78,30 @@ def test_weak_parts_need_their_complement(spark):
     assert with_secret == "link_id:2:14,link_secret:20:40"
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "see https://github.com/apache/Spark/pull/12345 for it",
+        "login=Zq9XkPm4Rt7Vw2Yb8Nc5 is all",
+        "user=alice wrote https://github.com/apache/Spark/pull/12345",
+        "https://h.example/x and https://github.com/apache/Spark/pull/12345",
+        "https://h.example/?user=alice",
+    ],
+)
+def test_a_stretch_of_text_does_not_complete_itself(spark, text):
+    assert scanned(spark, text) == ("", text)
+
+
+def test_parts_beside_overlapping_ones_still_complete(spark):
+    key = "Zq9XkPm4Rt7Vw2Yb8Nc5"
+    listed, _ = scanned(spark, f"user=bob login={key}")
+    assert listed == "link_id:0:8,link_secret:15:35"  # nothing beside it completes the second account
+    listed, _ = scanned(spark, f"{key},login={key},{key}")
+    assert listed == "link_secret:0:20,link_id:21:47,link_secret:48:68"
+    listed, _ = scanned(spark, f"https://github.com/apache/Spark/pull/12345 {key}")
+    assert listed == "link_secret:43:63"
+
+
 def test_redaction_of_overlapping_and_many_spans(spark):
     text = 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" end'
     assert scanned(spark, text)[1] == '[secret]" end'
