@@ -98,3 +98,67 @@ SELECT z.doc_id, size, source_size, target,
        size * CASE WHEN size > 0 THEN sure + (open AND coalesce(total <= words, false))::INT ELSE 0 END AS taken
 FROM z LEFT JOIN cut ON cut.source IS NOT DISTINCT FROM z.source
 """
+
+# Vectors in whole numbers, and all products with the asking rows.
+_WHOLE = """
+whole AS (
+  SELECT *, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0)
+"""
+
+PRODUCTS = f"""
+WITH {_WHOLE},
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score
+  FROM whole a JOIN whole b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q))
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""
+
+NEGATIVES = f"""
+WITH {_WHOLE},
+v AS (
+  SELECT vec_id, q, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label FROM whole WHERE label IS NOT NULL),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id,
+       row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id)::INT AS rank,
+       s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+QUALIFY rank <= 3
+"""
+
+# The checksum is taken byte by byte with the usual table of 256 remainders.
+SPELLING = """
+WITH RECURSIVE remainders AS (
+  SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS e
+  FROM range(256) r(i)),
+t AS (SELECT list(e ORDER BY i) AS t FROM remainders),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+said AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS c
+  FROM runs WHERE length(run) >= 5 GROUP BY 1, 2),
+digits AS (SELECT w, c, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || w)) AS x FROM said),
+bytes AS (SELECT w, c, list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT) AS b FROM digits),
+sums AS (
+  SELECT w, c, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, b), lambda s, v: xor(s >> 8, t.t[(xor(s, v) & 255) + 1]))) AS h
+  FROM bytes, t),
+lost AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, (h % length(w))::BIGINT) || substr(w, (h % length(w) + 2)::BIGINT) ELSE w END AS w, c FROM sums),
+v AS (SELECT w, sum(c)::BIGINT AS n FROM lost WHERE length(w) >= 5 GROUP BY 1 HAVING sum(c) >= 3),
+d AS (SELECT w, i, substr(w, 1, i - 1) || substr(w, i + 1) AS rest FROM (SELECT w, unnest(range(1, length(w) + 1)) AS i FROM v)),
+near AS (
+  SELECT a.w, b.w AS o FROM d a JOIN d b ON a.i = b.i AND a.rest = b.rest AND a.w <> b.w
+  UNION SELECT d.w, v.w FROM d JOIN v ON v.w = d.rest UNION SELECT v.w, d.w FROM d JOIN v ON v.w = d.rest),
+best AS (
+  SELECT near.w, count(*) AS n_near, arg_min(o, (-v.n, o)) AS top, max(v.n) AS top_n FROM near JOIN v ON v.w = near.o GROUP BY 1),
+f AS (
+  SELECT v.w, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN top_n >= 2 * v.n THEN top END AS form,
+         CASE WHEN top_n >= 2 * v.n THEN top_n END AS form_n
+  FROM v LEFT JOIN best ON best.w = v.w),
+walk AS (SELECT w, form AS at FROM f WHERE form IS NOT NULL UNION ALL SELECT walk.w, f.form FROM walk JOIN f ON f.w = walk.at WHERE f.form IS NOT NULL),
+ends AS (SELECT walk.w, walk.at FROM walk JOIN f ON f.w = walk.at WHERE f.form IS NULL)
+SELECT f.w AS word, form, coalesce(ends.at, f.w) AS root, n, n_near, form_n FROM f LEFT JOIN ends ON ends.w = f.w
+"""

@@ -5,7 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import mixing, neighbours, oracles, packing, quality, secrets, sharding, simhash, substrings, suffixes, warc
+from gleaner.llm import (
+    hardnegatives,
+    mixing,
+    neighbours,
+    oracles,
+    packing,
+    pivots,
+    quality,
+    secrets,
+    sharding,
+    simhash,
+    spelling,
+    substrings,
+    suffixes,
+    warc,
+)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -113,6 +128,21 @@ def op10_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_threshold_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").cast("long").alias("label"))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardnegatives.mine(vectors.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+def op12_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pivots.search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(_read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -124,6 +154,9 @@ QUERIES = {
     "op8_pareto_mix": op8_pareto_mix,
     "op9_best_two_fit": op9_best_two_fit,
     "op10_learned_partitions": op10_learned_partitions,
+    "op11_threshold_negatives": op11_threshold_negatives,
+    "op12_pivot_search": op12_pivot_search,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLES = {
@@ -131,4 +164,7 @@ ORACLES = {
     "op6_substring_dedup": oracles.SUBSTRINGS,
     "op7_warc_normaliser": oracles.ARCHIVES,
     "op8_pareto_mix": oracles.MIX,
+    "op11_threshold_negatives": oracles.NEGATIVES,
+    "op12_pivot_search": oracles.PRODUCTS,
+    "op13_spelling_variants": oracles.SPELLING,
 }
