@@ -3,7 +3,7 @@
 The others are held against brute force in the tests: spans of weak parts and
 redactions (op1), fingerprints of a hash that DuckDB lacks (op2), strings of
 bytes (op3), the quantiles behind the curve (op4), tokens (op9), and learned
-parts (op10).
+parts (op10).  Products (op11, op12) and words (op13) are whole numbers and exact.
 """
 
 from __future__ import annotations

@@ -171,6 +171,8 @@ class Verifier:
 
     def pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Compare pairs letter by letter."""
+        if not len(a):
+            return np.zeros(0, bool)
         la, lb = self.lengths[0][a], self.lengths[1][b]
         least = np.minimum(la, lb)
         (left_a, left_b), (right_a, right_b) = self.sides
