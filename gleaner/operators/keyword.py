@@ -2,9 +2,10 @@
 
 The index is sharded by chunk: all postings of a chunk lie in one hash
 partition (or one bucket of the stored table), so every question is scored
-where the postings are.  A task gathers the asked terms of each chunk, scores
-blocks of chunks against all questions as arrays, and hands on k rows per
-question; pairs of question and chunk never become rows.
+where the postings are.  A task gathers the asked terms of each chunk, bounds
+what blocks of chunks can offer each question, scores the blocks that may still
+enter its list, and hands on k rows per question; pairs of question and chunk
+never become rows.
 """
 
 from __future__ import annotations
@@ -35,8 +36,11 @@ SCORE_DIGITS = 9
 LISTED_KEYS = 500
 # About so many keys are asked in one pass over the index.
 QUESTION_KEYS = 200_000
-# (chunk, question) scores that a task holds at once.
+# Chunks of a block, and (block, question) bounds and scores that a task holds at once.
+BLOCK_CHUNKS = 8
 BLOCK_CELLS = 1 << 21
+SCORED_CELLS = 1 << 16
+SLACK = 1e-6
 # Named chunks come first: their value is their position less this.
 NAMED_FIRST = 1e12
 
@@ -225,83 +229,152 @@ class _Lists:
     """The k first chunks of every question so far; smaller values come first, then smaller ids."""
 
     def __init__(self, questions: int, k: int):
-        self.k = k
+        self.k, self.questions = k, questions
         self.last = np.full(questions, np.inf)
-        self.rows: list[tuple[np.ndarray, ...]] = [()] * questions
-
-    def offer(self, values: np.ndarray, chunks: np.ndarray, scores: np.ndarray, pos: np.ndarray) -> None:
-        """Values by (chunk, question), inf where the chunk is no hit."""
-        for q in np.flatnonzero((values <= self.last).any(axis=0) & np.isfinite(values).any(axis=0)):
-            column = values[:, q]
-            at = np.flatnonzero((column <= self.last[q]) & np.isfinite(column))
-            if len(at) > self.k:
-                edge = np.partition(column[at], self.k - 1)[self.k - 1]
-                at = at[column[at] <= edge]
-            new = (column[at], chunks[at], scores[at, q], pos[at, q])
-            if self.rows[q]:
-                new = tuple(np.concatenate(c) for c in zip(self.rows[q], new))
-            order = np.lexsort((new[1], new[0]))[: self.k]
-            self.rows[q] = tuple(c[order] for c in new)
-            if len(order) == self.k:
-                self.last[q] = self.rows[q][0][-1]
-
-
-def _listing(asked: _Asked, k: int, inject: bool, best: bool):
-    """Score the chunks of a task block by block and hand on its first k per question.
-
-    A block is as many chunks as keep (chunk, question) in BLOCK_CELLS numbers:
-    pairs are cells of an array, never rows.
+        none = np.empty(0)
+        # question, value, chunk, score, position of the name
+        self.rows = (np.empty(0, np.int64), none, np.empty(0, np.int64), none, none)
+
+    def offer(self, q: np.ndarray, value: np.ndarray, chunk: np.ndarray, score: np.ndarray, pos: np.ndarray) -> None:
+        near = value <= self.last[q]
+        rows = [np.concatenate((old, new[near])) for old, new in zip(self.rows, (q, value, chunk, score, pos))]
+        order = np.lexsort((rows[2], rows[1], rows[0]))
+        rows = [c[order] for c in rows]
+        place = np.arange(len(order)) - np.searchsorted(rows[0], np.arange(self.questions))[rows[0]]
+        last = place == self.k - 1
+        self.last[rows[0][last]] = rows[1][last]
+        self.rows = tuple(c[place < self.k] for c in rows)
+
+
+class BlockWalk:
+    """Exact top lists of a task by block maxima.
+
+    Chunks are sorted by length and cut into blocks of a few.  The largest
+    saturated weight of every asked term in a block bounds what the block can
+    offer a question.  Blocks of large bounds fill the lists; a (block, question)
+    cell below the last score of a full list is skipped, and only the others are
+    scored, term by term.  `cells` and `scored` count both.
     """
 
-    def block(batch: pa.RecordBatch, lists: _Lists, top: _Lists) -> None:
-        terms = batch.column(2)
-        chunks, dl = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        n, questions = len(chunks), len(asked.qids)
+    def __init__(self, asked: _Asked, k: int, inject: bool, best: bool):
+        self.asked, self.inject = asked, inject
+        self.lists = _Lists(len(asked.qids), k)
+        self.top = _Lists(len(asked.qids), 1) if best else None
+        self.seeds = -(-k // BLOCK_CHUNKS) + 1
+        self.cells = self.scored = 0
+        key = np.repeat(np.arange(len(asked.keys)), np.diff(asked.first))
+        by_question = np.argsort(asked.asker[asked.pos < 0], kind="stable")
+        self.key, self.weight = key[asked.pos < 0][by_question], asked.weight[asked.pos < 0][by_question]
+        self.begin = np.searchsorted(asked.asker[asked.pos < 0][by_question], np.arange(len(asked.qids) + 1))
+
+    @staticmethod
+    def _expand(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and places of lists that start at `first` and have `count` entries."""
+        row = np.repeat(np.arange(len(count)), count)
+        return row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + first[row]
+
+    def _least(self) -> np.ndarray:
+        """What a block must be able to offer each question."""
+        least = -self.lists.last
+        if self.top is not None:
+            least = np.where(self.asked.named, np.minimum(least, -self.top.last), least)
+        return least - SLACK
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        asked, questions = self.asked, len(self.asked.qids)
+        terms, dl = batch.column(2), batch.column(1).to_numpy()
+        by_length = np.argsort(dl, kind="stable")
+        place = np.empty(len(dl), np.int64)
+        place[by_length] = np.arange(len(dl))
+        self.chunk = batch.column(0).to_numpy()[by_length]
         parts = terms.flatten()
-        owner = np.repeat(np.arange(n), np.diff(terms.offsets.to_numpy()))
-        key, tf = parts.field("number").to_numpy(), parts.field("tf").to_numpy().astype(np.float64)
+        owner = np.repeat(np.arange(len(dl)), np.diff(terms.offsets.to_numpy()))
+        key, tf = parts.field("number").to_numpy().astype(np.int64), parts.field("tf").to_numpy().astype(np.float64)
         saturated = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[owner] / asked.avgdl))
-        askers = asked.first[key + 1] - asked.first[key]
-        entry = np.repeat(np.arange(len(key)), askers)
-        use = np.arange(len(entry)) - np.repeat(np.cumsum(askers) - askers, askers) + asked.first[key[entry]]
-        cell = owner[entry] * questions + asked.asker[use]
-        name = asked.pos[use] >= 0
-        term = ~name
-        scores = np.bincount(cell[term], asked.weight[use[term]] * saturated[entry[term]], n * questions).reshape(n, questions)
-        pos = np.full(n * questions, np.inf)
-        np.minimum.at(pos, cell[name], asked.pos[use[name]])
-        pos = pos.reshape(n, questions)
-        touched = np.zeros(n * questions, bool)
-        touched[cell] = True
-        touched = touched.reshape(n, questions)
-        by_score = -np.round(scores, SCORE_DIGITS)
-        values = np.where(touched & (scores > 0), by_score, np.inf)
-        if inject:
-            values = np.where(np.isfinite(pos), pos - NAMED_FIRST, values)
-        lists.offer(values, chunks, scores, pos)
-        if best:
-            hit = touched & ((scores > 0) | np.isfinite(pos)) & asked.named
-            top.offer(np.where(hit, by_score, np.inf), chunks, scores, pos)
+        # Postings by block and key; each run of them has its largest weight.
+        code = place[owner] // BLOCK_CHUNKS * len(asked.keys) + key
+        order = np.argsort(code, kind="stable")
+        code, self.saturated, self.inside = code[order], saturated[order], place[owner[order]] % BLOCK_CHUNKS
+        start = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.empty(0, np.int64)
+        self.code, self.start, self.size = code[start], start, np.diff(np.r_[start, len(code)])
+        most = np.maximum.reduceat(self.saturated, start) if len(start) else self.saturated
+        blocks = -(-len(dl) // BLOCK_CHUNKS)
+        block, run_key = self.code // len(asked.keys), self.code % len(asked.keys)
+        run, use = self._expand(asked.first[run_key], asked.first[run_key + 1] - asked.first[run_key])
+        cell, term = block[run] * questions + asked.asker[use], asked.pos[use] < 0
+        gain = np.maximum(asked.weight[use[term]], 0) * most[run[term]]
+        bound = np.bincount(cell[term], gain, blocks * questions).reshape(blocks, questions)
+        named = np.bincount(cell[~term], minlength=blocks * questions).reshape(blocks, questions) > 0
+        # Names of chunks: the smallest position for each question.
+        at, entry = self._expand(self.start[run[~term]], self.size[run[~term]])
+        self.positions = (
+            (block[run[~term]][at] * questions + asked.asker[use[~term]][at]) * BLOCK_CHUNKS + self.inside[entry],
+            asked.pos[use[~term]][at].astype(np.float64),
+        )
+        self.cells += int((bound > 0).sum())
+        todo = named.copy()
+        seeds = min(self.seeds, blocks)
+        if seeds:
+            first = np.argpartition(-bound, seeds - 1, axis=0)[:seeds]
+            np.put_along_axis(todo, first, True, axis=0)
+        todo &= named | ((bound > 0) & (bound >= self._least()))
+        self._score(todo)
+        self._score((bound > 0) & (bound >= self._least()) & ~todo)
+
+    def _score(self, todo: np.ndarray) -> None:
+        every_block, every_question = np.nonzero(todo)
+        self.scored += len(every_block)
+        for at in range(0, len(every_block), SCORED_CELLS):
+            block, q = every_block[at : at + SCORED_CELLS], every_question[at : at + SCORED_CELLS]
+            cell, term = self._expand(self.begin[q], self.begin[q + 1] - self.begin[q])
+            wanted = block[cell] * len(self.asked.keys) + self.key[term]
+            run = np.minimum(np.searchsorted(self.code, wanted), max(len(self.code) - 1, 0))
+            hit = self.code[run] == wanted
+            cell, term, run = cell[hit], term[hit], run[hit]
+            row, entry = self._expand(self.start[run], self.size[run])
+            slot = cell[row] * BLOCK_CHUNKS + self.inside[entry]
+            slots = len(block) * BLOCK_CHUNKS
+            score = np.bincount(slot, self.weight[term[row]] * self.saturated[entry], slots)
+            pos = np.full(slots, np.inf)
+            places, value = self.positions
+            known = np.searchsorted(block * len(self.asked.qids) + q, places // BLOCK_CHUNKS)
+            mine = known < len(block)
+            mine[mine] &= (block * len(self.asked.qids) + q)[known[mine]] == (places // BLOCK_CHUNKS)[mine]
+            np.minimum.at(pos, known[mine] * BLOCK_CHUNKS + places[mine] % BLOCK_CHUNKS, value[mine])
+            slot = np.flatnonzero((score > 0) | np.isfinite(pos))
+            asker, chunk = q[slot // BLOCK_CHUNKS], self.chunk[block[slot // BLOCK_CHUNKS] * BLOCK_CHUNKS + slot % BLOCK_CHUNKS]
+            score, pos = score[slot], pos[slot]
+            by_score = -np.round(score, SCORE_DIGITS)
+            is_named = np.isfinite(pos)
+            value = np.where(is_named, pos - NAMED_FIRST, by_score) if self.inject else by_score
+            kept = (score > 0) | (is_named & self.inject)
+            self.lists.offer(asker[kept], value[kept], chunk[kept], score[kept], pos[kept])
+            if self.top is not None:
+                kept = self.asked.named[asker]
+                self.top.offer(asker[kept], by_score[kept], chunk[kept], score[kept], pos[kept])
+
+
+def _listing(asked: _Asked, k: int, inject: bool, best: bool):
+    """Score the chunks of a task, a bounded number at a time, and hand on its first k per question."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists, top = _Lists(len(asked.qids), k), _Lists(len(asked.qids), 1)
-        step = max(1, BLOCK_CELLS // max(1, len(asked.qids)))
+        walk = BlockWalk(asked, k, inject, best)
+        step = max(1, BLOCK_CELLS // max(1, len(asked.qids))) * BLOCK_CHUNKS
         for batch in batches:
             for at in range(0, batch.num_rows, step):
-                block(batch.slice(at, step), lists, top)
-        for label, kept in (("leg", lists), ("best", top)):
-            for q, rows in enumerate(kept.rows):
-                if rows:
-                    _, chunk, score, pos = rows
-                    same = lambda value: pa.array([value] * len(chunk))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            same(asked.qids[q]), same(label), pa.array(chunk), pa.array(score),
-                            pa.array(np.where(np.isfinite(pos), pos, -1).astype(np.int32), mask=~np.isfinite(pos)),
-                            same(bool(asked.searchable[q])), same(bool(asked.named[q])),
-                        ],
-                        names=["qid", "list", "chunk_idx", "score", "pos", "searchable", "named"],
-                    )
+                walk.add(batch.slice(at, step))
+        qids = np.asarray(asked.qids, dtype=object)
+        for label, lists in (("leg", walk.lists), ("best", walk.top)):
+            if lists is not None and len(lists.rows[0]):
+                q, _, chunk, score, pos = lists.rows
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(qids[q]), pa.array([label] * len(q)), pa.array(chunk), pa.array(score),
+                        pa.array(np.where(np.isfinite(pos), pos, -1).astype(np.int32), mask=~np.isfinite(pos)),
+                        pa.array(asked.searchable[q]), pa.array(asked.named[q]),
+                    ],
+                    names=["qid", "list", "chunk_idx", "score", "pos", "searchable", "named"],
+                )
 
     return run
 
