@@ -12,6 +12,7 @@ from catalogue import sql, views
 from gleaner.operators import hybrid, keyword, vector
 from gleaner.operators.joins import estimated_bytes
 from gleaner.operators.keyword import KeywordIndex
+from gleaner.operators.vector_index import VectorIndex, centroids
 from gleaner.session import checkpoint_dir
 from gleaner.sources.store import read_keywords, sized_shards, write_keywords
 
@@ -53,6 +54,18 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through stored cells of vectors, as many as make it exact."""
+    vectors = views.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_idx"), "embedding")
+    root = f"{checkpoint_dir(spark)}/gleaner/{spark.sparkContext.applicationId}/cells-{time.time_ns()}"
+    centre = centroids(vectors)
+    VectorIndex.write(vectors, root, centre)
+    hits, _ = VectorIndex.read(spark, centre, [root]).search(views.question_vectors(spark, sf_dir), K)
+    return hits.select(
+        "qid", F.col("rank").cast("bigint").alias("rank"), "chunk_idx", F.round("similarity", 6).alias("similarity")
+    )
+
+
 def hybrid_hits(spark: SparkSession, sf_dir: str, k: int, widen: bool = False, named: bool = True, pin: bool = True) -> DataFrame:
     pool = hybrid.pool_size(k, widen)
     fetch = hybrid.fetch_size(pool)
@@ -80,6 +93,7 @@ QUERIES = {
     "bm25_topk": bm25_topk,
     "bm25_injected": bm25_injected,
     "vector_topk": vector_topk,
+    "vector_index_topk": vector_index_topk,
     "hybrid_rrf": hybrid_rrf,
     "hybrid_pinned": hybrid_pinned,
 }
@@ -102,6 +116,7 @@ SELECT qid, rank, chunk_idx, round(score, 6) AS score FROM (
   FROM scored WHERE score > 0) WHERE rank < {K}""",
     "bm25_injected": f"{NAMED},{sql.keyword_leg(K)}\nSELECT qid, rank, chunk_idx, round(score, 6) AS score, injected FROM kleg",
     "vector_topk": f"{sql.ctes(_ALL_VECTORS, sql.vector_leg(K))}\nSELECT qid, rank, chunk_idx, round(similarity, 6) AS similarity FROM vleg",
+    "vector_index_topk": f"{sql.ctes(_ALL_VECTORS, sql.vector_leg(K))}\nSELECT qid, rank, chunk_idx, round(similarity, 6) AS similarity FROM vleg",
     "hybrid_rrf": ",\n".join((PLAIN, sql.keyword_leg(60), sql.VECTORS, sql.vector_leg(60), sql.hybrid(6, 6, pin=False)))
     + "\nSELECT qid, rank, chunk_idx, round(score, 9) AS score, source FROM hyb",
     "hybrid_pinned": named_hybrid(6, 6, 60) + "\nSELECT qid, rank, chunk_idx, round(score, 9) AS score, source FROM hyb",

@@ -33,11 +33,26 @@ def store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"store_roundtrip": store_roundtrip}
+def store_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document after three ingests whose generations were merged, with its indexed length."""
+    store = Store(spark, f"{checkpoint_dir(spark)}/gleaner/{spark.sparkContext.applicationId}/compacted-{time.time_ns()}")
+    docs = views.corpus(spark, sf_dir)
+    for part in range(3):
+        store.add(docs.where(F.col("chunk_idx") % 3 <= part).drop("chunk_idx"), [F.col("source_path")])
+    store.compact(fanout=2)
+    chunks = store.chunks().select("chunk_idx", "chunk_id", F.md5("text").alias("digest"))
+    return chunks.join(_lengths(store, "n_indexed"), "chunk_idx", "left").select("chunk_id", "digest", "n_indexed")
 
-ORACLES = {
-    "store_roundtrip": f"""{sql.ctes(sql.CORPUS, sql.INDEXED)},
+
+QUERIES = {"store_roundtrip": store_roundtrip, "store_compacted": store_compacted}
+
+_STORED = f"""{sql.ctes(sql.CORPUS, sql.INDEXED)},
 {sql.tokens("it", "indexed", "chunk_idx", "body")},
-dl AS (SELECT chunk_idx, count(*) AS n FROM it GROUP BY 1)
+dl AS (SELECT chunk_idx, count(*) AS n FROM it GROUP BY 1)"""
+
+ORACLES = {
+    "store_compacted": f"""{_STORED}
+SELECT chunk_id, md5(text) AS digest, n AS n_indexed FROM corpus c LEFT JOIN dl ON dl.chunk_idx = c.chunk_idx""",
+    "store_roundtrip": f"""{_STORED}
 SELECT chunk_id, md5(text) AS digest, n AS n_appended, n AS n_rebuilt FROM corpus c LEFT JOIN dl ON dl.chunk_idx = c.chunk_idx""",
 }

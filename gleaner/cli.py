@@ -1,4 +1,4 @@
-"""Command line: ingest, ask, ingest-items, gen-eval, eval.
+"""Command line: ingest, ask, ingest-items, compact, index-vectors, gen-eval, eval.
 
     python -m gleaner.cli --store FOLDER ingest TREE
     python -m gleaner.cli --store FOLDER ask "How does Pool.acquire work?"
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from gleaner.engine import Engine
 from gleaner.functions.layout import citation
 from gleaner.operators import summary
+from gleaner.operators.items import BODY_CHARS
 from gleaner.plans.retrieve import METHODS
 from gleaner.session import session
 from gleaner.sources.questions import read_questions, write_questions, write_results
@@ -22,7 +23,7 @@ from gleaner.sources.questions import read_questions, write_questions, write_res
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="gleaner", description="Retrieval analytics over text and code, on Spark.")
     p.add_argument("--store", default=os.environ.get("GLEANER_STORE", "gleaner-store"), help="folder of the stored corpus")
-    p.add_argument("--shards", type=int, default=None, help="shards of the keyword index, fixed when the store is new; sized by the data if not given")
+    p.add_argument("--shards", type=int, default=None, help="shards of each part of the keyword index, fixed when the store is new; sized by the data if not given")
     sub = p.add_subparsers(dest="command", required=True)
 
     c = sub.add_parser("ingest", help="chunk a source tree into the store")
@@ -40,6 +41,13 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("repo", help="owner/repo")
     c.add_argument("dump")
     c.add_argument("--max-items", type=int, default=None, help="keep those updated last; all if not given")
+    c.add_argument("--body-chars", type=int, default=BODY_CHARS, help="characters kept of a body; 0 keeps all")
+
+    c = sub.add_parser("compact", help="merge small generations of the store")
+    c.add_argument("--vacuum", action="store_true", help="delete what was replaced; nothing else may use the store meanwhile")
+
+    c = sub.add_parser("index-vectors", help="sort the vectors into cells, for searches that read a part of them")
+    c.add_argument("--cells", type=int, default=None)
 
     c = sub.add_parser("gen-eval", help="write questions about sampled chunks")
     c.add_argument("--n", type=int, default=1000)
@@ -94,8 +102,15 @@ def main(argv: list[str] | None = None) -> None:
     elif args.command == "ask":
         _ask(engine, args)
     elif args.command == "ingest-items":
-        added = engine.ingest_items(args.repo, args.dump, args.max_items)
+        added = engine.ingest_items(args.repo, args.dump, args.max_items, args.body_chars or None)
         print(f"Added {added} chunks, {engine.store.count()} in all.")
+    elif args.command == "compact":
+        merges = engine.store.compact()
+        deleted = engine.store.vacuum() if args.vacuum else 0
+        print(f"{merges} merges, {deleted} folders deleted.")
+    elif args.command == "index-vectors":
+        engine.store.index_vectors(args.cells)
+        print(f"{engine.store.count()} vectors are in cells.")
     elif args.command == "gen-eval":
         print(f"Wrote {write_questions(engine.generate(args.n, args.seed), args.output)} questions to {args.output}.")
     else:

@@ -115,13 +115,30 @@ def corpus_totals(sizes: DataFrame, frequencies: DataFrame) -> DataFrame:
     ).withColumn("idf_floor", F.lit(IDF_FLOOR_SHARE) * F.col("mean_idf"))
 
 
+def totals_of(sizes: DataFrame, spread: DataFrame) -> DataFrame:
+    """`corpus_totals` from sizes (one row) and spread(df, terms), how many terms have which frequency."""
+    n_docs, sum_dl = sizes.select("n_docs").scalar(), sizes.select("sum_dl").scalar()
+    n_terms = F.coalesce(F.sum("terms"), F.lit(0))
+    return spread.agg(
+        n_docs.alias("n_docs"),
+        F.when(n_docs > 0, sum_dl / n_docs).otherwise(0.0).alias("avgdl"),
+        n_terms.alias("n_terms"),
+        F.when(n_terms > 0, F.sum(F.col("terms") * raw_idf(n_docs, F.col("df"))) / n_terms).alias("mean_idf"),
+    ).withColumn("idf_floor", F.lit(IDF_FLOOR_SHARE) * F.col("mean_idf"))
+
+
 @dataclass(frozen=True)
 class KeywordIndex:
-    """postings(key, chunk_idx, tf, dl), frequencies(term, df), totals (one row)."""
+    """postings(key, chunk_idx, tf, dl), frequencies(term, df), totals (one row).
+
+    `frequencies` may hold a term several times, once per generation; they add
+    up.  `parts` are the tables of the postings, each placed by chunk.
+    """
 
     postings: DataFrame
     frequencies: DataFrame
     totals: DataFrame
+    parts: tuple[DataFrame, ...] = ()
 
     @staticmethod
     def over(chunks: DataFrame, enriched: bool = True) -> KeywordIndex:
@@ -194,7 +211,7 @@ def _asked(keys: list, index: KeywordIndex) -> _Asked:
     totals = index.totals.select("n_docs", "avgdl", "idf_floor").first()
     terms = sorted({r["key"] for r in keys if r["pos"] is None})
     asked = index.frequencies.sparkSession.createDataFrame([(t,) for t in terms], "term string")
-    df = index.frequencies.join(F.broadcast(asked), "term")
+    df = index.frequencies.join(F.broadcast(asked), "term").groupBy("term").agg(F.sum("df").alias("df"))
     counts = {r["term"]: r["df"] for r in df.select("term", "df").collect()}
     rows = sorted(keys, key=lambda r: (r["key"], r["qid"]))
     # Not every key is a known term, but unknown terms match no chunk either.
@@ -400,18 +417,18 @@ def listed_matches(questions: DataFrame, index: KeywordIndex, k: int, inject: bo
         numbers = questions.sparkSession.createDataFrame(
             list(enumerate(asked.keys)), "number int, key string"
         )
-        posted = index.postings
-        if 0 < len(asked.keys) <= LISTED_KEYS:
-            # The stored postings are sorted by key: the scan skips row groups without these.
-            posted = posted.where(F.col("key").isin(asked.keys))
-        terms = (
-            posted.join(F.broadcast(numbers), "key")
-            .groupBy("chunk_idx")
-            .agg(F.first("dl").alias("dl"), F.collect_list(F.struct("number", "tf")).alias("terms"))
-        )
         schema = f"qid {questions.schema['qid'].dataType.simpleString()}, list string, chunk_idx bigint, score double, pos int, searchable boolean, named boolean"
-        lists = terms.select("chunk_idx", "dl", "terms").mapInArrow(_listing(asked, k, inject, best), schema)
-        found.append(lists if batches == 1 else checkpointed(lists))
+        for posted in index.parts or (index.postings,):
+            if 0 < len(asked.keys) <= LISTED_KEYS:
+                # The stored postings are sorted by key: the scan skips row groups without these.
+                posted = posted.where(F.col("key").isin(asked.keys))
+            terms = (
+                posted.join(F.broadcast(numbers), "key")
+                .groupBy("chunk_idx")
+                .agg(F.first("dl").alias("dl"), F.collect_list(F.struct("number", "tf")).alias("terms"))
+            )
+            lists = terms.select("chunk_idx", "dl", "terms").mapInArrow(_listing(asked, k, inject, best), schema)
+            found.append(lists if batches == 1 else checkpointed(lists))
     return stack(*found)
 
 

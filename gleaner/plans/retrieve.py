@@ -12,6 +12,7 @@ from gleaner.operators.joins import BROADCAST_BYTES
 from gleaner.operators.keyword import KeywordIndex
 from gleaner.operators.rerank import REMOTE_TEXT_CHARS, rerank
 from gleaner.operators.vector import nearest
+from gleaner.operators.vector_index import VectorIndex
 from gleaner.providers import OFFLINE, Providers, hyde_query
 
 # Method names and what they stand for.
@@ -49,11 +50,22 @@ def resolve(name: str, **flags: bool) -> Method:
 @dataclass(frozen=True)
 class Corpus:
     """chunks(chunk_idx, chunk_id, text, source_path, kind, symbol, start_line, end_line),
-    vectors(chunk_idx, embedding), and the keyword index (or none)."""
+    vectors(chunk_idx, embedding), the keyword index (or none), and an index over the vectors (or none).
+
+    With `probes`, a vector search reads so many cells per question; without,
+    as many as make it exact.
+    """
 
     chunks: DataFrame
     vectors: DataFrame
     keywords: KeywordIndex | None
+    cells: VectorIndex | None = None
+    probes: int | None = None
+
+    def nearest(self, question_vectors: DataFrame, k: int) -> DataFrame:
+        if self.cells is None:
+            return nearest(self.vectors, question_vectors, k)
+        return self.cells.search(question_vectors, k, self.probes)[0]
 
 
 def block_of(chunk_idx: Column) -> Column:
@@ -105,7 +117,7 @@ def ranked(
     if question_vectors is None:
         question_vectors = _question_vectors(questions, providers, method.hyde)
     if method.base == "vector":
-        hits = nearest(corpus.vectors, question_vectors, k)
+        hits = corpus.nearest(question_vectors, k)
         # The score is minus the cosine distance.
         return hits.select(
             "qid", "rank", "chunk_idx", (F.col("similarity") - 1.0).alias("score"),
@@ -114,7 +126,7 @@ def ranked(
 
     pool = hybrid.pool_size(k, method.rerank)
     fetch = hybrid.fetch_size(pool)
-    near = nearest(corpus.vectors, question_vectors, fetch)
+    near = corpus.nearest(question_vectors, fetch)
     if corpus.keywords is None:
         words = near.select("qid", "rank", "chunk_idx", F.lit(False).alias("injected"), F.lit(False).alias("searchable")).limit(0)
     else:

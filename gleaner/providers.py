@@ -49,6 +49,8 @@ class Providers:
     """What can be exchanged for a model."""
 
     embed: Callable[[Column], Column] = hashed_embedding  # text -> array<float>
+    # Texts of one request -> vectors; if given, an ingest sends packed requests and `embed` serves questions only.
+    embed_batch: Callable[[Sequence[str]], Sequence[Sequence[float]]] | None = None
     suppose: Callable[[Column], Column] = _supposed_answer  # question -> hypothetical answer
     answer: Callable[[Column, Column], Column] = _first_block  # question, context -> answer
     judge: Callable[[Column, Column], Column] = _cited_verdict  # question, answer -> JSON verdict

@@ -174,7 +174,7 @@ def index_rows(index):
     totals = index.totals.first()
     return (
         sorted(map(tuple, index.postings.select("key", "chunk_idx", "tf", "dl").collect())),
-        sorted(map(tuple, index.frequencies.collect())),
+        sorted(map(tuple, index.frequencies.groupBy("term").agg(F.sum("df")).collect())),
         [totals[0], round(totals[1], 9), totals[2], round(totals[3], 9)],
     )
 
