@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +14,10 @@ from gleaner.functions import replies, routing
 from gleaner.operators import hybrid, keyword, metrics, summary
 from gleaner.operators.joins import stack
 from gleaner.operators.vector import nearest
-from gleaner.plans import answering, retrieve
+from gleaner.plans import answering, evaluation, retrieve
 from gleaner.plans.retrieve import Corpus
+from gleaner.providers import OFFLINE
+from gleaner.session import checkpointed
 
 K = 6
 DEPTH = 10
@@ -77,6 +82,59 @@ def hybrid_hyde(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("qid", big("rank").alias("rank"), "chunk_idx", F.round("score", 9).alias("score"), "source")
 
 
+_hashed_vectors: dict[tuple[str, str], DataFrame] = {}
+
+
+def _hashed_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
+    """All documents with the vectors that the offline provider gives them, written once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _hashed_vectors:
+        texts = views.corpus(spark, sf_dir, spread=True)
+        _hashed_vectors[key] = checkpointed(texts.select("chunk_idx", OFFLINE.embed(F.col("text")).alias("embedding")))
+    return Corpus(views.corpus(spark, sf_dir), _hashed_vectors[key], retrieval.index(spark, sf_dir))
+
+
+def agentic_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The multi-hop search as it runs: each question, then the symbol of its best hit."""
+    _, hits = answering.agentic(views.named_questions(spark, sf_dir), _hashed_corpus(spark, sf_dir))
+    return hits.select("qid", big("turn").alias("turn"), big("rank").alias("rank"), "chunk_idx", "source")
+
+
+def _typed_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions of all kinds, and a third that finds nothing."""
+    n = F.regexp_extract("qid", r"(\d+)", 1).cast("long")
+    symbol = F.regexp_extract("question", r"How does (\S+) work", 1)
+    lead = F.when(n % 3 == 0, F.concat(F.lit("zqxj"), n.cast("string"))).when(n % 3 == 1, F.concat(F.lit("In what order is "), symbol, F.lit(" set up?")))
+    return views.named_questions(spark, sf_dir).withColumn("question", F.coalesce(lead, F.col("question")))
+
+
+def ask_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routed answers as they are given: single shots, multi-hop searches, and second chances.
+
+    The provider is never sure of questions that consist of an unknown word.
+    """
+    corpus = _hashed_corpus(spark, sf_dir)
+    unsure = replace(OFFLINE, answer=lambda q, c: F.when(q.startswith("zqxj"), F.lit(replies.INSUFFICIENT)).otherwise(OFFLINE.answer(q, c)))
+    answers, hits = answering.ask(_typed_questions(spark, sf_dir), corpus, K, "routed", unsure)
+    seen = hits.groupBy("qid").agg(
+        F.count_if(F.col("phase") == "final").alias("n_final"), F.count_if(F.col("phase") == "first").alias("n_first")
+    )
+    return answers.join(seen, "qid", "left").select(
+        "qid", "routed_to", "used_fallback", big("turns").alias("turns"), F.md5("answer").alias("digest"), "n_final", "n_first"
+    )
+
+
+def evaluate_offline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evaluation as it runs: retrieval, answers, judge and metrics of every method, run and question."""
+    questions = views.named_questions(spark, sf_dir).join(_labelled(spark, sf_dir).drop("judge_score"), "qid")
+    facts = evaluation.evaluate(questions, _hashed_corpus(spark, sf_dir), list(METHODS), DEPTH, RUNS)
+    return facts.select(
+        *_keys(), "category", F.round("mrr", 6).alias("mrr"), F.round("p_mrr", 6).alias("p_mrr"),
+        F.round("path_coverage", 6).alias("path_coverage"), big("judge_score").alias("judge_score"),
+        F.array_join("hit_paths", "|").alias("hit_paths"),
+    )
+
+
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions with expectations: some have no path, no symbol, or a null symbol list."""
     items = views.table(spark, sf_dir, "benchmark").select("item_id")
@@ -230,7 +288,7 @@ QUERIES = {
     for f in (
         hydrate_join, format_context, format_preview, rerank_overlap, rerank_nowiden, hybrid_hyde, hit_flags,
         strict_metrics, path_metrics, coverage_metrics, eval_matrix, agg_by_method, agg_by_category, scorecard,
-        scorecard_strict, agentic_cumulative, routed_fallback,
+        scorecard_strict, agentic_cumulative, routed_fallback, agentic_walk, ask_routed, evaluate_offline,
     )
 }
 
@@ -257,9 +315,10 @@ SELECT qid, place AS rank, chunk_idx, round(rerank_score, 6) AS rerank_score,
        CASE WHEN pinned THEN source ELSE source || '+{tag}' END AS source FROM ro WHERE place < {K}"""
 
 
-_HASHED = f"""
-htext AS (
-  SELECT qid, 'The code that deals with this is described as follows. ' || question || chr(10) || chr(10) || question AS body FROM questions),
+def _hashed(body: str, k: int) -> str:
+    """CTE vleg from hashed term counts of questions and documents."""
+    return f"""
+htext AS (SELECT qid, {body} AS body FROM questions),
 {sql.tokens("ht", "htext", "qid", "body")},
 {sql.tokens("ct", "corpus", "chunk_idx", "text")},
 hb AS (SELECT qid, ('0x' || left(md5(tok), 8))::BIGINT % 64 AS b, count(*) AS n FROM ht GROUP BY ALL),
@@ -278,9 +337,14 @@ sims AS (
 vleg AS (
   SELECT * FROM (
     SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, chunk_idx) - 1 AS rank, chunk_idx, similarity
-    FROM sims) WHERE rank < 60)"""
+    FROM sims) WHERE rank < {k})"""
 
-_EVAL = f"""{retrieval.named_hybrid(DEPTH, DEPTH, 100)},
+
+_SUPPOSED = "'The code that deals with this is described as follows. ' || question || chr(10) || chr(10) || question"
+
+
+def _eval(hybrid_hits: str) -> str:
+    return f"""{hybrid_hits},
 labelled AS (
   SELECT 'bm_' || item_id AS qid, ['factual', 'where_is', 'conceptual', 'multi_hop'][item_id % 4 + 1] AS category,
          CASE item_id % 5 WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN [source_path, '/doc_' || (item_id + 1) || '.md', 'src/src1/']
@@ -327,6 +391,58 @@ facts AS (
   LEFT JOIN pc ON pc.method = c.method AND pc.run = c.run AND pc.qid = c.qid
   LEFT JOIN sc ON sc.method = c.method AND sc.run = c.run AND sc.qid = c.qid)"""
 
+
+_EVAL = _eval(retrieval.named_hybrid(DEPTH, DEPTH, 100))
+_EVAL_HASHED = _eval(",\n".join((retrieval.NAMED, sql.keyword_leg(100), _hashed("question", 100), sql.hybrid(DEPTH, DEPTH))))
+# Every question, and every symbol that a walk may search next.
+_WALKED = retrieval.NAMED.replace(
+    sql.NAMED_QUESTIONS.strip(),
+    sql.NAMED_QUESTIONS.strip().replace("questions AS", "given AS", 1)
+    + ",\nquestions AS (SELECT * FROM given UNION ALL SELECT 'symbol:' || symbol, symbol FROM corpus)",
+)
+_WALK = (
+    ",\n".join((_WALKED.replace("WITH", "WITH RECURSIVE", 1), sql.keyword_leg(60), _hashed("question", 60), sql.hybrid(5, 5)))
+    + """,
+lead AS (SELECT qid, symbol FROM hyb JOIN corpus c ON c.chunk_idx = hyb.chunk_idx WHERE rank = 0),
+walk AS (
+  SELECT qid, 0 AS turn, qid AS query, []::VARCHAR[] AS seen FROM given
+  UNION ALL
+  SELECT w.qid, turn + 1, 'symbol:' || symbol, list_append(seen, symbol) FROM walk w JOIN lead ON lead.qid = w.query
+  WHERE turn < 4 AND symbol <> '' AND NOT list_contains(seen, symbol))"""
+)
+
+_ASKED = (
+    _WALK.replace("given AS", "plain AS", 1)
+    .replace(
+        "questions AS (SELECT * FROM given",
+        r"""given AS (
+  SELECT qid, CASE n % 3 WHEN 0 THEN 'zqxj' || n WHEN 1 THEN 'In what order is ' || symbol || ' set up?' ELSE question END AS question, n % 3 AS form
+  FROM (SELECT *, regexp_extract(qid, '\d+')::BIGINT AS n, regexp_extract(question, 'How does (\S+) work', 1) AS symbol FROM plain)),
+questions AS (SELECT qid, question FROM given""",
+        1,
+    )
+    + ","
+    + re.sub(r"\b(fused|ninj|pins|hyb)\b", r"\1_shot", sql.hybrid(K, K))
+    + f""",
+agent AS (
+  SELECT w.qid, turn, chunk_idx, row_number() OVER (PARTITION BY w.qid ORDER BY turn, rank) AS place
+  FROM walk w JOIN given g ON g.qid = w.qid AND form < 2 JOIN hyb ON hyb.qid = w.query),
+listed AS (
+  SELECT qid, max(turn) AS last, count(*) AS n,
+         string_agg('[' || place || '] ' || source_path || ':' || start_line || '-' || end_line || ' (' || kind || ' · ' || symbol || ')'
+           || chr(10) || '    ' || replace(substr(text, 1, 400), chr(10), ' '), chr(10) || chr(10) ORDER BY place) AS listing
+  FROM agent a JOIN corpus c ON c.chunk_idx = a.chunk_idx GROUP BY 1),
+shown AS (
+  SELECT qid, '[#1] ' || source_path || ' (lines ' || start_line || '-' || end_line || ', ' || kind || ', ' || symbol || ')' || chr(10) || text AS block
+  FROM hyb_shot h JOIN corpus c ON c.chunk_idx = h.chunk_idx WHERE rank = 0),
+shots AS (SELECT qid, count(*) AS n FROM hyb_shot GROUP BY 1)
+SELECT g.qid, ['hybrid → agentic', 'agentic', 'hybrid'][form + 1] AS routed_to, form = 0 AS used_fallback,
+       CASE WHEN form < 2 THEN least(last + 2, 5) END::BIGINT AS turns,
+       md5(CASE form WHEN 0 THEN '{replies.INSUFFICIENT}' WHEN 1 THEN listing ELSE block END) AS digest,
+       CASE WHEN form < 2 THEN l.n ELSE s.n END AS n_final, CASE WHEN form = 0 THEN s.n ELSE 0 END AS n_first
+FROM given g LEFT JOIN listed l ON l.qid = g.qid LEFT JOIN shown ON shown.qid = g.qid LEFT JOIN shots s ON s.qid = g.qid"""
+)
+
 _BY_RUN = "runs AS (SELECT method, run, count(*) AS n, " + ", ".join(f"avg({m}) AS {m}" for m in metrics.FACT_METRICS) + " FROM facts GROUP BY ALL)"
 
 
@@ -364,7 +480,14 @@ SELECT qid, string_agg('[' || (rank + 1) || '] ' || source_path || ':' || start_
        || chr(10) || '    ' || replace(substr(text, 1, 400), chr(10), ' '), chr(10) || chr(10) ORDER BY rank) AS listing FROM shown GROUP BY 1""",
     "rerank_overlap": _rerank(30, 300, "rerank", "text"),
     "rerank_nowiden": _rerank(6, 60, "code", "substr(text, 1, 4000)"),
-    "hybrid_hyde": ",\n".join((retrieval.NAMED, sql.keyword_leg(60), _HASHED, sql.hybrid(6, 6)))
+    "agentic_walk": f"""{_WALK}
+SELECT w.qid, turn::BIGINT AS turn, row_number() OVER (PARTITION BY w.qid ORDER BY turn, rank) - 1 AS rank, chunk_idx, source
+FROM walk w JOIN hyb ON hyb.qid = w.query""",
+    "ask_routed": _ASKED,
+    "evaluate_offline": f"""{_EVAL_HASHED}
+SELECT method, run, qid, category, round(mrr, 6) AS mrr, round(p_mrr, 6) AS p_mrr, round(path_coverage, 6) AS path_coverage,
+       (CASE WHEN hit_paths <> '' THEN 2 ELSE 1 END)::BIGINT AS judge_score, hit_paths FROM facts""",
+    "hybrid_hyde": ",\n".join((retrieval.NAMED, sql.keyword_leg(60), _hashed(_SUPPOSED, 60), sql.hybrid(6, 6)))
     + "\nSELECT qid, rank, chunk_idx, round(score, 9) AS score, replace(source, 'vector', 'vector+hyde') AS source FROM hyb",
     "hit_flags": f"{_EVAL} SELECT method, run, qid, rank, path_hit, strict_hit FROM flags",
     "strict_metrics": f"{_EVAL} SELECT method, run, qid, hit_at_1, hit_at_3, hit_at_10, round(mrr, 6) AS mrr, num_hits_in_topk FROM facts",

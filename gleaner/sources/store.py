@@ -21,7 +21,6 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from gleaner.operators import keyword
 from gleaner.operators.batching import batched_embeddings
@@ -191,11 +190,14 @@ class Store:
     def _log(self, epoch: int) -> str:
         return f"{self.root}/log/epoch={epoch}" if epoch else f"{self.root}/commits"
 
+    def _files(self, folder: str) -> tuple:
+        """The folder's path and its file system."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def _rows(self, folder: str, schema: str) -> list:
-        try:
-            return self.spark.read.schema(schema).json(folder).orderBy("seq", "gen").collect()
-        except AnalysisException:
-            return []
+        path, files = self._files(folder)
+        return self.spark.read.schema(schema).json(folder).orderBy("seq", "gen").collect() if files.exists(path) else []
 
     def _state(self) -> _State:
         """The commits of the newest snapshot and those after it, one row per ingest."""
@@ -427,9 +429,7 @@ class Store:
         """
         state = self._state()
         live = {*map(str, state.chunks), *map(str, state.postings)}
-        jvm, deleted = self.spark._jvm, 0
-        root = jvm.org.apache.hadoop.fs.Path(self.root)
-        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        (root, files), deleted = self._files(self.root), 0
 
         def folders(path) -> list:
             return [x.getPath() for x in files.listStatus(path) if x.isDirectory()] if files.exists(path) else []
