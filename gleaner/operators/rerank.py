@@ -27,22 +27,20 @@ def overlap_scorer(question: Column, text: Column) -> Column:
     )
 
 
-def rerank(
+def best_scored(
     hits: DataFrame,
     k: int,
     scorer: Scorer = overlap_scorer,
     tag: str = "rerank",
     text_chars: int | None = None,
 ) -> DataFrame:
-    """hits(qid, question, rank, chunk_idx, text, score, source, pinned) -> same + rerank_score.
+    """hits(qid, question, rank, chunk_idx, text, score, source, pinned) -> the k best without text, + rerank_score.
 
     Pinned hits stay first and are not scored; the rest is ordered by the
     scorer, equal scores by their earlier rank, and all is cut to k.  None for
-    `text_chars` shows the scorer whole texts.
+    `text_chars` shows the scorer whole texts.  Texts are scored where they are:
+    only ids and scores are brought together.
     """
-    # The ranking needs the hits of a question together; so placed before the
-    # scoring, they are scored by as many tasks as there are partitions.
-    hits = hits.repartition("qid")
     text = F.col("text") if text_chars is None else F.substring("text", 1, text_chars)
     scored = hits.withColumn(
         "rerank_score", F.when(~F.col("pinned"), scorer(F.col("question"), text))
@@ -57,4 +55,4 @@ def rerank(
         F.round("rerank_score", 9).desc_nulls_last(),
         F.col("prior_rank"),
     ]
-    return top_ranked(scored.withColumnRenamed("rank", "prior_rank"), ["qid"], order, k).drop("prior_rank")
+    return top_ranked(scored.drop("text").withColumnRenamed("rank", "prior_rank"), ["qid"], order, k).drop("prior_rank")

@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.operators import hybrid, keyword
-from gleaner.operators.joins import BROADCAST_BYTES
+from gleaner.operators.joins import BROADCAST_BYTES, spread_small, stack
 from gleaner.operators.keyword import KeywordIndex
-from gleaner.operators.rerank import REMOTE_TEXT_CHARS, rerank
+from gleaner.operators.rerank import REMOTE_TEXT_CHARS, best_scored
 from gleaner.operators.vector import nearest
 from gleaner.operators.vector_index import VectorIndex
 from gleaner.providers import OFFLINE, Providers, hyde_query
+from gleaner.session import checkpointed
 
 # Method names and what they stand for.
 ALIASES = {
@@ -28,6 +29,8 @@ METHODS = (*RETRIEVAL_METHODS, "agentic", "routed")
 
 META = ("chunk_id", "text", "source_path", "kind", "symbol", "start_line", "end_line")
 HIT_ROW_BYTES = 160
+# So many times the texts are read, before they are shuffled once instead.
+PASSES = 16
 # monotonically_increasing_id() counts rows in the low 33 bits.
 BLOCK_ROW_BITS = 33
 
@@ -73,22 +76,30 @@ def block_of(chunk_idx: Column) -> Column:
     return F.shiftright(chunk_idx, BLOCK_ROW_BITS)
 
 
-def hydrate(hits: DataFrame, chunks: DataFrame, max_rows: int) -> DataFrame:
+def hydrate(hits: DataFrame, chunks: DataFrame, max_rows: int, row_bytes: int = HIT_ROW_BYTES) -> DataFrame:
     """Text and metadata of the ranked chunks; hits without a chunk are left out.
 
     At most `max_rows` hits exist, so their size is known before they are
-    computed.  Small enough, they go to the chunks and no text is shuffled;
-    otherwise both sides meet by chunk, where adaptive execution splits a
-    chunk that very many questions found.
+    computed.  They go to the chunks, in batches of a size that is broadcast, and
+    no text is shuffled.  Only beyond PASSES batches, when reading the texts so
+    often costs more than moving them once, both sides meet by chunk, where
+    adaptive execution splits a chunk that very many questions found.
     """
     key = ["chunk_idx"]
     if "block" in chunks.columns:
         # Stored chunks are partitioned by block: the join prunes the scan to
         # the blocks that hold hits, instead of reading every text.
         hits, key = hits.withColumn("block", block_of(F.col("chunk_idx"))), ["block", "chunk_idx"]
-    if max_rows * HIT_ROW_BYTES <= BROADCAST_BYTES:
-        hits = F.broadcast(hits)
-    return chunks.select(*key, *META).join(hits, key).drop("block")
+    texts = chunks.select(*key, *META)
+    batches = min(max_rows, -(-max_rows * row_bytes // max(BROADCAST_BYTES, 1)))
+    if batches <= 1:
+        return texts.join(F.broadcast(hits), key).drop("block")
+    if batches > PASSES:
+        return texts.join(hits, key).drop("block")
+    # A hash deals them unevenly: twice as many batches, each within the bound.
+    ids = checkpointed(hits)
+    parts = [ids.where(F.pmod(F.xxhash64("qid", "chunk_idx"), F.lit(2 * batches)) == i) for i in range(2 * batches)]
+    return stack(*[texts.join(F.broadcast(part), key) for part in parts]).drop("block")
 
 
 def _question_vectors(questions: DataFrame, providers: Providers, hyde: bool) -> DataFrame:
@@ -151,15 +162,20 @@ def retrieve(
     """
     how = resolve(method, **flags)
     pool = hybrid.pool_size(k, how.rerank and how.base == "hybrid")
-    hits = hydrate(
-        ranked(questions, corpus, k, how, providers, question_vectors), corpus.chunks, questions.count() * pool
-    )
-    hits = hits.withColumn("rerank_score", F.lit(None).cast("double"))
-    if how.base == "hybrid" and (how.rerank or how.code_rerank):
-        hits = hits.join(questions.select("qid", "question"), "qid")
-        if how.rerank:
-            hits = rerank(hits, k, providers.rerank)
-        if how.code_rerank:
-            hits = rerank(hits, k, providers.code_rerank, "code", rerank_chars)
-        hits = hits.drop("question")
-    return hits.select("qid", "rank", "chunk_idx", "score", "source", "rerank_score", *META)
+    asked = questions.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("question")), F.lit(0)).alias("bytes")).first()
+    hits = ranked(questions, corpus, k, how, providers, question_vectors)
+    scorers = []
+    if how.base == "hybrid" and how.rerank:
+        scorers.append((providers.rerank, "rerank", None))
+    if how.base == "hybrid" and how.code_rerank:
+        scorers.append((providers.code_rerank, "code", rerank_chars))
+    if not scorers:
+        hits = hydrate(hits, corpus.chunks, asked["n"] * pool).withColumn("rerank_score", F.lit(None).cast("double"))
+        return hits.select("qid", "rank", "chunk_idx", "score", "source", "rerank_score", *META)
+    # Texts come to the hits twice: to be scored where they are read, and for the k that are left.
+    for scorer, tag, chars in scorers:
+        with_question = hits.join(questions.select("qid", "question"), "qid")
+        bound = HIT_ROW_BYTES + -(-asked["bytes"] // max(asked["n"], 1))
+        texts = hydrate(with_question, spread_small(corpus.chunks), asked["n"] * pool, bound)
+        hits, pool = checkpointed(best_scored(texts.select(*with_question.columns, "text"), k, scorer, tag, chars).drop("question")), k
+    return hydrate(hits, corpus.chunks, asked["n"] * k).select("qid", "rank", "chunk_idx", "score", "source", "rerank_score", *META)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from gleaner.operators import hybrid, joins, keyword, vector
 from gleaner.operators.keyword import KeywordIndex
-from gleaner.operators.rerank import rerank
+from gleaner.operators.rerank import best_scored
 
 DOCS = ["alpha beta beta", "alpha gamma", "alpha delta epsilon", "beta", ""]
 
@@ -188,7 +188,7 @@ def test_rerank_keeps_pins_and_breaks_ties_by_rank(spark):
     hits = spark.createDataFrame(
         rows, "qid string, question string, rank int, chunk_idx bigint, text string, score double, source string, pinned boolean"
     )
-    got = rerank(hits, 3).orderBy("rank").collect()
+    got = best_scored(hits, 3).orderBy("rank").collect()
     assert [(r["chunk_idx"], r["rerank_score"], r["source"]) for r in got] == [
         (1, None, "symbol"), (3, 1.0, "bm25+rerank"), (2, 0.0, "vector+rerank"),
     ]
