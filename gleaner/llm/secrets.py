@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import let, running, whole
 
 REACH = 200
+#: A text is cut into pieces of 2 ** PIECE_BITS code points to be redacted.
+PIECE_BITS = 10
 PLACEHOLDER = "[secret]"
 
 _ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -235,17 +237,33 @@ def counted(found: Column, name: str) -> Column:
 
 
 def redact(text: Column, found: Column, placeholder: str = PLACEHOLDER) -> Column:
-    """The text with every stretch of reported spans replaced."""
+    """The text with every stretch of reported spans replaced.
 
-    def cut(upto: Column) -> Column:
-        def piece(span: Column, i: Column) -> Column:
-            before = F.coalesce(F.get(upto, i - 1), F.lit(0))
-            gap = F.greatest(span["start"] - before, F.lit(0)).cast("int")
-            kept = F.substring(text, (before + 1).cast("int"), gap)
-            return F.when((i > 0) & (span["start"] <= before), "").otherwise(F.concat(kept, F.lit(placeholder)))
+    The text is cut into pieces of PIECE code points once; a stretch between
+    spans is put together from them, so that no span walks through the text.
+    """
+
+    def cut(row: Column) -> Column:
+        upto, pieces = row["upto"], row["pieces"]
+
+        def stretch(first: Column, last: Column) -> Column:
+            a, b = F.shiftright(first, PIECE_BITS), F.shiftright(last, PIECE_BITS)
+            start = (first - F.shiftleft(a, PIECE_BITS) + 1).cast("int")
+            inside = F.substring(F.get(pieces, a), start, (last - first).cast("int"))
+            head = F.substring(F.get(pieces, a), start, F.lit(1 << PIECE_BITS))
+            between = F.array_join(F.slice(pieces, a + 2, F.greatest(b - a - 1, F.lit(0))), "")
+            tail = F.substring(F.coalesce(F.get(pieces, b), F.lit("")), F.lit(1), (last - F.shiftleft(b, PIECE_BITS)).cast("int"))
+            return F.when(first >= last, "").when(a == b, inside).otherwise(F.concat(head, between, tail))
+
+        def kept(span: Column, i: Column) -> Column:
+            before = F.coalesce(F.get(upto, i - 1), F.lit(0)).cast("int")
+            inner = F.concat(stretch(before, span["start"].cast("int")), F.lit(placeholder))
+            return F.when((i > 0) & (span["start"] <= before), "").otherwise(inner)
 
-        rest = F.substring(text, (F.element_at(upto, -1) + 1).cast("int"), F.length(text))
-        return F.concat(F.array_join(F.transform(found, piece), ""), rest)
+        rest = stretch(F.element_at(upto, -1).cast("int"), F.length(text))
+        return F.concat(F.array_join(F.transform(found, kept), ""), rest)
 
     ends = F.transform(found, lambda s: s["end"])
-    return F.when(F.size(found) == 0, text).otherwise(let(running(ends, F.greatest), cut))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{1 << PIECE_BITS}}}"), F.lit(0))
+    row = F.struct(running(ends, F.greatest).alias("upto"), pieces.alias("pieces"))
+    return F.when(F.size(found) == 0, text).otherwise(let(row, cut))
