@@ -8,7 +8,9 @@ run of windows of a document with one anchor, and equal blocks hold the same
 windows one by one.
 
 Hashes are polynomials modulo 2 ** 64 over 64-bit unit hashes, taken as
-differences of prefix sums.
+differences of prefix sums.  They are used for up to about a hundred units;
+patterns of which two share a polynomial of any base are some thousand units
+long.
 """
 
 from __future__ import annotations
@@ -18,10 +20,13 @@ from dataclasses import dataclass, fields
 from functools import lru_cache
 
 import numpy as np
+import xxhash
 
 BASE = 0x9E3779B97F4A7C15
 OTHER_BASE = 0xD1342543DE82EF95
 _PLACE_BITS = 28
+#: Bytes from which a word is named by XXH64 instead.
+LONG_WORD = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -194,6 +199,9 @@ class Words:
         ranges = Ranges(joined.units)
         lengths = (self.end - self.start).astype(np.uint64)
         self.units = mix(ranges.hash(self.start, self.end) + mix(lengths))
+        # Long runs of regular patterns can share a polynomial modulo 2 ** 64, whatever its base.
+        for i in np.flatnonzero(lengths > LONG_WORD):
+            self.units[i] = xxhash.xxh64_intdigest(self.whole[self.start[i] : self.end[i]], LONG_WORD)
         self.ends = np.searchsorted(self.start, joined.ends)
 
 
