@@ -11,10 +11,16 @@ that of the fingerprints.  Candidates come from two sources, and only connect:
 more, and a radius that holds them links unlike texts.
 
 The components of the candidates hold those of the similar pairs.  Inside each
-one the texts are compared pair by pair: sets meet in cells of bounded size,
-every pair of parts of a large component in one cell, common shingles are
-counted by a matrix product, and a cell hands on a forest of the pairs that are
-similar.  The components of these are the result.
+one the texts are compared in cells of bounded size: common shingles are counted
+by a matrix product, and a cell hands on a forest of the pairs that are similar.
+A large component is dealt into parts, and every text goes to one part only; one
+text of each group found goes on to the next round, so many variants of one
+template shrink to a few at once and each text is sent about once.
+
+Texts of a large component that are still in different groups after that may be
+alike all the same.  Two sets that are alike share one of their rarest shingles
+(a fifth of them, in any order that is the same for all).  Texts that share none
+with another group are done; only the others meet in all pairs of parts.
 
 Texts with the same shingles are one vertex, named by a hash of the set.  Texts
 of fewer than five words have one shingle; null, empty and blank ones have none
@@ -28,13 +34,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleaner.llm import simhash
 from gleaner.llm.common import durable
 from gleaner.llm.components import stars
+from gleaner.llm.texts import Unpack, packed
+from gleaner.operators.joins import fits_broadcast, join_lookup, stack
 
 WORDS = 5
 #: Least similarity, as a fraction of whole numbers.
@@ -43,6 +51,10 @@ BANDS = 40
 ROWS = 5
 #: Texts that one part of a split component holds, on average.
 PART = 256
+#: Shingles that it holds, on average, where texts are long.
+PART_SHINGLES = 1 << 21
+#: Counters of how often shingles occur, to order them by; shingles may share one.
+COUNTERS = 1 << 18
 _COLUMNS = 1 << 13
 _AT_ONCE = 1 << 12
 _FACTORS, _SHIFTS = np.random.default_rng(5).integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64)
@@ -67,22 +79,27 @@ def band_keys(found: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS) -> DataFrame:
-    """(id, text_hash, node, fingerprint, keys) of every row; `node` names the set of shingles."""
+    """(id, text_hash, node, weight, fingerprint, keys) of every row; `node` names the set of shingles, `weight` is its size."""
     rows = docs.select(
         F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text")
     )
     long = T.LongType()
     schema = T.StructType(
-        [*rows.schema.fields[:2], T.StructField("node", long), T.StructField("fingerprint", long), T.StructField("keys", T.ArrayType(long))]
+        [
+            *rows.schema.fields[:2],
+            *[T.StructField(name, long) for name in ("node", "weight", "fingerprint")],
+            T.StructField("keys", T.ArrayType(long)),
+        ]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, prints, keys = [], [], []
+            nodes, weights, prints, keys = [], [], [], []
             for text in batch.column(2):
                 hashes = simhash.hashes(text.as_py(), n)
                 found = np.unique(hashes)
                 nodes.append(xxhash.xxh64_intdigest(found.tobytes()))
+                weights.append(len(found))
                 prints.append(simhash.majority(hashes))
                 keys.append(band_keys(found))
             ends = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
@@ -91,10 +108,11 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
                 batch.column(0),
                 batch.column(1),
                 pa.array(np.array(nodes, np.uint64).view(np.int64)),
+                pa.array(weights, pa.int64()),
                 pa.array(np.array(prints, np.uint64).view(np.int64)),
                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "text_hash", "node", "fingerprint", "keys"])
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -135,69 +153,180 @@ def alike(sets: list[np.ndarray], similarity: tuple[int, int] = SIMILARITY) -> t
     return np.nonzero(np.triu(down * common >= up * (sizes[:, None] + sizes - common), 1))
 
 
-def verified(texts: DataFrame, n: int = WORDS, similarity: tuple[int, int] = SIMILARITY, part: int = PART) -> DataFrame:
-    """(a, b): of (root, node, text), edges that connect what is similar among the nodes of a root."""
-    sizes = texts.groupBy("root").agg(F.count("*").alias("nodes")).where(F.col("nodes") > 2 * part)
-    parts = sizes.select("root", F.ceil(F.col("nodes") / part).cast("int").alias("parts"))
-    mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    cell = F.transform(
-        F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.least(mine, other) * F.col("parts") + F.greatest(mine, other)
-    )
-    cells = (
-        texts.join(F.broadcast(parts), "root", "left")
-        .withColumn("cell", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(cell)))
-        .select("root", "cell", "node", "text")
-    )
+def _dealt(texts: DataFrame, part: int) -> DataFrame:
+    """Add the number of `parts` that the texts of a root are dealt into."""
+    nodes, weight = F.count("*"), F.sum("weight")
+    one = (nodes <= 2 * part) & (weight <= 2 * PART_SHINGLES)
+    parts = F.when(one, 1).otherwise(F.greatest(F.ceil(nodes / part), F.ceil(weight / PART_SHINGLES))).cast("int")
+    parts = durable(texts.groupBy("root").agg(parts.alias("parts")))
+    return join_lookup(texts, parts, "root", "node", fits_broadcast(parts))
+
+
+def _part() -> Column:
+    return F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
 
-    def compared(nodes: list[int], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+
+def _compared(cells: DataFrame, n: int, similarity: tuple[int, int], leaders: bool = True) -> DataFrame:
+    """Links (a, b) that connect what is alike in a cell.
+
+    With `leaders`, texts of split roots that are not linked to a smaller place
+    come back whole, with b null, for the next round.
+    """
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("a", "b", "root", "weight")] + [T.StructField("packed", T.BinaryType())])
+
+    def groups(root: int, parts: int, nodes: list[int], weights: list[int], texts: list[pa.Scalar]) -> Iterator[pa.RecordBatch]:
         parent = np.arange(len(nodes))
-        simhash._join_up(parent, *alike(sets, similarity))
-        simhash._join_up(parent, np.zeros(1, np.int64), np.zeros(1, np.int64))
-        linked = np.flatnonzero(parent != np.arange(len(nodes)))
-        if len(linked):
-            names = np.array(nodes, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(names[linked]), pa.array(names[parent[linked]])], names=["a", "b"])
+        if len(nodes) > 1:
+            unpack = Unpack()
+            sets = [shingles(unpack(t).decode("utf-8", "surrogatepass"), n) for t in texts]
+            simhash._join_up(parent, *alike(sets, similarity))
+            simhash._join_up(parent, np.zeros(1, np.int64), np.zeros(1, np.int64))
+        first = parent == np.arange(len(nodes))
+        out = np.flatnonzero(~first | (leaders and parts > 1))
+        if len(out):
+            names, leads = np.array(nodes, np.int64), first[out]
+            columns = [
+                pa.array(names[out]),
+                pa.array(names[parent[out]], mask=leads),
+                pa.array(np.full(len(out), root, np.int64), mask=~leads),
+                pa.array(np.array(weights, np.int64)[out], mask=~leads),
+                pa.array([texts[i].as_py() if lead else None for i, lead in zip(out, leads)], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, nodes, sets = None, [], []
+        now, held = None, ([], [], [])
         for batch in batches:
-            roots, places, names = (batch.column(i).to_pylist() for i in range(3))
-            for root, place, name, text in zip(roots, places, names, batch.column(3)):
-                if (root, place) != now:
-                    if len(nodes) > 1:
-                        yield from compared(nodes, sets)
-                    now, nodes, sets = (root, place), [], []
-                nodes.append(name)
-                sets.append(shingles(text.as_py(), n))
-        if len(nodes) > 1:
-            yield from compared(nodes, sets)
+            roots, places, parts, names, weights = (batch.column(i).to_pylist() for i in range(5))
+            for root, place, of, name, weight, text in zip(roots, places, parts, names, weights, batch.column(5)):
+                if (root, place, of) != now:
+                    if now is not None:
+                        yield from groups(now[0], now[2], *held)
+                    now, held = (root, place, of), ([], [], [])
+                for column, value in zip(held, (name, weight, text)):
+                    column.append(value)
+        if now is not None:
+            yield from groups(now[0], now[2], *held)
+
+    rows = cells.select("root", "cell", "parts", "node", "weight", "packed")
+    return rows.repartition("root", "cell").sortWithinPartitions("root", "cell").mapInArrow(run, schema)
+
+
+def _rarity(texts: DataFrame, n: int) -> np.ndarray:
+    """How often the shingles of each counter occur; COUNTERS numbers come to the driver."""
 
-    return cells.repartition("root", "cell").sortWithinPartitions("root", "cell").mapInArrow(run, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack, counts = Unpack(), np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                found = shingles(unpack(text).decode("utf-8", "surrogatepass"), n)
+                counts += np.bincount((found % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["counter", "times"])
+
+    total = np.zeros(COUNTERS, np.int64)
+    found = texts.select("packed").mapInArrow(run, "counter long, times long").groupBy("counter").agg(F.sum("times").alias("times")).toArrow()
+    total[found.column("counter").to_numpy()] = found.column("times").to_numpy()
+    return total
 
 
-def clusters(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    n: int = WORDS,
-    similarity: tuple[int, int] = SIMILARITY,
-    radius: int = simhash.RADIUS,
-    blocks: int = simhash.BLOCKS,
+def _rarest(texts: DataFrame, rarity: np.ndarray, n: int, similarity: tuple[int, int]) -> DataFrame:
+    """(root, shingle, node, label): of each set so many of its rarest shingles that alike sets share one."""
+    up, down = similarity
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = Unpack()
+        for batch in batches:
+            roots, nodes, labels = (batch.column(i).to_pylist() for i in range(3))
+            for root, node, label, text in zip(roots, nodes, labels, batch.column(3)):
+                found = shingles(unpack(text).decode("utf-8", "surrogatepass"), n)
+                least = -(-up * len(found) // down)  # what a set that is alike has in common with it, at least
+                times = rarity[(found % np.uint64(COUNTERS)).astype(np.int64)]
+                found = found[np.lexsort((found, times))[: len(found) - least + 1]].view(np.int64)
+                same = [pa.array(np.full(len(found), value, np.int64)) for value in (root, node, label)]
+                yield pa.RecordBatch.from_arrays([same[0], pa.array(found), *same[1:]], names=["root", "shingle", "node", "label"])
+
+    rows = texts.select("root", "node", "label", "packed")
+    return rows.mapInArrow(run, "root long, shingle long, node long, label long")
+
+
+def verified(texts: DataFrame, n: int = WORDS, similarity: tuple[int, int] = SIMILARITY, part: int = PART) -> DataFrame:
+    """(a, b): of (root, node, weight, packed), edges that connect what is similar among the nodes of a root."""
+    rounds, active, before = [], texts, None
+    while True:
+        seen = durable(_compared(_dealt(active, part).withColumn("cell", _part()), n, similarity))
+        rounds.append(seen.where("b IS NOT NULL").select("a", "b"))
+        leaders = seen.where("b IS NULL").select("root", F.col("a").alias("node"), "weight", "packed")
+        left = leaders.count()
+        if before is None:
+            split = leaders.select("root").distinct()
+        if left == 0 or before is not None and 2 * left > before:
+            break
+        active, before = leaders, left
+    if before is None:
+        return rounds[0]
+    return stack(*rounds, _between_groups(texts, split, rounds, n, similarity, part))
+
+
+def _between_groups(texts: DataFrame, split: DataFrame, rounds: list[DataFrame], n: int, similarity: tuple[int, int], part: int) -> DataFrame:
+    """Edges between groups that no round has brought together."""
+    labelled = texts.select("root", "node", F.col("node").alias("label")).join(split, "root", "left_semi")
+    for links in rounds:
+        up = links.select(F.col("a").alias("label"), F.col("b").alias("up"))
+        labelled = labelled.join(up, "label", "left").select("root", "node", F.coalesce("up", "label").alias("label"))
+    several = labelled.groupBy("root").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("root")
+    labelled = durable(labelled.join(several, "root", "left_semi"))
+    if labelled.isEmpty():
+        return rounds[0].limit(0)
+    rest = durable(texts.join(labelled.select("node", "label"), "node"))
+    rarest = _rarest(rest, _rarity(rest, n), n, similarity)
+    shared = (
+        rarest.groupBy("root", "shingle")
+        .agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+        .where("lo < hi")
+        .select("root", "shingle")
+    )
+    unsure = durable(rarest.join(shared, ["root", "shingle"], "left_semi").select("node").distinct())
+    dealt = _dealt(durable(rest.join(unsure, "node", "left_semi").drop("label")), part)
+    mine, parts = _part(), F.col("parts")
+    pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda other: F.least(mine, other) * parts + F.greatest(mine, other))
+    return _compared(dealt.withColumn("cell", F.explode(pairs)), n, similarity, leaders=False).select("a", "b")
+
+
+def _rooted(
+    rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, similarity: tuple[int, int], radius: int, blocks: int
 ) -> DataFrame:
-    """(id, text_hash, node, component_id, chosen) of every row, as `simhash.clusters` has them."""
-    rows = durable(sketches(docs, id_col, text_col, n))
+    """(node, first, root): of each distinct set the row with the smallest id, and the component."""
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("first")
-    distinct = durable(rows.groupBy("node").agg(first))
+    distinct = durable(rows.groupBy("node").agg(first, F.max("weight").alias("weight")))
     coarse = stars(candidates(rows, radius, blocks))
     members = coarse.select(F.col("a").alias("node"), F.col("b").alias("root"))
     members = members.unionByName(coarse.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-    wanted = distinct.join(members, "node").select("node", "root", F.col("first.id").alias("id"), F.col("first.text_hash").alias("hash"))
+    wanted = durable(
+        distinct.join(members, "node").select("root", "node", "weight", F.col("first.id").alias("id"), F.col("first.text_hash").alias("hash"))
+    )
     texts = docs.select(F.col(id_col).alias("__id"), F.xxhash64(F.col(text_col)).alias("__hash"), F.col(text_col).alias("text"))
     same = texts["__id"].eqNullSafe(wanted["id"]) & (texts["__hash"] == wanted["hash"])
-    texts = durable(texts.join(wanted, same).dropDuplicates(["node"]).select("root", "node", "text"))
+    # Candidates are few beside the documents, as a rule; their texts are then picked where they are read.
+    texts = texts.join(F.broadcast(wanted) if fits_broadcast(wanted) else wanted, same)
+    texts = durable(packed(texts.select("root", "node", "weight", "text")).dropDuplicates(["node"]))
     roots = stars(verified(texts, n, similarity))
     rooted = distinct.join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left")
-    rooted = rooted.withColumn("root", F.coalesce("root", "node"))
+    return rooted.select("node", "first", F.coalesce("root", "node").alias("root"))
+
+
+def _how(n: int = WORDS, similarity: tuple[int, int] = SIMILARITY, radius: int = simhash.RADIUS, blocks: int = simhash.BLOCKS) -> tuple:
+    return n, similarity, radius, blocks
+
+
+def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """(id, text_hash, node, component_id, chosen) of every row, as `simhash.clusters` has them.
+
+    `how` is any of n, similarity, radius and blocks.
+    """
+    n, *rest = _how(**how)
+    rows = durable(sketches(docs, id_col, text_col, n))
+    rooted = _rooted(rows, docs, id_col, text_col, n, *rest)
     firsts = rooted.groupBy("root").agg(F.min("first").alias("chosen"))
     named = rooted.join(firsts, "root").select("node", "chosen")
     return rows.select("id", "text_hash", "node").join(named, "node").withColumn("component_id", F.col("chosen.id"))
@@ -205,4 +334,8 @@ def clusters(
 
 def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """One row of each component, that with the smallest id, with all its columns."""
-    return simhash.standing(docs, clusters(docs, id_col, text_col, **how), id_col, text_col)
+    n, *rest = _how(**how)
+    rows = durable(sketches(docs, id_col, text_col, n))
+    # Only the row that stands for a component is asked for: no large component is joined with its members.
+    chosen = _rooted(rows, docs, id_col, text_col, n, *rest).groupBy("root").agg(F.min("first").alias("chosen"))
+    return simhash.standing(docs, chosen, id_col, text_col)
