@@ -270,12 +270,15 @@ def verified(texts: DataFrame, n: int = WORDS, similarity: tuple[int, int] = SIM
 
 def _between_groups(texts: DataFrame, split: DataFrame, rounds: list[DataFrame], n: int, similarity: tuple[int, int], part: int) -> DataFrame:
     """Edges between groups that no round has brought together."""
-    labelled = texts.select("root", "node", F.col("node").alias("label")).join(split, "root", "left_semi")
+    labelled = texts.select("root", "node", F.col("node").alias("label"))
+    split = durable(split)
+    labelled = join_lookup(labelled, split, "root", "node", fits_broadcast(split))
     for links in rounds:
         up = links.select(F.col("a").alias("label"), F.col("b").alias("up"))
         labelled = labelled.join(up, "label", "left").select("root", "node", F.coalesce("up", "label").alias("label"))
     several = labelled.groupBy("root").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("root")
-    labelled = durable(labelled.join(several, "root", "left_semi"))
+    several = durable(several)
+    labelled = durable(join_lookup(labelled, several, "root", "node", fits_broadcast(several)))
     if labelled.isEmpty():
         return rounds[0].limit(0)
     rest = durable(texts.join(labelled.select("node", "label"), "node"))
