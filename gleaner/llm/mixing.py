@@ -4,12 +4,20 @@ Sources share the words of the mix by weight, but none takes more than `cap`
 times its own words; what it cannot take is shared among the others by weight
 (water filling: one level for all sources below their cap).
 
-Within a source every document is taken `floor(e)` times, `e` being its
-expected number of copies, and the rest of the target is a Pareto order sample:
-documents are ranked by the odds of a uniform number divided by the odds of
-their inclusion probability, and the first ones are taken until the words of
-the source come nearest to its target.  The uniform number is a hash of seed
-and id, so reruns agree.
+Within a source every document is taken `floor(e)` times, `e` being the target
+over the words of the source, and the rest of the target is a Pareto order
+sample: documents are ranked by the odds of a uniform number divided by the
+odds of their inclusion probability, and the first ones are taken until the
+words of the source come nearest to its target.  The uniform number is a hash
+of seed and id, so reruns agree.
+
+Inclusion probabilities differ by size.  With `f` the fraction of `e`, a
+document has `f * (1 + (1 - f) * pull * g)`, where `g` is its appeal,
+`size / (size + half)`, less the mean appeal of a word of its source.  So long
+documents are taken more often than short ones, every probability lies in
+(0, 1), and the expected words of the source are still its target.  Appeals are
+whole 1024ths: sums are exact, whatever order they are made in.  `pull` 0 gives
+all documents of a source the same odds.
 
 Ranking needs no sorted source: words are first summed in slices of the rank
 order, the target falls into one slice, and only that slice is ordered.  A
@@ -33,7 +41,10 @@ from gleaner.operators.joins import fits_broadcast, join_lookup
 WEIGHTS = (1, 2, 3)
 CAP = 3
 SLICES = 4096
+#: Words at which a document has half of the largest appeal.
+HALF = 256
 _BITS = 52
+_STEPS = 1024
 
 
 def uniform(id_col: Column, seed: int) -> Column:
@@ -43,8 +54,13 @@ def uniform(id_col: Column, seed: int) -> Column:
     return (number + 0.5) / float(1 << _BITS)
 
 
+def appeal(size: Column, half: int = HALF) -> Column:
+    """How much a document is wanted, from 0 to 1024, by its words."""
+    return F.floor(size * _STEPS / (size + half))
+
+
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """Add `target` to (source, source_size).  One row per source goes through one task."""
+    """Add `target` to sources(source, source_size, ...).  One row per source goes through one task."""
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     by_limit = Window.orderBy("limit", F.col("source").asc_nulls_last())
     before = by_limit.rowsBetween(Window.unboundedPreceding, -1)
@@ -60,9 +76,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = C
     levels = ranked.withColumn("__level", left / F.sum("weight").over(onward))
     level = F.min(F.when(F.col("__level") <= F.col("limit"), F.struct("limit", "__level"))).over(all_rows)
     target = F.least(F.col("most").cast("double"), F.col("weight") * level["__level"])
-    return levels.withColumn("target", F.coalesce(target, F.lit(0.0))).select(
-        "source", "source_size", F.col("target")
-    )
+    return levels.select(*sources.columns, F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
 def mix(
@@ -74,8 +88,15 @@ def mix(
     cap: int = CAP,
     seed: int = 8,
     slices: int = SLICES,
+    half: int = HALF,
+    pull: float = 1.0,
 ) -> DataFrame:
-    """All documents with `__size`, `__source_size`, `__target` and `__copies`, how often each is taken."""
+    """All documents with `__size`, `__source_size`, `__target` and `__copies`, how often each is taken.
+
+    `pull`, from 0 to 1, says how far the inclusion odds lean towards long documents.
+    """
+    if not 0 <= pull <= 1:
+        raise ValueError("pull must lie between 0 and 1")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     named = F.struct(F.col(source_col).isNull().alias("none"), F.coalesce(F.col(source_col), F.lit("")).alias("name"))
     rows = docs.select(
@@ -87,24 +108,28 @@ def mix(
         F.col(id_col).alias("__id"),
     )
     sized = durable(rows.drop("__row"))
-    shares = targets(
-        sized.groupBy("__source", F.col("__name").alias("source")).agg(F.sum("__size").alias("source_size")).drop("__source"),
-        weights,
-        cap,
-    )
+    wanted = F.sum(F.col("__size") * appeal(F.col("__size"), half))
+    sources = sized.groupBy("__source", F.col("__name").alias("source")).agg(F.sum("__size").alias("source_size"), wanted.alias("wanted"))
+    shares = targets(sources.drop("__source"), weights, cap)
     key = F.struct(F.col("source").isNull().alias("none"), F.coalesce(F.col("source"), F.lit("")).alias("name"))
     shares = durable(
-        shares.select(F.to_json(key).alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
+        shares.select(
+            F.to_json(key).alias("__source"),
+            F.col("source_size").alias("__source_size"),
+            F.col("target").alias("__target"),
+            F.when(F.col("source_size") > 0, F.col("wanted") / F.col("source_size")).otherwise(0.0).alias("__mean"),
+        )
         .withColumn("__expected", F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(0.0))
         .withColumn("__sure", F.least(F.floor("__expected"), F.lit(cap)).cast("int"))
         .withColumn("__left", F.col("__target") - F.col("__sure") * F.col("__source_size"))
     )
-    chance = F.col("__expected") - F.col("__sure")
+    part = F.col("__expected") - F.col("__sure")
+    chance = part * (1 + (1 - part) * (pull * (appeal(F.col("__size"), half) - F.col("__mean")) / _STEPS))
     odds = F.col("__u") / (1 - F.col("__u"))
     # The rank: odds over inclusion odds, as a share of one, so that it can be sliced.
     rank = odds * (1 - chance) / (odds * (1 - chance) + chance)
     order = F.struct(rank.alias("rank"), F.col("__id").alias("id"), F.col("__size").alias("size"))
-    open_ = (chance > 0) & (F.col("__size") > 0)
+    open_ = (part > 0) & (F.col("__size") > 0)
     # A hot source must not be one task: a few sources are broadcast, very many are salted.
     few = fits_broadcast(shares)
     ranked = join_lookup(sized, shares, "__source", "__u", few).where(open_).withColumn("__order", order)

@@ -62,9 +62,11 @@ FROM b
 """
 
 MIX = rf"""
-WITH RECURSIVE d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size FROM documents),
+WITH RECURSIVE d AS (
+  SELECT *, floor(size * 1024 / (size + 256))::BIGINT AS appeal
+  FROM (SELECT doc_id, source, len({_WORDS})::BIGINT AS size FROM documents)),
 s AS (
-  SELECT source, sum(size)::BIGINT AS source_size, [1.0, 2.0, 3.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight
+  SELECT source, sum(size)::BIGINT AS source_size, sum(size * appeal)::BIGINT AS wanted, [1.0, 2.0, 3.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight
   FROM d GROUP BY 1),
 l AS (
   SELECT *, 3 * source_size AS most, 3 * source_size / weight AS lim FROM s),
@@ -72,16 +74,16 @@ v AS (
   SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY lim, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
             / sum(weight) OVER (ORDER BY lim, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM l),
 t AS (
-  SELECT source, source_size, least(most::DOUBLE, weight * (SELECT arg_min(level, lim) FROM v WHERE level <= lim)) AS target FROM v),
+  SELECT source, source_size, CASE WHEN source_size > 0 THEN wanted::DOUBLE / source_size ELSE 0.0 END AS mean, least(most::DOUBLE, weight * (SELECT arg_min(level, lim) FROM v WHERE level <= lim)) AS target FROM v),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS expected FROM t),
 c AS (SELECT *, least(floor(expected), 3)::INT AS sure, target - least(floor(expected), 3) * source_size AS rest FROM e),
 u AS (
-  SELECT d.*, source_size, target, expected, sure, rest,
+  SELECT d.*, source_size, target, expected, sure, rest, expected - sure AS part,
+         (expected - sure) * (1 + (1 - (expected - sure)) * (1.0::DOUBLE * (appeal - mean) / 1024)) AS chance,
          (('0x' || left(md5('8:' || coalesce(doc_id::VARCHAR, '')), 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496 AS u
   FROM d JOIN c ON c.source IS NOT DISTINCT FROM d.source),
 r AS (
-  SELECT *, expected - sure > 0 AND size > 0 AS open,
-         (u / (1 - u)) * (1 - (expected - sure)) / ((u / (1 - u)) * (1 - (expected - sure)) + (expected - sure)) AS rank FROM u),
+  SELECT *, part > 0 AND size > 0 AS open, (u / (1 - u)) * (1 - chance) / ((u / (1 - u)) * (1 - chance) + chance) AS rank FROM u),
 z AS (
   SELECT *, sum(CASE WHEN open THEN size END) OVER (PARTITION BY source ORDER BY rank, doc_id, size) AS total FROM r),
 n AS (

@@ -42,6 +42,8 @@ LEVEL = 6
 _CHUNK = 1 << 20
 _GZIP = 31
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: When the pages were fetched is not known.
+DATE = "1970-01-01T00:00:00Z"
 _RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -63,20 +65,29 @@ def digest(payload: bytes) -> str:
 # -- records --------------------------------------------------------------------
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
-    """One record, headers and block, uncompressed."""
+def record(
+    page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, date: str = DATE
+) -> bytes:
+    """One record, headers and block, uncompressed.
+
+    Every record has an id of its own, also where rows repeat; the page id, and
+    of a revisit that of its response, are headers beside it.
+    """
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>",
+        f"WARC-Date: {date}",
         "Content-Type: application/http;msgtype=response",
         f"WARC-Payload-Digest: sha1:{digest(payload)}",
         f"X-Payload-Length: {len(payload)}",
     ]
+    if page_id is not None:
+        head.append(f"X-Page-ID: {page_id}")
     if url is not None:
         head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
     if revisit:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {_REVISIT}"]
+        head += [f"X-Refers-To-Page: {refers_to}", f"WARC-Refers-To-Date: {date}", f"WARC-Profile: {_REVISIT}"]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
     return "\r\n".join([*head, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
@@ -149,8 +160,8 @@ def planned(pages: DataFrame, smallest: int = SMALLEST) -> DataFrame:
     )
 
 
-def write(plan: DataFrame, root: str, level: int = RAW_LEVEL) -> DataFrame:
-    """Write one monolithic archive per partition; (archive, records) of each."""
+def write(plan: DataFrame, root: str, level: int = RAW_LEVEL, date: str = DATE) -> DataFrame:
+    """Write one monolithic archive per partition; (archive, records) of each.  `date` is that of all records."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, unpack = None, Unpack()
@@ -161,7 +172,8 @@ def write(plan: DataFrame, root: str, level: int = RAW_LEVEL) -> DataFrame:
                     name, count = f"{uuid.uuid4().hex}.warc.gz", 0
                     out = files.open_output_stream(f"{path}/{name}", compression=None)
                     stream = zlib.compressobj(level, zlib.DEFLATED, _GZIP)
-                out.write(stream.compress(record(row["page_id"], row["url"], unpack(payload), row["refers_to"], row["revisit"])))
+                one = record(row["page_id"], row["url"], unpack(payload), row["refers_to"], row["revisit"], date)
+                out.write(stream.compress(one))
                 count += 1
         if out is not None:
             out.write(stream.flush())
@@ -209,8 +221,7 @@ def _one_each(archives: DataFrame) -> DataFrame:
     return archives.repartition(parts)
 
 
-def _page(urn: str | None) -> int | None:
-    number = urn[len("<urn:page:") : -1] if urn else ""
+def _page(number: str | None) -> int | None:
     return int(number) if number else None
 
 
@@ -237,7 +248,7 @@ def read(archives: DataFrame) -> DataFrame:
                             payload = block.partition(b"\r\n\r\n")[2][:-4]
                             if (digest(payload), len(payload)) != (found, length):
                                 raise ValueError(f"a payload differs from its header at {at} in {row['archive']}")
-                        rows.append((_page(named["WARC-Record-ID"]), length, found, named["WARC-Type"], _page(named.get("WARC-Refers-To"))))
+                        rows.append((_page(named.get("X-Page-ID")), length, found, named["WARC-Type"], _page(named.get("X-Refers-To-Page"))))
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))]
                 if rows:
                     yield pa.RecordBatch.from_arrays(columns, names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])

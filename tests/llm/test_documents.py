@@ -1,6 +1,7 @@
 """Queries over documents against brute force, on a small corpus of odd cases."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -9,6 +10,7 @@ import numpy as np
 import pytest
 import tokenizers
 import xxhash
+from pyspark.sql import functions as F
 
 from gleaner.llm import anchors, mixing, packing, quality, queries, secrets, sharding, simhash, substrings, suffixes
 
@@ -348,6 +350,20 @@ def test_shard_ranges_prune(corpus):
     assert wide < len(ranges)
 
 
+def test_strings_that_begin_alike_are_told_apart(spark):
+    names = [f"https://common_crawl_{i:02}/" for i in range(20)]
+    docs = spark.createDataFrame(
+        [(i, "t", names[0] if i % 3 == 0 else names[i % 20], i % 2) for i in range(6000)] + [(None, None, None, None)] * 5,
+        "doc_id bigint, text string, source string, lang int",
+    )
+    placed = sharding.shard(docs, dimensions=("source", "lang"))
+    ranges = sharding.ranges(placed, ("source", "lang")).collect()
+    assert sum(r["rows"] for r in ranges) == 6005
+    held = {r["__shard"]: r["n"] for r in placed.groupBy("__shard").agg(F.countDistinct("__d0").alias("n")).collect()}
+    assert len(held) == 40 and max(held.values()) <= 4
+    assert len({(r["min_source"], r["max_source"]) for r in ranges}) > 10
+
+
 def test_mix(spark, sf_dir, corpus, plain):
     rows = queries.op8_pareto_mix(spark, sf_dir).collect()
     assert rows_of(spark.createDataFrame(rows)) == rows_of(queries.op8_pareto_mix(spark, sf_dir))
@@ -386,6 +402,34 @@ def test_mix_keeps_columns_and_order_of_rank(spark):
     assert sum(r["__copies"] for r in rows if r["source"] == "b") in range(499, 502)
 
 
+def test_inclusion_odds_decide_who_is_taken(spark):
+    """The documents taken are those of a Pareto order sample written in plain Python, and lean towards long texts."""
+    rng = random.Random(12)
+    sizes = [rng.choice((5, 20, 100, 400, 2000)) for _ in range(3000)]
+    docs = spark.createDataFrame([(i, "w " * n, "ab"[i % 2]) for i, n in enumerate(sizes)], "doc_id bigint, text string, source string")
+    taken = {p: {r["doc_id"]: r["__copies"] for r in mixing.mix(docs, pull=p).select("doc_id", "__copies").collect()} for p in (0.0, 1.0)}
+    for pull, copies in taken.items():
+        total = {s: sum(sizes[s::2]) for s in (0, 1)}
+        for s, weight in ((0, 1), (1, 2)):
+            target = sum(total.values()) * weight / 3
+            sure, part = divmod(target / total[s], 1)
+            mean = sum(n * (n * 1024 // (n + 256)) for n in sizes[s::2]) / total[s]
+            ranks = {}
+            for i in range(s, len(sizes), 2):
+                chance = part * (1 + (1 - part) * (pull * (sizes[i] * 1024 // (sizes[i] + 256) - mean) / 1024))
+                u = (int(hashlib.md5(f"8:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+                ranks[i] = u / (1 - u) * (1 - chance) / chance
+                assert 0 < chance < 1
+            order, at, best = sorted(ranks, key=ranks.get), 0, (target - sure * total[s], 0)
+            for n, i in enumerate(order, 1):
+                at += sizes[i]
+                best = min(best, (abs(target - sure * total[s] - at), n))
+            assert {i for i in ranks if copies[i] > sure} == set(order[: best[1]])
+    share = {p: [sum(c[i] for i, n in enumerate(sizes) if n == size) for size in (5, 2000)] for p, c in taken.items()}
+    assert share[1.0][0] < share[0.0][0] and share[1.0][1] >= share[0.0][1]
+    assert taken[0.0] != taken[1.0]
+
+
 def test_pack(spark, sf_dir, plain):
     import public_tokenizers
 

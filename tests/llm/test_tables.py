@@ -43,6 +43,14 @@ def test_members_can_be_read_alone_and_in_a_row(spark, sf_dir, tmp_path):
     assert len(index.read_text().splitlines()) == pages.count()
 
 
+def test_records_have_dates_and_ids_of_their_own():
+    heads = [warc.headers(warc.record(7, "u", b"x", None, False, "2024-05-06T07:08:09Z").partition(b"\r\n\r\n")[0]) for _ in range(2)]
+    heads.append(warc.headers(warc.record(None, None, b"", 9, True).partition(b"\r\n\r\n")[0]))
+    assert len({h["WARC-Record-ID"] for h in heads}) == 3
+    assert [h["WARC-Date"] for h in heads] == ["2024-05-06T07:08:09Z"] * 2 + [warc.DATE]
+    assert heads[0]["X-Page-ID"] == "7" and "X-Page-ID" not in heads[2] and heads[2]["X-Refers-To-Page"] == "9"
+
+
 @pytest.mark.parametrize("cut", [1, 40])
 def test_cut_archives_are_an_error(cut):
     squeeze = zlib.compressobj(6, zlib.DEFLATED, 31)
