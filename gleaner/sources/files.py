@@ -15,14 +15,12 @@ from gleaner.functions.arrays import let
 from gleaner.functions.text import MODULE_SYMBOL
 from gleaner.operators.chunking import document_chunks, readable_docs, unit_chunks
 from gleaner.operators.joins import stack
+from gleaner.sources.tree import list_files, read_files
 
 # Fixed values.
 SKIP_DIRS = (".git", "node_modules", ".venv", "venv", "__pycache__", "dist", "build")
 DOC_EXTENSIONS = (".md", ".rst", ".txt")
 CODE_EXTENSION = ".py"
-
-# Other files are not even opened.
-_WANTED_FILES = "{*.[mM][dD],*.[rR][sS][tT],*.[tT][xX][tT],*.py}"
 UNIT_SCHEMA = "source_path string, ord int, kind string, symbol string, text string, start_line int, end_line int"
 
 
@@ -40,20 +38,13 @@ def file_role(path: Column) -> Column:
 
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """(source_path relative to root, role, content) of the files that count."""
+    """(source_path relative to root, role, content) of the files that count; others are not opened, nor are skipped folders."""
     base = spark._jvm.org.apache.hadoop.fs.Path(root)
     base = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/")
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", _WANTED_FILES)
-        .load(root)
-    )
-    return files.select(
-        F.substring("path", len(base) + 2, 2**31 - 1).alias("source_path"),
-        file_role(F.col("path")).alias("role"),
-        "content",
-    ).where("role IS NOT NULL")
+    if set(base.split("/")) & set(SKIP_DIRS):
+        return spark.createDataFrame([], "source_path string, role string, content binary")
+    listed = list_files(spark, base, SKIP_DIRS).withColumn("role", file_role(F.col("path"))).where("role IS NOT NULL")
+    return read_files(spark, base, listed).select(F.col("path").alias("source_path"), "role", "content")
 
 
 def document_texts(files: DataFrame) -> DataFrame:
