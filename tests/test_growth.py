@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 from pathlib import Path
 
@@ -269,3 +270,41 @@ def test_most_blocks_are_skipped(spark):
     assert walk.scored < walk.cells / 2
 
 
+
+
+def walked(spark, questions, k):
+    """A walk over the documents of sf0.1, and the most bytes it held at once."""
+    index = retrieval.index(spark, "/root/testdata/sf0.1")
+    asked_ = keyword._asked(keyword.question_keys(questions).collect(), index)
+    numbers = spark.createDataFrame(list(enumerate(asked_.keys)), "number int, key string")
+    terms = index.postings.join(F.broadcast(numbers), "key").groupBy("chunk_idx").agg(
+        F.first("dl").alias("dl"), F.collect_list(F.struct("number", "tf")).alias("terms")
+    )
+    batches = terms.select("chunk_idx", "dl", "terms").toArrow().combine_chunks().to_batches()
+    tracemalloc.start()
+    try:
+        walk = keyword.BlockWalk(asked_, k, inject=True, best=True)
+        for batch in batches:
+            walk.add(batch)
+        return walk, tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_few_cells_of_many_questions_are_scored(spark):
+    turns = views.table(spark, "/root/testdata/sf0.1", "conversations").where("role = 'user' AND conv_id % 5 = 0")
+    walk, _ = walked(spark, turns.select(F.format_string("%d/%d", "conv_id", "turn").alias("qid"), F.col("text").alias("question")), 5)
+    assert walk.scored < walk.cells / 50
+
+
+def test_bounds_in_single_precision_lose_nothing(spark, monkeypatch, whole):
+    table = whole.chunks().drop("chunk_idx").withColumn("chunk_idx", F.substring("chunk_id", 3, 9).cast("long"))
+    index = KeywordIndex.over(table)
+    questions = asked(spark).unionByName(spark.createDataFrame([(f"x{i}", f"word{i} word{i + 1} and Sym.s{i}") for i in range(30)], "qid string, question string"))
+    found = []
+    # All terms one by one, some as a matrix, and all as a matrix; a few postings at a time.
+    for gain, postings in ((0, 1 << 18), (256, 1 << 18), (4, 50), (1 << 40, 7)):
+        monkeypatch.setattr(keyword, "DENSE_GAIN", gain)
+        monkeypatch.setattr(keyword, "BLOCK_POSTINGS", postings)
+        found.append(sorted((r["qid"], r["rank"], r["chunk_idx"], round(r["score"], 9)) for r in keyword.keyword_search(questions, index, 7).collect()))
+    assert found[0] and all(f == found[0] for f in found)
