@@ -297,6 +297,11 @@ def test_few_cells_of_many_questions_are_scored(spark):
     assert walk.scored < walk.cells / 50
 
 
+def test_a_task_holds_a_bounded_block(spark):
+    _, most = walked(spark, views.named_questions(spark, "/root/testdata/sf0.1"), 60)
+    assert most < 150 << 20
+
+
 def test_bounds_in_single_precision_lose_nothing(spark, monkeypatch, whole):
     table = whole.chunks().drop("chunk_idx").withColumn("chunk_idx", F.substring("chunk_id", 3, 9).cast("long"))
     index = KeywordIndex.over(table)
