@@ -107,6 +107,23 @@ def test_shards_follow_each_ingest(spark, tmp_path, monkeypatch, whole):
     assert merged >= large and hits(store) == hits(whole)
 
 
+def test_a_shard_is_written_in_pieces(spark, tmp_path, monkeypatch, whole):
+    monkeypatch.setattr(stores, "PIECE_BYTES", 1000)
+    store = Store(spark, str(tmp_path / "s"), 2)
+    store.add(chunks(spark, 0, 90), order())
+    store.add(chunks(spark, 0, 90).unionByName(chunks(spark, 90, 120)), order())
+    written = lambda: [
+        len([f for f in Path(store.root).rglob(f"postings-2/gen={g}/*.parquet")]) for g in store._state().postings
+    ]
+    assert min(written()) > 2 and hits(store) == hits(whole)
+    store.compact(fanout=2)
+    [merged] = written()
+    assert merged > 2 and hits(store) == hits(whole)
+    store.rebuild_keywords()
+    [rebuilt] = written()
+    assert rebuilt > 2 and hits(store) == hits(whole)
+
+
 def test_known_ids_are_looked_up(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"), 2)
     store.add(spark.range(20_000).select(
