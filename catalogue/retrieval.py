@@ -29,7 +29,7 @@ def index(spark: SparkSession, sf_dir: str) -> KeywordIndex:
         size = estimated_bytes(views.table(spark, sf_dir, "documents"))
         shards = max(spark.sparkContext.defaultParallelism, sized_shards(size))
         gen = time.time_ns()  # a new generation, should an earlier attempt have died half-way
-        write_keywords(views.corpus(spark, sf_dir, spread=True), root, gen, shards, size)
+        write_keywords(views.corpus(spark, sf_dir), root, gen, shards, size)
         _indexes[key] = read_keywords(spark, root, [gen], shards)
     return _indexes[key]
 

@@ -2,37 +2,39 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gleaner.functions.arrays import counted, let
-from gleaner.functions.text import tokens
+from gleaner.functions.arrow_tokens import blocks, token_counts
 
 DIMENSIONS = 64
 
 
-def bucket(term: Column, dimensions: int = DIMENSIONS) -> Column:
-    digits = F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("bigint")
-    return F.pmod(digits, F.lit(dimensions)).cast("int")
+def bucket(term: str, dimensions: int = DIMENSIONS) -> int:
+    return int(hashlib.md5(term.encode()).hexdigest()[:8], 16) % dimensions
 
 
-def bucket_counts(text: Column, dimensions: int = DIMENSIONS) -> Column:
-    """array<struct<bucket, n>> of the text's tokens."""
-    return counted(F.transform(tokens(text), lambda t: bucket(t, dimensions)), "bucket", "n")
+def _embedded(texts: pa.Array, dimensions: int) -> np.ndarray:
+    """A row per text; a term is hashed once per block."""
+    counts = token_counts(texts)
+    place = np.array([bucket(t, dimensions) for t in counts.terms.to_pylist()], np.int64)
+    cell = counts.owner * dimensions + place[counts.term]
+    n = np.bincount(cell, counts.n, len(texts) * dimensions).reshape(-1, dimensions)
+    norm = np.sqrt((n * n).sum(axis=1, keepdims=True))
+    return (n / np.where(norm > 0, norm, 1)).astype(np.float32)
 
 
 def hashed_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
     """array<float> of length one; all zeros for a text without tokens."""
 
-    def dense(counts: Column) -> Column:
-        norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda acc, c: acc + c["n"] * c["n"]))
-        by_bucket = F.map_from_entries(counts)
-        return let(
-            F.struct(norm.alias("norm"), by_bucket.alias("n")),
-            lambda v: F.transform(
-                F.sequence(F.lit(0), F.lit(dimensions - 1)),
-                lambda i: F.coalesce(F.try_element_at(v["n"], i) / v["norm"], F.lit(0.0)).cast("float"),
-            ),
-        )
-
-    return let(bucket_counts(text, dimensions), dense)
+    @F.arrow_udf("array<float>")
+    def embedded(texts: pa.Array) -> pa.Array:
+        rows = [_embedded(own, dimensions) for _, own in blocks(texts)]
+        flat = np.concatenate(rows).reshape(-1) if rows else np.empty(0, np.float32)
+        return pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32) * dimensions, pa.array(flat))
+
+    return embedded(text)

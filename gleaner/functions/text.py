@@ -29,7 +29,7 @@ SYMBOL_REPEATS = 3
 
 # A word falls apart into several camel parts exactly where one of these
 # neighbours meet; testing for that first keeps the part regex off plain words.
-_CAMEL_SEAM = "[a-z][A-Z0-9]|[A-Z][0-9]|[0-9][A-Za-z]|[A-Z][A-Z][a-z]"
+CAMEL_SEAM = "[a-z][A-Z0-9]|[A-Z][0-9]|[0-9][A-Za-z]|[A-Z][A-Z][a-z]"
 # What Python's str.strip() removes.
 SPACE_CLASS = (
     "\\t-\\r\\x1c-\\x1f \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -55,7 +55,7 @@ def tokens(text: Column) -> Column:
     def word_and_parts(word: Column) -> Column:
         whole = F.array(F.lower(word))
         return F.when(
-            word.rlike(_CAMEL_SEAM),
+            word.rlike(CAMEL_SEAM),
             F.concat(whole, F.transform(camel_parts(word), F.lower)),
         ).otherwise(whole)
 

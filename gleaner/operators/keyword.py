@@ -17,11 +17,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as tx
 from gleaner.functions.arrays import counted
+from gleaner.functions.arrow_tokens import blocks, token_counts
 from gleaner.operators.joins import fits_broadcast, join_lookup, many_tasks, stack, top_ranked
 from gleaner.session import checkpointed
 
@@ -51,22 +52,23 @@ NAMED_FIRST = 1e12
 NAME_MARK = "="
 
 
-def forward_index(chunks: DataFrame, enriched: bool = True, shards: int | None = None) -> DataFrame:
-    """chunks(chunk_idx, text, source_path, symbol) -> (chunk_idx, terms, names, dl), one row per chunk."""
+def _body_and_names(enriched: bool) -> tuple[Column, Column]:
+    """The text that is indexed, and the names a chunk answers to."""
     if enriched:
-        body = tx.index_text(F.col("text"), F.col("source_path"), F.col("symbol"))
-        names = tx.symbol_keys(F.col("symbol"))
-    else:
-        body = F.col("text")
-        names = F.array().cast("array<string>")
+        return tx.index_text(F.col("text"), F.col("source_path"), F.col("symbol")), tx.symbol_keys(F.col("symbol"))
+    return F.col("text"), F.array().cast("array<string>")
+
+
+def forward_index(chunks: DataFrame, enriched: bool = True) -> DataFrame:
+    """chunks(chunk_idx, text, source_path, symbol) -> (chunk_idx, terms, names, dl), one row per chunk."""
+    body, names = _body_and_names(enriched)
     rows = chunks.select(
         "chunk_idx",
         counted(tx.tokens(body), "term", "tf").alias("terms"),
         names.alias("names"),
     )
     dl = F.aggregate("terms", F.lit(0), lambda acc, t: acc + t["tf"])
-    placed = rows.repartition("chunk_idx") if shards is None else rows.repartition(shards, "chunk_idx")
-    return placed.withColumn("dl", dl)
+    return rows.repartition("chunk_idx").withColumn("dl", dl)
 
 
 def postings(forward: DataFrame) -> DataFrame:
@@ -83,6 +85,37 @@ def postings(forward: DataFrame) -> DataFrame:
     )
 
 
+def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk_idx, body, names) -> postings of a block of chunks, by key and chunk."""
+    for batch in batches:
+        for at, texts in blocks(batch.column(1)):
+            chunk, names = batch.column(0).slice(at, len(texts)), batch.column(2).slice(at, len(texts))
+            counts = token_counts(texts)
+            dl = np.bincount(counts.owner, counts.n, len(texts)).astype(np.int32)
+            marked = pc.binary_join_element_wise(NAME_MARK, names.flatten().cast(pa.string()), "")
+            named = pc.list_parent_indices(names).to_numpy().astype(np.int64)
+            owner = pa.array(np.concatenate((named, counts.owner)))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.concat_arrays([marked, counts.terms.take(pa.array(counts.term))]),
+                    chunk.take(owner),
+                    pa.array(np.concatenate((np.zeros(len(named)), counts.n)).astype(np.int32)),
+                    pa.array(dl).take(owner),
+                ],
+                names=["key", "chunk_idx", "tf", "dl"],
+            )
+
+
+def placed_postings(chunks: DataFrame, parts: int) -> DataFrame:
+    """`postings` of chunks dealt to so many partitions by chunk.
+
+    The texts are what is shuffled: they are smaller than their postings.
+    """
+    body, names = _body_and_names(enriched=True)
+    rows = chunks.select("chunk_idx", body.alias("body"), names.alias("names"))
+    return rows.repartition(parts, "chunk_idx").mapInArrow(_post, "key string, chunk_idx bigint, tf int, dl int")
+
+
 def document_frequencies(posted: DataFrame) -> DataFrame:
     """(term, df).  Partial counts keep a term of every chunk cheap to shuffle."""
     return (

@@ -95,13 +95,11 @@ def write_keywords(chunks: DataFrame, root: str, gen: int, shards: int, text_byt
     grow with them.  `before` are the generations that the index is made of already.
     """
     spark = chunks.sparkSession
-    forward = keyword.forward_index(chunks, shards=pieces(shards, text_bytes)).persist()
-    try:
-        _write_postings(keyword.postings(forward), root, gen, shards)
-        keyword.chunk_sizes(forward).write.mode("overwrite").parquet(f"{root}/sizes/gen={gen}")
-    finally:
-        forward.unpersist()
+    _write_postings(keyword.placed_postings(chunks, pieces(shards, text_bytes)), root, gen, shards)
     added = spark.table(keyword_tables(spark, root, shards)).where(F.col("gen") == gen)
+    # Chunks without a token count, too.
+    n_docs, sum_dl = F.lit(chunks.count()).cast("bigint"), F.coalesce(F.sum(F.col("tf").cast("bigint")), F.lit(0))
+    added.agg(n_docs.alias("n_docs"), sum_dl.alias("sum_dl")).write.mode("overwrite").parquet(f"{root}/sizes/gen={gen}")
     _write_terms(keyword.document_frequencies(added), root, gen)
     # How many terms have which frequency: those of the new terms change, all others stay.
     own = spark.read.parquet(f"{root}/vocabulary/gen={gen}")

@@ -1,5 +1,6 @@
 """The store as it grows: known ids, merges, shards, cells, packed requests; and blocks that a search skips."""
 
+import hashlib
 import math
 import random
 import tracemalloc
@@ -7,10 +8,14 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from catalogue import retrieval, views
+from gleaner.functions import arrow_tokens, embedding
+from gleaner.functions import text as tx
+from gleaner.functions.embedding import hashed_embedding
 from gleaner.operators import keyword, vector, vector_index
 from gleaner.operators.batching import batched_embeddings, request_batches
 from gleaner.operators.chunking import whitespace_tokens
@@ -330,3 +335,53 @@ def test_bounds_in_single_precision_lose_nothing(spark, monkeypatch, whole):
         monkeypatch.setattr(keyword, "BLOCK_POSTINGS", postings)
         found.append(sorted((r["qid"], r["rank"], r["chunk_idx"], round(r["score"], 9)) for r in keyword.keyword_search(questions, index, 7).collect()))
     assert found[0] and all(f == found[0] for f in found)
+
+
+ODD = [
+    None, "", " ", "the THE a b", "getHTTPResponse getHTTPResponse x9Y z", "f\u00fcr gro\u00dfe \u212aelvin \u0130stanbul", "v2Beta\n42\tABCd", "word " * 3000 + "End",
+    "aB" * 400, "\U0001f600last", "self.method_name(argOne)",
+]
+
+
+def odd_chunks(spark):
+    rows = [(i, text, path, symbol) for path, symbol in (("a/b.md", "Pool.take"), ("", ""), ("p", "<module>"), ("\u00c4/x", " \u00c4b.C\u00e9 "), (None, None)) for i, text in enumerate(ODD)]
+    return spark.createDataFrame([(i, *row[1:]) for i, row in enumerate(rows)], "chunk_idx bigint, text string, source_path string, symbol string")
+
+
+@pytest.mark.parametrize("block", [1, 100, 8 << 20])
+def test_postings_of_blocks_are_those_of_rows(spark, monkeypatch, block):
+    table = odd_chunks(spark)
+    want = sorted(map(tuple, keyword.postings(keyword.forward_index(table)).collect()))
+    monkeypatch.setattr(arrow_tokens.blocks, "__defaults__", (block,))
+    rows = table.select("chunk_idx", *(c.alias(n) for c, n in zip(keyword._body_and_names(True), ("body", "names")))).toArrow()
+    got = [tuple(r.values()) for batch in keyword._post(rows.to_batches()) for r in batch.to_pylist()]
+    assert sorted(got) == want
+    assert sorted(map(tuple, keyword.placed_postings(table, 3).collect())) == want
+
+
+def test_embedding_of_blocks_is_that_of_tokens(spark):
+    rows = odd_chunks(spark).select(tx.tokens(F.col("text")).alias("t"), hashed_embedding(F.col("text")).alias("v")).collect()
+    for row in rows:
+        n = Counter(int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % 64 for t in row["t"] or [])
+        norm = math.sqrt(sum(x * x for x in n.values())) or 1.0
+        assert row["v"] == [float(np.float32(n[i] / norm)) for i in range(64)]
+
+
+def test_a_term_is_hashed_once_per_block(monkeypatch):
+    hashed = []
+    monkeypatch.setattr(embedding, "bucket", lambda term, dimensions: hashed.append(term) or 0)
+    embedding._embedded(pa.array(["alpha beta beta"] * 1000), 64)
+    assert hashed == ["alpha", "beta"]
+
+
+def test_the_build_keeps_no_rows(spark, tmp_path, monkeypatch):
+    """Texts go to the tasks that index them, and nothing is cached on the way."""
+    def kept(*_, **__):
+        raise AssertionError("rows of the build were cached")
+
+    monkeypatch.setattr(type(spark.range(1)), "persist", kept)
+    stores.write_keywords(odd_chunks(spark), str(tmp_path / "k"), 1, 2, 100)
+    index = stores.read_keywords(spark, str(tmp_path / "k"), [1], 2)
+    totals = index.totals.first()
+    assert totals["n_docs"] == 5 * len(ODD)
+    assert round(totals["avgdl"] * totals["n_docs"]) == index.postings.agg(F.sum("tf")).first()[0]
