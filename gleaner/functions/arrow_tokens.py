@@ -19,8 +19,6 @@ from gleaner.functions.text import CAMEL_PART, CAMEL_SEAM, STOP_WORDS
 
 # Text that is taken apart at once.
 BLOCK_BYTES = 8 << 20
-_ALNUM = np.zeros(256, bool)
-_ALNUM[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")] = True
 _STOP = pa.array(STOP_WORDS)
 
 
@@ -52,17 +50,19 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     ends = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1]
     raw = np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]]
     ends = ends - ends[0]
-    inside = _ALNUM[raw]
-    begins = inside.copy()
+    # Letters are told in either case; smaller bytes wrap around.
+    inside = (((raw | 0x20) - np.uint8(ord("a"))) < 26) | ((raw - np.uint8(ord("0"))) < 10)
+    begins, stops = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
-    first = ends[:-1][ends[:-1] < len(raw)]  # a word ends with its text
-    begins[first] = inside[first]
+    stops[:-1] &= ~inside[1:]
+    seam = ends[:-1][(ends[:-1] > 0) & (ends[:-1] < len(raw))]  # a word ends with its text
+    begins[seam] = inside[seam]
+    stops[seam - 1] = inside[seam - 1]
     at = np.flatnonzero(begins)
-    starts = np.empty(len(at) + 1, np.int32)
-    starts[:-1] = np.cumsum(inside, dtype=np.int32)[at] - 1
-    starts[-1] = np.count_nonzero(inside)
+    starts = np.zeros(len(at) + 1, np.int32)
+    np.cumsum(np.flatnonzero(stops) + 1 - at, out=starts[1:])
     words = pa.StringArray.from_buffers(len(at), pa.py_buffer(starts), pa.py_buffer(raw[inside]))
-    return np.searchsorted(ends, at, side="right") - 1, words
+    return np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(at, ends))), words
 
 
 def token_counts(texts: pa.Array) -> Counts:
@@ -86,7 +86,13 @@ def token_counts(texts: pa.Array) -> Counts:
     count = np.bincount(whose, minlength=len(known))
     begin = np.cumsum(count) - count
     each = count[word]
-    place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(begin[word], each)
-    code = number[order][place].astype(np.int64) * len(texts) + np.repeat(owner, each)
-    code, n = np.unique(code, return_counts=True)
-    return Counts(code % len(texts), code // len(texts), n, terms)
+    place = np.repeat(begin[word] - np.cumsum(each) + each, each)
+    place += np.arange(len(place))
+    code = (number[order].astype(np.int64) * len(texts))[place]
+    code += np.repeat(owner, each)
+    code.sort()
+    first = np.flatnonzero(np.diff(code, prepend=-1))
+    code = code[first]
+    n = np.diff(np.append(first, len(place)))
+    term = code // max(1, len(texts))
+    return Counts(code - term * len(texts), term, n, terms)

@@ -15,7 +15,7 @@ DIMENSIONS = 64
 
 
 def bucket(term: str, dimensions: int = DIMENSIONS) -> int:
-    return int(hashlib.md5(term.encode()).hexdigest()[:8], 16) % dimensions
+    return int.from_bytes(hashlib.md5(term.encode()).digest()[:4]) % dimensions
 
 
 def _embedded(texts: pa.Array, dimensions: int) -> np.ndarray:

@@ -359,6 +359,27 @@ def test_postings_of_blocks_are_those_of_rows(spark, monkeypatch, block):
     assert sorted(map(tuple, keyword.placed_postings(table, 3).collect())) == want
 
 
+def test_words_are_cut_in_little_memory():
+    texts = pa.array(["several ordinary words without seams of some length " * 80] * 1000)
+    arrow_tokens._words(texts)
+    tracemalloc.start()
+    try:
+        owner, words = arrow_tokens._words(texts)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(words) == len(owner) == 640_000 and most < 9 * texts.nbytes
+
+
+def test_words_end_with_their_text():
+    texts = pa.array(["x", "ab", "", None, "cd ", " ef", "g-h", "i@Z[`a{/0:9", "", "\u00e9k\u00e9"]).slice(1)
+    owner, words = arrow_tokens._words(texts)
+    assert list(zip(owner.tolist(), words.to_pylist())) == [
+        (0, "ab"), (3, "cd"), (4, "ef"), (5, "g"), (5, "h"), (6, "i"), (6, "Z"), (6, "a"), (6, "0"), (6, "9"), (8, "k"),
+    ]
+    assert [len(x) for x in arrow_tokens._words(pa.array(["", None]))] == [0, 0]
+
+
 def test_embedding_of_blocks_is_that_of_tokens(spark):
     rows = odd_chunks(spark).select(tx.tokens(F.col("text")).alias("t"), hashed_embedding(F.col("text")).alias("v")).collect()
     for row in rows:
