@@ -394,8 +394,8 @@ class Store:
 
     def _merge_chunks(self, state: _State, gens: list[int], level: int) -> None:
         gen = time.time_ns()
-        # A block keeps its file: hits go on pruning the texts by block.
-        self._chunks(gens).repartition("block").sortWithinPartitions("chunk_idx").write.partitionBy("block").parquet(f"{self.root}/chunks/gen={gen}")
+        # A block keeps its file, so texts are copied where they are read: hits go on pruning them by block.
+        self._chunks(gens).sortWithinPartitions("block", "chunk_idx").write.partitionBy("block").parquet(f"{self.root}/chunks/gen={gen}")
         self._read("vectors", gens).repartitionByRange("chunk_idx").write.parquet(f"{self.root}/vectors/gen={gen}")
         self._write_ids(self._read("ids", gens), gen)
         if state.cells is not None:

@@ -85,6 +85,27 @@ def test_merged_generations_answer_as_one(spark, tmp_path, whole):
     assert hits(store) == hits(whole) and hits(Store(spark, store.root)) == hits(whole)
 
 
+def test_a_merge_deals_out_no_texts(spark, tmp_path, monkeypatch, whole):
+    store = Store(spark, str(tmp_path / "s"), 2)
+    store.add(chunks(spark, 0, 90), order())
+    store.add(chunks(spark, 90, 120), order())
+    before = sorted(map(tuple, store.chunks().collect()))
+    blocks = {r[0] for r in store.chunks().select("block").distinct().collect()}
+    frame = type(spark.range(1))
+    for name in ("repartition", "repartitionByRange"):
+        def dealt(self, *keys, real=getattr(frame, name)):
+            assert "text" not in self.columns
+            return real(self, *keys)
+
+        monkeypatch.setattr(frame, name, dealt)
+    assert store.compact(fanout=2) == 2
+    monkeypatch.undo()
+    [gen] = store._state().chunks
+    files = [f.parent.name for f in Path(store.root).rglob(f"chunks/gen={gen}/block=*/*.parquet")]
+    assert sorted(files) == sorted(f"block={b}" for b in blocks)
+    assert sorted(map(tuple, store.chunks().collect())) == before and hits(store) == hits(whole)
+
+
 def size(store, gen):
     return sum(f.stat().st_size for f in Path(store.root).rglob(f"gen={gen}/**/*.parquet"))
 
