@@ -345,6 +345,45 @@ def test_a_task_holds_a_bounded_block(spark):
     assert most < 150 << 20
 
 
+def made_walk(questions, terms, chunks, words, keys, k, step=1 << 20):
+    """A walk over made-up chunks of so many words, for questions of so many terms: its lists, and the most bytes it held.
+
+    The first question finds nothing.
+    """
+    rng = np.random.default_rng(7)
+    asks = np.argsort(rng.random((questions, keys)), axis=1)[:, :terms]
+    asks[0] = np.arange(keys - terms, keys)
+    code = np.unique((asks * questions + np.arange(questions)[:, None]).ravel())
+    key, asker = code // questions, code % questions
+    first = np.searchsorted(key, np.arange(keys + 1))
+    weight = rng.integers(1, 9, keys)[key] / 4.0
+    asked_ = keyword._Asked(
+        [f"q{i}" for i in range(questions)], np.ones(questions, bool), np.zeros(questions, bool), [""] * keys, first, asker,
+        weight, np.full(len(code), -1), np.empty(0, np.int64), float(words),
+    )
+    number = [np.unique(row) for row in rng.integers(0, keys - terms, (chunks, words))]
+    ends = np.cumsum([0, *map(len, number)]).astype(np.int32)
+    number = np.concatenate(number).astype(np.int32)
+    entries = pa.StructArray.from_arrays([pa.array(number), pa.array(rng.integers(1, 4, len(number)).astype(np.int32))], ["number", "tf"])
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(np.arange(chunks)), pa.array(np.full(chunks, words, np.int32)), pa.ListArray.from_arrays(ends, entries)], ["chunk_idx", "dl", "terms"]
+    )
+    tracemalloc.start()
+    try:
+        walk = keyword.BlockWalk(asked_, k, inject=False, best=False)
+        for at in range(1, batch.num_rows, step):
+            walk.add(batch.slice(at, step))
+        return [column.tolist() for column in walk.lists.rows], tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_question_without_hits_hides_none_of_the_others():
+    want, _ = made_walk(30, 40, 200, 50, 500, 7)
+    for step in (1, 5, 190):
+        assert made_walk(30, 40, 200, 50, 500, 7, step)[0] == want
+
+
 def test_bounds_in_single_precision_lose_nothing(spark, monkeypatch, whole):
     table = whole.chunks().drop("chunk_idx").withColumn("chunk_idx", F.substring("chunk_id", 3, 9).cast("long"))
     index = KeywordIndex.over(table)
