@@ -37,10 +37,13 @@ SCORE_DIGITS = 9
 LISTED_KEYS = 500
 # About so many keys are asked in one pass over the index.
 QUESTION_KEYS = 500_000
-# (chunk, question) bounds and scores, and postings, that a task holds at once.
+# (chunk, question) bounds and scores, postings, their uses by questions, and terms
+# of scored cells, that a task holds at once.
 BLOCK_CELLS = 1 << 22
 SCORED_CELLS = 1 << 14
 BLOCK_POSTINGS = 1 << 18
+BLOCK_USES = 1 << 21
+SCORED_TERMS = 1 << 20
 SLACK = 1e-6
 # A cell of a matrix product costs so much less than a posting that is met by itself.
 DENSE_GAIN = 256
@@ -352,6 +355,7 @@ class BlockWalk:
         self.is_name[key[~term]] = True
         self.column = np.full(self.n_keys, -1)
         self.column[asked.dense] = np.arange(len(asked.dense))
+        self.uses = np.where(self.column < 0, np.diff(asked.first), 0)
         self.matrix = np.zeros((len(asked.dense), self.questions), np.float32)
         common = self.column[key] >= 0
         self.matrix[self.column[key[common]], asked.asker[common]] = self.gain[common]
@@ -362,6 +366,16 @@ class BlockWalk:
         row = np.repeat(np.arange(len(count)), count)
         return row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + first[row]
 
+    @staticmethod
+    def _portions(count: np.ndarray, most: int) -> Iterator[slice]:
+        """Slices that have so many in all at most; a larger one is alone."""
+        ends, at = np.cumsum(count), 0
+        while at < len(count):
+            before = ends[at - 1] if at else 0
+            until = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+            yield slice(at, until)
+            at = until
+
     def _least(self) -> np.ndarray:
         """What a chunk must be able to offer each question."""
         least = -self.lists.last
@@ -376,11 +390,14 @@ class BlockWalk:
     def add(self, batch: pa.RecordBatch) -> None:
         terms = batch.column(2)
         ends = terms.offsets.to_numpy()
-        step, at = max(1, BLOCK_CELLS // max(1, self.questions)), 0
+        step, at = max(1, BLOCK_CELLS // max(1, self.questions, len(self.asked.dense))), 0
         while at < batch.num_rows:
             most = int(np.searchsorted(ends, ends[at] + BLOCK_POSTINGS, side="right")) - 1
             until = max(at + 1, min(at + step, most))
-            self._add(batch.slice(at, until - at))
+            number = terms.slice(at, until - at).flatten().field("number").to_numpy()
+            used = np.append(0, np.cumsum(self.uses[number]))[ends[at : until + 1] - ends[at]]
+            for own in self._portions(np.diff(used), BLOCK_USES):
+                self._add(batch.slice(at + own.start, own.stop - own.start))
             at = until
 
     def _add(self, batch: pa.RecordBatch) -> None:
@@ -421,12 +438,19 @@ class BlockWalk:
         left = np.flatnonzero((bound >= self._least()) & (bound > 0))
         self._score(np.setdiff1d(left, todo, assume_unique=True))
 
+    def _parts(self, todo: np.ndarray) -> Iterator[np.ndarray]:
+        """Cells a bounded number at a time, with a bounded number of terms."""
+        for at in range(0, len(todo), SCORED_CELLS):
+            own = todo[at : at + SCORED_CELLS]
+            q = own % self.questions
+            for part in self._portions(self.begin[q + 1] - self.begin[q], SCORED_TERMS):
+                yield own[part]
+
     def _score(self, todo: np.ndarray) -> None:
         """Score cells (chunk * questions + question, ascending), a bounded number at a time."""
         self.scored += len(todo)
         places, position = self.positions
-        for at in range(0, len(todo), SCORED_CELLS):
-            own = todo[at : at + SCORED_CELLS]
+        for own in self._parts(todo):
             row, q = own // self.questions, own % self.questions
             cell, term = self._expand(self.begin[q], self.begin[q + 1] - self.begin[q])
             wanted = row[cell] * self.n_keys + self.key[term]

@@ -378,6 +378,24 @@ def made_walk(questions, terms, chunks, words, keys, k, step=1 << 20):
         tracemalloc.stop()
 
 
+def test_terms_that_many_questions_ask_are_met_a_bounded_number_at_a_time():
+    # 2,000 chunks with 130 terms are 260,000 postings and 4 million cells, but 5 million uses.
+    assert made_walk(2000, 200, 2000, 130, 20_000, 5)[1] < 150 << 20
+
+
+def test_long_questions_are_scored_a_bounded_number_of_terms_at_a_time():
+    assert made_walk(64, 4000, 300, 200, 20_000, 60)[1] < 150 << 20
+
+
+def test_small_portions_find_the_same(monkeypatch):
+    want, _ = made_walk(30, 40, 200, 50, 500, 7)
+    for most in (1, 100, 2000):
+        monkeypatch.setattr(keyword, "BLOCK_USES", most)
+        monkeypatch.setattr(keyword, "SCORED_TERMS", most)
+        assert made_walk(30, 40, 200, 50, 500, 7)[0] == want
+    assert len(want[0]) == 29 * 7
+
+
 def test_a_question_without_hits_hides_none_of_the_others():
     want, _ = made_walk(30, 40, 200, 50, 500, 7)
     for step in (1, 5, 190):
