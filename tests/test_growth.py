@@ -484,3 +484,62 @@ def test_the_build_keeps_no_rows(spark, tmp_path, monkeypatch):
     totals = index.totals.first()
     assert totals["n_docs"] == 5 * len(ODD)
     assert round(totals["avgdl"] * totals["n_docs"]) == index.postings.agg(F.sum("tf")).first()[0]
+
+
+def many_questions(spark, n=60):
+    return spark.createDataFrame([(f"x{i}", f"word{i % 9} word{i % 7 + 1} text of Sym.s{i}") for i in range(n)], "qid string, question string")
+
+
+def test_batches_of_questions_share_a_pass_over_the_index(spark, monkeypatch, whole):
+    index = KeywordIndex.over(whole.chunks())
+    questions = many_questions(spark)
+    want = sorted(map(tuple, keyword.keyword_search(questions, index, 4).collect()))
+    walked_, listing = [], keyword._listing
+    monkeypatch.setattr(keyword, "_listing", lambda batches, *rest: walked_.append(len(batches)) or listing(batches, *rest))
+    monkeypatch.setattr(keyword, "QUESTION_KEYS", 40)
+    assert sorted(map(tuple, keyword.keyword_search(questions, index, 4).collect())) == want and want
+    assert len(walked_) == 1 and walked_[0] > 5
+    # Only as many questions as a task can hold lists of, and so many distinct keys, share one.
+    for name, most in (("PASS_ENTRIES", 100), ("PASS_WORDS", 30), ("PASS_BATCHES", 3)):
+        walked_.clear()
+        monkeypatch.setattr(keyword, name, most)
+        assert sorted(map(tuple, keyword.keyword_search(questions, index, 4).collect())) == want
+        assert len(walked_) > 1
+        monkeypatch.undo()
+        monkeypatch.setattr(keyword, "_listing", lambda batches, *rest: walked_.append(len(batches)) or listing(batches, *rest))
+        monkeypatch.setattr(keyword, "QUESTION_KEYS", 40)
+
+
+def test_kinds_of_questions_change_nothing(spark, monkeypatch, whole):
+    index = KeywordIndex.over(whole.chunks())
+    questions = many_questions(spark)
+    want = sorted(map(tuple, keyword.keyword_search(questions, index, 4).collect()))
+    found, of = [], keyword._Labels.of
+    monkeypatch.setattr(keyword._Labels, "of", staticmethod(lambda asked_: found.append(of(asked_)) or found[-1]))
+    for name, value in (("GROUP_QUESTIONS", 7), ("LABELS", 3), ("DENSE_GAIN", 1 << 20), ("CROWDED", 0), ("SLAB_POSTINGS", 200)):
+        monkeypatch.setattr(keyword, name, value)
+    assert sorted(map(tuple, keyword.keyword_search(questions, index, 4).collect())) == want
+    assert found[0] is not None and found[0].centres.shape[1] == 3
+
+
+def test_questions_that_a_block_cannot_serve_skip_it():
+    """Chunks in another language are not met one by one."""
+    def batch(first, words):
+        keys = np.tile(words, 200)
+        entries = pa.StructArray.from_arrays([pa.array(keys.astype(np.int32)), pa.array(np.ones(len(keys), np.int32))], ["number", "tf"])
+        ends = np.arange(0, len(keys) + 1, len(words)).astype(np.int32)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(first, first + 200)), pa.array(np.full(200, len(words), np.int32)), pa.ListArray.from_arrays(ends, entries)], ["chunk_idx", "dl", "terms"]
+        )
+
+    # Ten questions ask for words 0 to 4, and lightly for word 9.
+    asker = np.tile(np.arange(10), 6)
+    asked_ = keyword._Asked(
+        [f"q{i}" for i in range(10)], np.ones(10, bool), np.zeros(10, bool), [""] * 10, np.r_[np.arange(0, 51, 10), np.full(4, 50), 60], asker,
+        np.repeat([3.0, 3.0, 3.0, 3.0, 3.0, 0.5], 10), np.full(60, -1), np.empty(0, np.int64), 5.0,
+    )
+    walk = keyword.BlockWalk(asked_, 5, inject=False, best=False)
+    walk.add(batch(0, np.arange(5)))
+    before, lists = walk.cells, [c.tolist() for c in walk.lists.rows]
+    walk.add(batch(200, np.arange(5, 10)))
+    assert walk.cells == before and [c.tolist() for c in walk.lists.rows] == lists and len(lists[0]) == 50
